@@ -1,0 +1,4 @@
+"""The registered queries of the engine and the SQL they are checked against."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
