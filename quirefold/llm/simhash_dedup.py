@@ -45,7 +45,10 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def word_fingerprints(texts: list[bytes], bits: int, tables: int) -> np.ndarray:
-    """`tables` independent SimHashes over the single words of each text, as an array of (text, table)."""
+    """`tables` independent SimHashes over the distinct words of each text, as an array of (text, table).
+
+    Distinct words, because counts would let the few words that all texts of a language share decide most bits.
+    """
     out = np.zeros((len(texts), tables), dtype=np.int64)
     low = [x.translate(_LOWER) for x in texts]
     need = -(-bits * tables // 64)
@@ -61,10 +64,10 @@ def word_fingerprints(texts: list[bytes], bits: int, tables: int) -> np.ndarray:
         for lo in range(0, len(offsets)):
             a, b = np.searchsorted(owner, [lo, lo + 1])
             if a < b:
-                word, times = np.unique(where[a:b], return_counts=True)
-                set_ = times.astype(np.float32) @ ones[word].astype(np.float32)
+                word = np.unique(where[a:b])
+                set_ = ones[word].sum(axis=0, dtype=np.int64)
                 for t in range(tables):
-                    mark = np.packbits(set_[t * bits : (t + 1) * bits] * 2 > b - a, bitorder="little")
+                    mark = np.packbits(set_[t * bits : (t + 1) * bits] * 2 > len(word), bitorder="little")
                     out[at + lo, t] = int.from_bytes(mark.tobytes(), "little")
     return out
 
@@ -159,8 +162,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """doc_id and component_id of every row: near-duplicates whose sets of word shingles have a Jaccard similarity of
     `similarity` or more are linked.
 
-    Candidates come from `tables` independent SimHash fingerprints of `bits` bits over single words, paired by near_pairs;
-    every candidate pair is verified on the whole texts. Single words, because an edited word changes five shingles but
+    Candidates come from `tables` independent SimHash fingerprints of `bits` bits over distinct words, paired by near_pairs;
+    every candidate pair is verified on the whole texts. Words, because an edited word changes five shingles but
     one word: at a shingle similarity of 0.8 the fingerprints then differ in few bits. Rows of the same words are one
     class from the start; texts without words are one class.
     """
