@@ -212,10 +212,10 @@ def substring_dedup(docs: DataFrame, window: int = 13, groups: int | None = None
     space). A null or empty text has no words. Rows that share a doc_id are not compared with each other; a row whose
     doc_id is null keeps all words and removes none elsewhere. Hashes decide: 64 + 16 bits beside the bucket's.
 
-    groups: how many groups the documents are dealt into, by default two for each shuffle partition.
+    groups: how many groups the documents are dealt into, by default one for each shuffle partition, and as many buckets.
     """
     n = partitions(docs.sparkSession)
-    groups, buckets = groups or 2 * n, 2 * n
+    groups, buckets = groups or n, n
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
     own = {"window": window, "buckets": buckets}
     sent, answered = "bucket int, g int, data binary", "g int, step int, bucket int, bits binary"
