@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding by shared-prefix Viterbi.
 
 A text is cut into marked words: each word carries the mark of the space before it. The distinct words of a batch are
-sorted, which lines them up as the depth-first walk of their trie, and the best score of every prefix is kept on a stack:
-a word starts from the scores of the prefix it shares with the one before. The best segmentation of a word is the one
-whose pieces have the largest sum of scores; of equal sums the one whose last piece is longest, and so on to the front.
-Characters that no piece covers become one byte piece for each of their UTF-8 bytes.
+sorted, which lines them up as the depth-first walk of their trie, and the best score of every prefix is kept on a stack,
+with the pieces begun in it: a word starts from what the prefix it shares with the one before has there. The best
+segmentation of a word is the one whose pieces have the largest sum of scores; of equal sums the one whose last piece is
+longest, and so on to the front. Characters that no piece covers become one byte piece for each of their UTF-8 bytes.
 
 Decoding joins the pieces' bytes. Every text comes back exactly, spaces, line ends and the mark's own character included.
 """
@@ -14,6 +14,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,65 +24,93 @@ _REMEMBERED = 1 << 18
 
 
 class Vocabulary:
-    """Pieces with ids and scores, as the scored pieces of a model file."""
+    """Pieces with ids and scores, as the scored pieces of a model file, in a trie."""
 
     def __init__(self, pieces: list[tuple[str, float, str]]):
         """pieces: (text, score, kind) by id; kind is normal, byte or other. All 256 byte pieces must be there."""
-        self.bytes = [b""] * len(pieces)
+        told = [b""] * len(pieces)
         self.of_byte = [-1] * 256
         self.pieces: dict[str, tuple[float, int]] = {}
+        self.trie: dict = {}
         for i, (text, score, kind) in enumerate(pieces):
             if kind == "byte":
-                self.of_byte[int(text[3:5], 16)], self.bytes[i] = i, bytes([int(text[3:5], 16)])
+                self.of_byte[int(text[3:5], 16)], told[i] = i, bytes([int(text[3:5], 16)])
             elif kind == "normal":
-                self.bytes[i] = text.replace(MARK, " ").encode()
+                told[i] = text.replace(MARK, " ").encode()
                 if MARK not in text[1:]:
-                    self.pieces[text] = (score, i)
+                    node = self.trie
+                    for c in text:
+                        node = node.setdefault(c, {})
+                    node[""] = self.pieces[text] = (score, i)
         if -1 in self.of_byte or MARK not in self.pieces:
             raise ValueError("the vocabulary needs a piece for the mark and for every byte")
-        self.longest = max(map(len, self.pieces))
+        self.bytes = pa.array(told, pa.binary())
         self.unknown = min(s for s, _ in self.pieces.values()) - 10
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def segment(self, words: list[str]) -> None:
-        """Adds the pieces of all words to what is known. words: distinct and sorted."""
-        score, back = [0.0], [(0, -1)]
+        """Adds the pieces of all words to what is known. words: distinct and sorted, without their marks."""
+        # for each prefix of the word before: its best score, its last piece, and the pieces begun but not ended in it
+        score, back, begun = [0.0], [(0, -1)], [[]]
         last = ""
-        for word in words:
+        for plain in words:
+            word = MARK + plain
             keep = 0
             for x, y in zip(word, last, strict=False):
                 if x != y:
                     break
                 keep += 1
-            del score[keep + 1 :], back[keep + 1 :]
+            del score[keep + 1 :], back[keep + 1 :], begun[keep + 1 :]
             for end in range(keep + 1, len(word) + 1):
-                best, via = score[end - 1] + self.unknown, (end - 1, -1)
-                for start in range(max(0, end - self.longest), end):
-                    hit = self.pieces.get(word[start:end])
-                    if hit and (start == 0 or word[start] != MARK) and score[start] + hit[0] > best:
-                        best, via = score[start] + hit[0], (start, hit[1])
+                c = word[end - 1]
+                best, via, alive = score[end - 1] + self.unknown, (end - 1, -1), []
+                starts = begun[end - 1] if c == MARK and end > 1 else [*begun[end - 1], (end - 1, self.trie)]
+                for start, node in starts:
+                    child = node.get(c)
+                    if child is not None:
+                        alive.append((start, child))
+                        hit = child.get("")
+                        if hit and score[start] + hit[0] > best:
+                            best, via = score[start] + hit[0], (start, hit[1])
                 score.append(best)
                 back.append(via)
+                begun.append(alive)
             ids, at = [], len(word)
             while at:
                 start, i = back[at]
                 ids += [i] if i >= 0 else [self.of_byte[b] for b in reversed(word[start:at].encode())]
                 at = start
-            self.known[word] = ids[::-1]
+            self.known[plain] = np.array(ids[::-1], dtype=np.int32).tobytes()
             last = word
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [[MARK + x for x in text.split(" ")] for text in texts]
-        new = set().union(*cut) - self.known.keys() if cut else set()
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of every text; texts: strings without nulls."""
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > _REMEMBERED:
             self.known.clear()
-            new = set().union(*cut)
+            new = words
         self.segment(sorted(new))
-        known = self.known
-        return [[i for word in words for i in known[word]] for words in cut]
+        found = [self.known[w] for w in words]
+        pool, size = np.frombuffer(b"".join(found), dtype=np.int32), np.array([len(x) // 4 for x in found], dtype=np.int64)
+        first = np.cumsum(size) - size
+        ends = np.concatenate(([0], np.cumsum(size[which])))
+        ids = pool[np.arange(ends[-1]) + np.repeat(first[which] - ends[:-1], size[which])]
+        offsets = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids))[1:].decode()  # the first word's mark stands for no space
+        return self.texts(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+    def texts(self, ids: pa.ListArray) -> pa.Array:
+        """The text of every list of ids, null for null."""
+        base = ids.offsets[0].as_py()
+        offsets = pa.array(ids.offsets.to_numpy() - base)
+        pieces = pa.ListArray.from_arrays(offsets, self.bytes.take(ids.flatten().cast(pa.int32())))
+        joined = pc.utf8_slice_codeunits(pc.binary_join(pieces, b"").cast(pa.string()), 1)  # the first word's mark stands for no space
+        return pc.if_else(ids.is_valid(), joined, pa.scalar(None, pa.string()))
 
 
 @lru_cache(maxsize=2)
@@ -94,38 +123,31 @@ def vocabulary(model: bytes) -> Vocabulary:
     return Vocabulary([(m.id_to_piece(i), m.get_score(i), kind) for i, kind in enumerate(kinds)])
 
 
-def _parts(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about four million characters, so that a batch of long texts stays small."""
-    part, size = [], 0
-    for text in texts:
-        if part and size + len(text) > 1 << 22:
-            yield part
-            part, size = [], 0
-        part.append(text)
-        size += len(text)
-    yield part
+def _parts(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `most` bytes in the column, so that a batch of long texts stays small."""
+    a = batch[column]
+    width = a.offsets if isinstance(a, pa.ListArray) else pc.cumulative_sum(pa.concat_arrays([pa.array([0]), pc.fill_null(pc.binary_length(a), 0).cast(pa.int64())]))
+    ends, at = width.to_numpy(), 0
+    while at < len(a):
+        n = max(1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1 - at)
+        yield batch.slice(at, n)
+        at += n
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
     words = vocabulary(model)
     for batch in batches:
-        chunks = []
-        for part in _parts([x or "" for x in batch["text"].to_pylist()]):
-            found = words.encode(part)
-            offsets = np.zeros(len(found) + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in found], out=offsets[1:])
-            chunks.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter((i for x in found for i in x), dtype=np.int32, count=int(offsets[-1])))))
         rest = [c for c in batch.schema.names if c != "text"]
-        ids = pa.concat_arrays(chunks)
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), ids], [*rest, "ids"])
+        for part in _parts(batch, "text"):
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in rest), words.encode(pc.fill_null(part["text"], ""))], [*rest, "ids"])
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
     words = vocabulary(model)
     for batch in batches:
         rest = [c for c in batch.schema.names if c != "ids"]
-        texts = [words.decode(x.as_py()) if x.is_valid else None for x in batch["ids"]]
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(texts, pa.string())], [*rest, "text"])
+        for part in _parts(batch, "ids"):
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in rest), words.texts(part["ids"])], [*rest, "text"])
 
 
 def _schema(df: DataFrame, without: str, more: str) -> str:
