@@ -10,6 +10,7 @@ once, as bytes sorted by hash and packed by bucket of the hash, so a passage in
 a group. A bucket answers with one bit an entry; which entry a bit stands for follows from the group's own texts.
 """
 
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +48,13 @@ class _Group:
     def distinct(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the positions `at`: their order by bucket and hash, where each distinct hash starts in it, its bucket."""
         bucket = ((hashes >> U(34)) % U(self.buckets)).astype(np.int64)
-        order = np.lexsort((at, hashes, bucket))
+        order = np.argsort(hashes, kind="stable")  # positions are in order already
+        order = order[np.argsort(bucket[order].astype(np.uint16 if self.buckets < 1 << 16 else np.int64), kind="stable")]
         h, b = hashes[order], bucket[order]
         starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])))) if len(h) else np.zeros(0, dtype=np.int64)
         return order, starts, b[starts]
 
+    @cached_property
     def blocks(self) -> tuple:
         at = np.flatnonzero(self.valid(self.block))
         h = hashing.windows(self.words, self.block)[at]
@@ -60,7 +63,7 @@ class _Group:
 
     def block_entries(self) -> tuple[np.ndarray, np.ndarray]:
         """One entry of 32 bits for each distinct block: 30 of its hash, is it a reference block, has it two documents."""
-        at, h, order, starts, bucket = self.blocks()
+        at, h, order, starts, bucket = self.blocks
         if not len(starts):
             return bucket, np.zeros(0, dtype="<u4")
         owner = self.owner[at[order]]
@@ -72,7 +75,7 @@ class _Group:
 
     def anchored(self, bits: np.ndarray) -> np.ndarray:
         """The positions of windows that hold a shared block."""
-        at, _, order, starts, _ = self.blocks()
+        at, _, order, starts, _ = self.blocks
         hit = np.zeros(len(self.words) + self.window, dtype=np.int32)
         hit[at[order[np.repeat(bits, np.diff(np.append(starts, len(order))))]]] = 1
         reach = np.concatenate(([0], np.cumsum(hit)))
@@ -95,10 +98,9 @@ class _Group:
             out["x"] = hashing.windows(self.words, self.window, 1)[at[order][starts]] >> U(48)
         return bucket, out
 
-    def removed(self, bits: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        """Which words a window covers that starts in a smaller document too."""
-        at = self.anchored(bits)
-        _, order, starts, _, least = self.windows(at)
+    def removed(self, at: np.ndarray, found: tuple, earlier: np.ndarray) -> np.ndarray:
+        """Which words a window covers that starts in a smaller document too; at, found: anchored windows, sorted out."""
+        _, order, starts, _, least = found
         size = np.diff(np.append(starts, len(order)))
         gone = at[order[np.repeat(earlier, size) | (self.doc[self.owner[at[order]]] > np.repeat(least, size))]]
         step = np.zeros(len(self.words) + self.window + 1, dtype=np.int32)
@@ -174,7 +176,7 @@ def _extend(docs: pa.Table, answers: pa.Table, window: int, buckets: int) -> pa.
     if not docs.num_rows or not answers.num_rows:
         return _sent(0, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=_ENTRY[2]))
     group = _Group(docs, window, buckets)
-    return _sent(docs["g"][0].as_py(), *group.window_entries(_bits(answers, 1, group.blocks()[4])))
+    return _sent(docs["g"][0].as_py(), *group.window_entries(_bits(answers, 1, group.blocks[4])))
 
 
 def _cut(docs: pa.Table, answers: pa.Table, window: int, buckets: int) -> pa.Table:
@@ -183,8 +185,10 @@ def _cut(docs: pa.Table, answers: pa.Table, window: int, buckets: int) -> pa.Tab
     group = _Group(docs, window, buckets)
     gone = np.zeros(len(group.words), dtype=bool)
     if answers.num_rows:
-        bits = _bits(answers, 1, group.blocks()[4])
-        gone = group.removed(bits, _bits(answers, 2, group.windows(group.anchored(bits))[3]))
+        bits = _bits(answers, 1, group.blocks[4])
+        at = group.anchored(bits)
+        found = group.windows(at)
+        gone = group.removed(at, found, _bits(answers, 2, found[3]))
     ends = np.append(group.first[1:], len(group.words))
     spans, kept = [], []
     for text, a, b in zip(group.texts, group.first, ends, strict=True):
