@@ -59,18 +59,17 @@ class _Group:
         at = np.flatnonzero(self.valid(self.block))
         h = hashing.windows(self.words, self.block)[at]
         order, starts, bucket = self.distinct(h, at)
-        return at, h, order, starts, bucket
+        return at, (h[order[starts]] & U(0x3FFFFFFF)).astype("<u4"), order, starts, bucket
 
     def block_entries(self) -> tuple[np.ndarray, np.ndarray]:
         """One entry of 32 bits for each distinct block: 30 of its hash, is it a reference block, has it two documents."""
-        at, h, order, starts, bucket = self.blocks
+        at, low, order, starts, bucket = self.blocks
         if not len(starts):
             return bucket, np.zeros(0, dtype="<u4")
         owner = self.owner[at[order]]
         fixed = np.logical_or.reduceat((at[order] - self.first[owner]) % self.block == 0, starts)
         doc = self.doc[owner]
         several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-        low = (h[order][starts] & U(0x3FFFFFFF)).astype("<u4")
         return bucket, low << 2 | fixed.astype("<u4") << 1 | several.astype("<u4")
 
     def anchored(self, bits: np.ndarray) -> np.ndarray:
