@@ -7,25 +7,15 @@ from pyspark.sql import functions as F
 from quirefold.functions import gate, states
 from quirefold.functions import text as tx
 from quirefold.operators import chunks, hashing, mutations, retrieval, scan, statistics, versions
+from quirefold.plans import more  # noqa: F401  registers its queries
 from quirefold.plans.domain import AT, NOVEL, chapters, events, facts, retractions, table, with_
+from quirefold.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from quirefold.sources import pages as pages_source
 from quirefold.streaming import queues
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 FACT_KEY = ["novel_id", "chapter_index", "prompt_version", "ordinal"]
 
 
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 def current_facts(spark: SparkSession, d: str) -> DataFrame:
     return versions.without(versions.current_version(facts(spark, d), ["novel_id", "chapter_index"], "prompt_version"), retractions(spark, d), FACT_KEY)
 
