@@ -71,4 +71,54 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_top_k, op3_line_dedup, op4_mixing, op5_pii, op6_license_scan, op7_sentencepiece, op8_simhash, op9_embedding_dedup, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_WINDOW = " || ' ' || ".join(f"lead(word, {i}) OVER o" for i in range(13))
+
+_OP1 = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+s AS (SELECT doc_id, pos AS i, {_WINDOW} AS same FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY same) AS first FROM s WHERE same IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM m WHERE first < doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+_SOUND = "len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"
+
+_OP2 = f"""
+WITH v AS (SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings WHERE {_SOUND}),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 10
+"""
+
+_OP3 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents),
+seen AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+f AS (SELECT line, min((doc_id, line_no)) AS place, length(line) AS n FROM seen GROUP BY line),
+c AS (SELECT a.line AS a, b.line AS b FROM f a JOIN f b ON left(a.line, 7) = left(b.line, 7) WHERE a.n >= 16 AND b.n >= 16 AND abs(a.n - b.n) <= 1 AND b.place < a.place
+  UNION SELECT a.line, b.line FROM f a JOIN f b ON right(a.line, 7) = right(b.line, 7) WHERE a.n >= 16 AND b.n >= 16 AND abs(a.n - b.n) <= 1 AND b.place < a.place),
+p AS (SELECT a, b, length(a) - length(b) AS more, coalesce(list_position([z[1] = z[2] FOR z IN list_zip(string_split(a, ''), string_split(b, ''))], false) - 1, least(length(a), length(b))) AS same FROM c),
+near AS (SELECT DISTINCT a AS line FROM p WHERE substr(a, CAST(same + CASE WHEN more >= 0 THEN 2 ELSE 1 END AS BIGINT)) = substr(b, CAST(same + CASE WHEN more <= 0 THEN 2 ELSE 1 END AS BIGINT))),
+gone AS (SELECT doc_id, line_no FROM seen JOIN f USING (line) WHERE ((doc_id, line_no) > place) OR line IN (SELECT line FROM near)),
+r AS (SELECT doc_id, count(*) AS n, string_agg(line_no, ',' ORDER BY line_no) AS removed FROM gone GROUP BY 1),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM l ANTI JOIN gone USING (doc_id, line_no) GROUP BY 1)
+SELECT d.doc_id, coalesce(r.n, 0) AS n_removed, coalesce(r.removed, '') AS removed, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS kept_sha256
+FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+_OP9 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE {_SOUND} AND len([x FOR x IN embedding IF x <> 0]) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT vec_id, b FROM reach JOIN l ON other = a),
+c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+#: The others need a trained model, XXH64 or a segmentation, which SQL lacks; brute force tests them.
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_exact_top_k": _OP2, "op3_line_dedup": _OP3, "op9_embedding_dedup": _OP9}
