@@ -18,9 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm import hashing
 from quirefold.llm.common import partitions, saved
 from quirefold.llm.components import connected_components
+from quirefold.llm.shingle_join import similar_links
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Cells with more fingerprints than this are refined.
@@ -44,46 +44,12 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def word_fingerprints(texts: list[bytes], bits: int, tables: int) -> np.ndarray:
-    """`tables` independent SimHashes over the distinct words of each text, as an array of (text, table).
-
-    Distinct words, because counts would let the few words that all texts of a language share decide most bits.
-    """
-    out = np.zeros((len(texts), tables), dtype=np.int64)
-    low = [x.translate(_LOWER) for x in texts]
-    need = -(-bits * tables // 64)
-    for at, buf, offsets in hashing.chunks(low):
-        starts, ends = hashing.word_bounds(buf)
-        if not len(starts):
-            continue
-        words = hashing.word_hashes(buf, starts, ends)
-        owner = np.searchsorted(offsets, starts, side="right") - 1
-        distinct, where = np.unique(words, return_inverse=True)
-        many = np.stack([hashing.mix(distinct + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(1, need + 1)], axis=1)
-        ones = np.unpackbits(many.view(np.uint8), axis=1, bitorder="little")[:, : bits * tables]
-        for lo in range(0, len(offsets)):
-            a, b = np.searchsorted(owner, [lo, lo + 1])
-            if a < b:
-                word = np.unique(where[a:b])
-                set_ = ones[word].sum(axis=0, dtype=np.int64)
-                for t in range(tables):
-                    mark = np.packbits(set_[t * bits : (t + 1) * bits] * 2 > len(word), bitorder="little")
-                    out[at + lo, t] = int.from_bytes(mark.tobytes(), "little")
-    return out
-
-
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = np.array([fingerprint(x.as_py() or b"", shingle) for x in batch["text"].cast(pa.binary())], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(marks.view(np.int64))], ["doc_id", "fp"])
 
 
-def _word_fingerprints(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        marks = word_fingerprints([x.as_py() or b"" for x in batch["text"].cast(pa.binary())], bits, tables)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(list(marks), pa.list_(pa.int64()))], ["doc_id", "fps"])
-
-
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, of every row; a text without words has 0."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -141,31 +107,12 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return found.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _jaccard(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    def shingles(text: bytes) -> set:
-        words = text.translate(_LOWER).split()
-        return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-
-    last_id, last = None, set()
-    for batch in batches:
-        a, b, out = batch["a"].to_pylist(), batch["b"].to_pylist(), []
-        for x, s, t in zip(a, batch["text_a"].cast(pa.binary()), batch["text_b"].cast(pa.binary()), strict=True):
-            if x != last_id:
-                last_id, last = x, shingles(s.as_py() or b"")
-            other = shingles(t.as_py() or b"")
-            both = len(last & other)
-            out.append(both / (len(last) + len(other) - both) if both else float(not last and not other))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.float64())], ["a", "b", "similarity"])
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = 5, bits: int = 44) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of every row: near-duplicates whose sets of word shingles have a Jaccard similarity of
     `similarity` or more are linked.
 
-    Candidates come from `tables` independent SimHash fingerprints of `bits` bits over distinct words, paired by near_pairs;
-    every candidate pair is verified on the whole texts. Words, because an edited word changes five shingles but
-    one word: at a shingle similarity of 0.8 the fingerprints then differ in few bits. Rows of the same words are one
-    class from the start; texts without words are one class.
+    SimHash would lose pairs of that similarity, so the links come from shingle_join, which loses none. Rows of the same
+    words are one class from the start; texts without words are one class.
     """
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -174,23 +121,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     classes = saved(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     single = rows.join(classes.where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     single = saved(single.repartition(n, "doc_id"), "single")
-    marks = saved(single.mapInArrow(partial(_word_fingerprints, bits=bits, tables=tables), "doc_id long, fps array<long>").select("doc_id", F.posexplode("fps").alias("t", "fp")), "marks")
-    owners = saved(marks.groupBy("t", "fp").agg(F.min("doc_id").alias("rep")), "owners")
-    same = marks.join(owners, ["t", "fp"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    # the table's number goes above the fingerprint's bits, where no cell reaches
-    tagged = owners.select("rep", F.col("fp").bitwiseOR(F.shiftleft(F.col("t").cast("long"), bits)).alias("fp"))
-    pairs = near_pairs_tagged(tagged, bits)
-    links = saved(same.unionByName(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "candidates")
-    left, right = single.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), single.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    verified = links.join(right, "b").join(left, "a").mapInArrow(partial(_jaccard, shingle=shingle), "a long, b long, similarity double").where(F.col("similarity") >= similarity)
-    parts = saved(connected_components(verified.select("a", "b")), "parts")
+    parts = saved(connected_components(similar_links(single, shingle, similarity)), "parts")
     named = saved(classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id")), "named")
     return keyed.join(named, ["k1", "k2"]).select("doc_id", "component_id")
-
-
-def near_pairs_tagged(owners: DataFrame, bits: int) -> DataFrame:
-    """Pairs (a, b) of rep for fps (column fp) within 2 bits that carry the same tag above `bits` bits."""
-    pairs = saved(near_pairs(owners.select("fp"), bits), "pairs")
-    a, b = owners.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), owners.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
-    half = saved(pairs.join(a, "a").select("b", "ra"), "half")
-    return half.join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
