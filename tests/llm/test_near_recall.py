@@ -1,6 +1,7 @@
 """The pipeline's near-duplicates find every link: edited copies of one master, and planted edits by band of similarity."""
 
 import random
+from collections import Counter
 
 from quirefold.llm.simhash_dedup import near_duplicates
 from quirefold.llm.shingle_join import similar_links
@@ -26,3 +27,32 @@ def test_copies_of_a_master_with_a_large_id(spark):
     links = [(x.a, x.b) for x in similar_links(small, 5, 0.8, chunk=20_000).collect()]  # over many tiles
     assert set(components([i for i, _ in rows[:400]], links).values()) == {0}
     assert len(links) < 400 * 80  # forests, not pairs
+
+
+def test_recall_by_band(spark):
+    r, rows = random.Random(9), []
+    fresh = iter(range(10**9))
+    for base in range(0, 9000, 10):
+        n = r.choice([6, 40, 150, 300])
+        words = [f"w{next(fresh)}" for _ in range(n)]
+        new = [f"w{next(fresh)}" for _ in range(max(1, r.randint(n // 40, n // 4)))]
+        if base % 20:  # a passage, in front, behind or within
+            at = r.choice([0, n, n // 2])
+            copy = words[:at] + new + words[at:]
+        else:
+            copy = list(words)
+            for x in r.sample(range(n), max(1, round(n * r.choice([0.003, 0.01, 0.02, 0.03, 0.04])))):
+                copy[x] = f"w{next(fresh)}"
+        rows += [(base, " ".join(words)), (base + 1, " ".join(copy))]
+    text = dict(rows)
+    got = {x.doc_id: x.component_id for x in near_duplicates(frame(spark, rows)).collect()}
+    links, found = Counter(), Counter()
+    for base in range(0, 9000, 10):
+        like = jaccard(shingles(text[base]), shingles(text[base + 1]))
+        band = min(int(like * 20), 19) if like >= 0.8 else 0
+        links[band, base % 20] += 1
+        found[band, base % 20] += got[base] == got[base + 1]
+    for band in (16, 17, 18, 19):
+        for kind in (0, 10):
+            assert links[band, kind] >= 10 and found[band, kind] == links[band, kind], (band, kind, links, found)
+    assert not found[0, 0] and not found[0, 10]
