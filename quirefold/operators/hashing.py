@@ -53,18 +53,22 @@ def row_hash(prev: str | None, novel: str, seq: int, source: str, old: str | Non
 
 def chain(log: DataFrame) -> DataFrame:
     """log (novel_id, seq, source_term, old_target, new_target, changed_at) with prev_hash and row_hash: each row's hash
-    covers the one before it. One fold for each novel, whose log is one batch of a group."""
+    covers the one before it. Novels are sorted within partitions and folded batch by batch; only the last hash is carried."""
 
-    def fold(rows: pa.Table) -> pa.Table:
-        out, prev = [], None
-        for r in sorted(rows.to_pylist(), key=lambda r: r["seq"]):
-            own = row_hash(prev, r["novel_id"], r["seq"], r["source_term"], r["old_target"], r["new_target"], r["changed_at"])
-            out.append(r | {"prev_hash": prev, "row_hash": own})
-            prev = own
-        return pa.Table.from_pylist(out, schema=rows.schema.append(pa.field("prev_hash", pa.string())).append(pa.field("row_hash", pa.string())))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novel, prev = None, None
+        for batch in batches:
+            before, own = [], []
+            for r in batch.to_pylist():
+                if r["novel_id"] != novel:
+                    novel, prev = r["novel_id"], None
+                before.append(prev)
+                prev = row_hash(prev, novel, r["seq"], r["source_term"], r["old_target"], r["new_target"], r["changed_at"])
+                own.append(prev)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string())], [*batch.schema.names, "prev_hash", "row_hash"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields)
-    return log.groupBy("novel_id").applyInArrow(fold, f"{schema}, prev_hash string, row_hash string")
+    return log.repartition("novel_id").sortWithinPartitions("novel_id", "seq").mapInArrow(fold, f"{schema}, prev_hash string, row_hash string")
 
 
 def broken_links(log: DataFrame) -> DataFrame:

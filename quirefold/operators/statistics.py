@@ -1,9 +1,22 @@
 """Exact statistics of evaluation runs."""
 
+import math
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit over all others."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(33))
+
+
 def distribution(value: str) -> list[Column]:
     """n, median, min and max of a column's values, to three places; nulls are left out."""
     return [F.count(value).alias("n"), F.round(F.percentile(value, F.lit(0.5)), 3).alias("median"), F.round(F.min(value), 3).alias("min"), F.round(F.max(value), 3).alias("max")]
@@ -27,9 +40,32 @@ def only_match(samples: DataFrame, events: DataFrame) -> DataFrame:
     return hit.groupBy("id").agg(F.count("ts").alias("n_matches"), F.max("tokens").alias("_t")).select("id", "n_matches", F.when(F.col("n_matches") == 1, F.col("_t")).alias("tokens"))
 
 
-def bootstrap_interval(values: DataFrame, key: str, value: str, rounds: int = 1000, seed: int = 1) -> DataFrame:
-    """The 2.5 % and 97.5 % order statistics of resampled geometric means, by key; the values of a key are few."""
-    drawn = values.groupBy(key).agg(F.sort_array(F.collect_list(F.log(value))).alias("v")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    pick = F.transform("v", lambda x, i: F.get("v", F.pmod(F.xxhash64(F.lit(seed), F.col("r"), i), F.size("v")).cast("int")))
-    means = drawn.select(key, "r", F.exp(F.aggregate(pick, F.lit(0.0), lambda a, x: a + x) / F.size("v")).alias("m"))
+def _weighted_sums(batches: Iterator[pa.RecordBatch], rounds: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """By key the sums over rows (key, mark, v) of w and w * v for each round, w being Poisson(1) drawn by mark and round."""
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+    draws = _mix(np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    sums: dict = {}
+    for batch in batches:
+        marks, v = batch["mark"].to_numpy().view(np.uint64), batch["v"].to_numpy(zero_copy_only=False)
+        owners = np.array(batch["key"].to_pylist(), dtype=object)
+        for key in set(owners.tolist()):
+            at = np.flatnonzero(owners == key) if key is not None else np.flatnonzero([x is None for x in owners])
+            total = sums.setdefault(key, np.zeros((2, rounds)))
+            for lo in range(0, len(at), 128):
+                part = at[lo : lo + 128]
+                u = (_mix(marks[part][:, None] ^ draws[None, :]) >> np.uint64(11)).astype(np.float64) / 2**53
+                w = np.searchsorted(steps, u, side="right").astype(np.float64)
+                total += np.stack([w.sum(axis=0), v[part] @ w])
+    for key, (n, t) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([key] * rounds, pa.string()), pa.array(range(rounds), pa.int32()), pa.array(n), pa.array(t)], ["key", "r", "n", "t"])
+
+
+def bootstrap_interval(values: DataFrame, key: str, value: str, rounds: int = 1000, seed: int = 1, row: str = "event_id") -> DataFrame:
+    """The 2.5 % and 97.5 % order statistics of resampled geometric means, by key.
+
+    A row, named by `row`, counts Poisson(1) times in a round; tasks send one pair of sums for each key and round.
+    """
+    rows = values.select(F.col(key).cast("string").alias("key"), F.xxhash64(F.lit(seed), F.col(row)).alias("mark"), F.log(value).alias("v")).where("v is not null")
+    sums = rows.mapInArrow(partial(_weighted_sums, rounds=rounds, seed=seed), "key string, r int, n double, t double").groupBy("key", "r").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    means = sums.where("n > 0").select(F.col("key").alias(key), F.exp(F.col("t") / F.col("n")).alias("m"))
     return means.groupBy(key).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))

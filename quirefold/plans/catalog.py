@@ -239,7 +239,7 @@ def d13_geometric_mean(spark, d):
 
 @query()
 def d13_bootstrap(spark, d):
-    return statistics.bootstrap_interval(table(spark, d, "events").where("event_id % 100 = 0").withColumn("v", 1 + F.col("value")), "event_type", "v", 200)
+    return statistics.bootstrap_interval(table(spark, d, "events").withColumn("v", 1 + F.col("value")), "event_type", "v", 10_000)
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
@@ -310,7 +310,7 @@ def e12_greedy_pack(spark, d):
 
 @query()
 def e14_hash_chain(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select(F.concat(F.lit("n"), F.col("l_suppkey") % 20).alias("novel_id"), F.col("l_partkey").cast("string").alias("source_term"), F.lit(None).cast("string").alias("old_target"), F.col("l_suppkey").cast("string").alias("new_target"), F.col("l_linenumber").alias("changed_at"), "l_orderkey", "l_linenumber")
+    rows = table(spark, d, "lineitem").select(F.concat(F.lit("n"), F.col("l_suppkey") % 20).alias("novel_id"), F.col("l_partkey").cast("string").alias("source_term"), F.lit(None).cast("string").alias("old_target"), F.col("l_suppkey").cast("string").alias("new_target"), F.col("l_linenumber").alias("changed_at"), "l_orderkey", "l_linenumber")
     seq = F.row_number().over(W.partitionBy("novel_id").orderBy("l_orderkey", "l_linenumber", "source_term"))
     return hashing.chain(rows.select("novel_id", seq.alias("seq"), "source_term", "old_target", "new_target", "changed_at")).select("novel_id", "seq", "prev_hash", "row_hash")
 
