@@ -1,22 +1,26 @@
 """Licence scan by sparse TF-IDF cosine to templates, with inheritance from the nearest directory.
 
-Every line of a file's text, and the whole text of a licence file, is compared with the licence templates by the cosine
-of their TF-IDF vectors. The inverse document frequencies come from all texts. A file without a licence of its own gets
-that of the licence file in its nearest ancestor directory. DataFrame operations only.
+Templates are short notices, headers of files, and whole licence texts. What is compared with them are windows of
+consecutive lines, which find headers wherever they stand, and whole texts of any length, which find licence files. The
+weight of a term is (1 + ln of its count) times its inverse document frequency, counted over all texts. A file without a
+licence of its own gets that of the licence file in its nearest ancestor directory. DataFrame operations only.
 """
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import saved
 
-#: Short notices of common licences, by SPDX identifier.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+#: Short notices and headers of common licences, by SPDX identifier.
+NOTICES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms under the BSD 2-Clause License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms under the BSD 3-Clause License"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
@@ -24,111 +28,122 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "Released under CC0 1.0 Universal public domain dedication"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 )
-_TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-
-
 #: A file's name that makes it the licence file of its directory.
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
+#: How many lines the windows have that start at a line with one of the needed terms.
+WINDOWS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+#: Possessive, so that Java matches a long run in a loop instead of by recursion.
+_TERM = r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"
 
 
-def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
+def default_templates() -> tuple[tuple[str, str], ...]:
+    """The notices above and the whole texts in the folder of licences, by the name of their files."""
+    texts = sorted((Path(__file__).parent / "licenses").glob("*.txt"))
+    return NOTICES + tuple((x.stem, x.read_text(encoding="utf-8")) for x in texts)
 
 
-def _split(text: str) -> set[str]:
-    return set(re.findall(_TERM, text.lower()))
+def _terms(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
 
 
 @dataclass
 class Weights:
-    """Inverse document frequencies of the templates' terms, and the one of all other terms."""
+    """The templates' names, their terms' weights in vectors of length one, and inverse document frequencies."""
 
-    templates: dict[str, set[str]]
+    names: list[str]
+    vectors: list[dict[str, float]]
     idf: dict[str, float]
     other: float
 
-    def norm(self, terms: set[str]) -> float:
-        return math.sqrt(sum(self.idf[t] ** 2 for t in terms))
-
     def needed(self, threshold: float) -> list[str]:
         """Terms of which a text has one at least if its cosine to some template reaches the threshold."""
         keys: set[str] = set()
-        for terms in self.templates.values():
-            rest = sorted(terms, key=lambda t: (self.idf[t], t))
-            while len(rest) > 1 and self.norm(set(rest)) >= threshold * self.norm(terms):
+        for vector in self.vectors:
+            rest, left = sorted(vector, key=lambda t: (vector[t], t)), 1.0
+            while rest and math.sqrt(max(left, 0.0)) >= threshold:
+                left -= vector[rest[-1]] ** 2
                 keys.add(rest.pop())
-            if self.norm(set(rest)) >= threshold * self.norm(terms):
-                keys.update(rest)
         return sorted(keys)
 
-    def cosines(self, text: Column) -> Column:
-        """(score, license) of every template for a text, weights being idf where a term is present."""
-        squares = F.create_map(*(x for t, v in sorted(self.idf.items()) for x in (F.lit(t), F.lit(v * v))))
-        total = lambda terms: F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.coalesce(F.try_element_at(squares, t), F.lit(self.other**2)))
-
-        def each(terms: Column) -> Column:
-            length = F.sqrt(total(terms))
-            scores = []
-            for name, own in sorted(self.templates.items()):
-                both = F.array_intersect(terms, F.array(*(F.lit(t) for t in sorted(own))))
-                scores.append(F.struct((total(both) / (length * self.norm(own))).alias("score"), F.lit(name).alias("license")))
-            return F.array(*scores)
-
-        return F.transform(F.filter(F.array(_terms(text)), lambda t: F.size(t) > 0), each)
 
-
-def weigh(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Weights:
+def weigh(docs: DataFrame, templates: tuple[tuple[str, str], ...]) -> Weights:
     """Counts, over every text, in how many documents each term of the templates occurs. Only these counts come back."""
-    split = {name: _split(text) for name, text in templates}
-    vocabulary = sorted(set().union(*split.values()))
-    held = F.array_intersect(_terms(F.col("text").cast("string")), F.array(*map(F.lit, vocabulary)))
-    counts = docs.select(F.explode(F.concat(F.coalesce(held, F.array().cast("array<string>")), F.array(F.lit("")))).alias("term")).groupBy("term").count().collect()
-    df = {r["term"]: r["count"] for r in counts}
+    ordered = sorted(templates)
+    counts = [Counter(re.findall(_TERM, text.lower())) for _, text in ordered]
+    vocabulary = docs.sparkSession.createDataFrame([(t,) for t in sorted({"", *(t for c in counts for t in c)})], "term string")
+    held = docs.select(F.explode(F.concat(F.array(F.lit("")), F.coalesce(F.array_distinct(_terms(F.col("text").cast("string"))), F.array().cast("array<string>")))).alias("term"))
+    df = {r["term"]: r["count"] for r in held.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").count().collect()}
     total = df.pop("", 0)
-    idf = lambda n: math.log((total + 1) / (n + 1)) + 1
-    return Weights(split, {t: idf(df.get(t, 0)) for t in vocabulary}, idf(0))
-
-
-def _best(scores: Column, threshold: float) -> Column:
-    good = F.filter(scores, lambda s: s["score"] >= threshold)
-    top = F.array_max(F.transform(good, lambda s: s["score"]))
-    return F.get(F.array_sort(F.filter(good, lambda s: s["score"] >= top - 1e-12), lambda a, b: F.when(a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(0)), 0)
-
-
-def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.75, file_threshold: float = 0.95) -> DataFrame:
+    idf = lambda t: math.log((total + 1) / (df.get(t, 0) + 1)) + 1
+    raw = [{t: (1 + math.log(n)) * idf(t) for t, n in c.items()} for c in counts]
+    norms = [math.sqrt(sum(w * w for w in v.values())) for v in raw]
+    return Weights([name for name, _ in ordered], [{t: w / n for t, w in v.items()} for v, n in zip(raw, norms, strict=True)], {t: idf(t) for v in raw for t in v}, math.log(total + 1) + 1)
+
+
+def _units(texts: DataFrame, hint: str) -> DataFrame:
+    """key, unit and terms: the whole of each text (unit 0), and the windows that start at a line with a needed term."""
+    lines = texts.select("k1", "k2", "text", F.split("text", "\n").alias("lines"))
+    at = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(hint), i)), lambda i: i.isNotNull())
+    windows = lines.select("k1", "k2", "lines", F.explode(at).alias("at")).select("k1", "k2", "lines", "at", F.explode(F.array(*map(F.lit, WINDOWS))).alias("n"))
+    windows = windows.where("n = 1 or at + n <= size(lines)")
+    own = windows.select("k1", "k2", (F.col("at") * 64 + F.col("n")).cast("long").alias("unit"), F.array_join(F.slice("lines", F.col("at") + 1, F.col("n")), "\n").alias("part"))
+    return texts.select("k1", "k2", F.lit(0).cast("long").alias("unit"), F.col("text").alias("part")).unionByName(own)
+
+
+def _matches(texts: DataFrame, weights: Weights, threshold: float, file_threshold: float) -> DataFrame:
+    """k1, k2, license, score and file (does the whole text match) of the distinct texts that match a template."""
+    hint = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in weights.needed(min(threshold, file_threshold))) + ")(?![a-z0-9])"
+    key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
+    distinct = saved(texts.where(F.col("text").rlike(hint)).select(*key, "text").dropDuplicates(["k1", "k2"]), "hinted")
+    counted = _units(distinct, hint).select("k1", "k2", "unit", F.explode(_terms(F.col("part"))).alias("term")).groupBy("k1", "k2", "unit", "term").agg(F.count("*").alias("tf"))
+    told = [(t, weights.idf[t], [v.get(t, 0.0) for v in weights.vectors]) for t in sorted(weights.idf)]
+    known = F.broadcast(texts.sparkSession.createDataFrame(told, "term string, idf double, of array<double>"))
+    weighed = counted.join(known, "term", "left").select("k1", "k2", "unit", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(weights.other))).alias("w"), "of")
+    dots = [F.coalesce(F.sum(F.col("w") * F.col("of")[i]), F.lit(0.0)).alias(f"d{i}") for i in range(len(weights.names))]
+    cosines = weighed.groupBy("k1", "k2", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
+    # of equal scores the name that sorts first: names are in order, and the number counts down
+    each = [F.struct(F.round(F.col(f"d{i}") / F.col("norm"), 12).alias("score"), F.lit(-i).alias("i")) for i in range(len(weights.names))]
+    cosines = cosines.select("k1", "k2", "unit", F.greatest(*each).alias("best") if len(each) > 1 else each[0].alias("best"))
+    best = cosines.groupBy("k1", "k2").agg(F.max("best").alias("best"), F.max(F.when(F.col("unit") == 0, F.col("best.score"))).alias("whole"))
+    license_ = F.element_at(F.array(*map(F.lit, weights.names)), 1 - F.col("best.i"))
+    return best.where(F.col("best.score") >= threshold).select("k1", "k2", license_.alias("license"), F.col("best.score").alias("score"), (F.coalesce("whole", F.lit(0.0)) >= file_threshold).alias("file"))
+
+
+def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] | None = None, threshold: float = 0.75, file_threshold: float = 0.9) -> DataFrame:
     """docs with license, score (of its own notice), is_license_file, inherited (licence of the nearest ancestor) and
     effective (the own licence, else the inherited one).
 
     docs: path ('/' between directories), text; all columns are kept, except that those named like a result are replaced.
-    The own licence is the template of the highest cosine, at least `threshold`, over all lines of the text; equal scores
-    go to the name that sorts first. A licence file is one with such a name, or whose whole text has a cosine of
-    `file_threshold` or more to a template; if a
-    directory has several, the one of the highest score, then of the smallest name, counts. Null or empty texts have no
-    licence; a null path is in no directory and inherits nothing. Repeated rows are files of their own.
+    templates: (licence, text), by default those of default_templates(). The own licence is the template of the highest
+    cosine, at least `threshold`, over all windows and the whole text; equal scores go to the name that sorts first. A
+    licence file is one with such a name, or whose whole text has a cosine of `file_threshold` or more to a template; if
+    a directory has several, the one of the highest score, then of the smallest name, counts. Null or empty texts have no
+    licence; a null path is in no directory and inherits nothing. Repeated rows are files of their own; equal texts, told
+    by 128 bits of hash, are compared once.
     """
-    weights = weigh(docs, templates)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hint = "(?i)" + "|".join(re.escape(t) for t in weights.needed(threshold))
     rest = [c for c in docs.columns if c not in ("license", "score", "is_license_file", "inherited", "effective")]
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(hint))
-    found = docs.select(*rest).withColumn("_text", F.when(text.rlike(hint), text))
-    found = found.withColumn("_lines", F.when(F.col("_text").isNotNull(), lines)).withColumn("_whole", F.when(F.length("_text") <= 4 * max(len(t) for _, t in templates), F.col("_text")))
-    found = found.withColumn("_scores", F.flatten(F.flatten(F.transform("_lines", weights.cosines)))).withColumn("_own", _best(F.col("_scores"), threshold))
-    found = found.withColumn("_file", _best(F.flatten(weights.cosines(F.col("_whole"))), file_threshold))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    matches = saved(_matches(docs.select(text.alias("text")), weigh(docs, templates or default_templates()), threshold, file_threshold), "matches")
     name, directory = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"/?[^/]*$", "")
-    found = found.withColumn("is_license_file", F.coalesce(F.col("_own").isNotNull() & (name.rlike(LICENSE_NAME) | F.col("_file").isNotNull()), F.lit(False)))
-    found = found.select(*rest, F.col("_own.license").alias("license"), F.col("_own.score").alias("score"), "is_license_file", directory.alias("_dir"), name.alias("_name"))
-    files = saved(found.where("is_license_file and path is not null").groupBy("_dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "_name", "license")).alias("s")).select(F.col("_dir").alias("up"), F.col("s.license").alias("from_up")), "files")
+    is_file = F.coalesce(name.rlike(LICENSE_NAME) | F.col("file"), F.lit(False)) & F.col("license").isNotNull()
+    keys = {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
+    placed = docs.where("path is not null").select("path", keys["k1"].alias("k1"), keys["k2"].alias("k2")).join(matches, ["k1", "k2"])
+    files = placed.where(is_file).select(directory.alias("up"), F.struct((-F.col("score")).alias("s"), name.alias("name"), "license").alias("s"))
+    files = saved(files.groupBy("up").agg(F.min("s").alias("s")).select("up", F.col("s.license").alias("from_up")), "files")
     # by directory, not by file: each distinct directory looks at all its ancestors and takes the nearest
-    dirs = found.where("_dir is not null").select("_dir").distinct()
-    steps = F.split("_dir", "/")
-    ups = dirs.select("_dir", F.explode(F.when(F.col("_dir") == "", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(steps)))).alias("depth"))
-    ups = ups.withColumn("up", F.array_join(F.slice(F.split("_dir", "/"), F.lit(1), F.col("depth")), "/"))
-    nearest = saved(ups.join(files, "up").groupBy("_dir").agg(F.max_by("from_up", "depth").alias("inherited")), "nearest")
-    out = found.join(nearest, "_dir", "left")
-    return out.select(*rest, "license", "score", "is_license_file", "inherited", F.coalesce("license", "inherited").alias("effective"))
+    dirs = docs.where("path is not null").select(directory.alias("dir")).distinct()
+    ups = dirs.select("dir", F.explode(F.when(F.col("dir") == "", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(F.split("dir", "/"))))).alias("depth"))
+    ups = ups.withColumn("up", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.col("depth")), "/"))
+    nearest = saved(ups.join(files, "up").groupBy("dir").agg(F.max_by("from_up", "depth").alias("from_up")), "nearest")
+    own = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(rest)), F.col("path").alias("path"), directory.alias("dir"), keys["k1"].alias("k1"), keys["k2"].alias("k2"))
+    out = own.join(matches, ["k1", "k2"], "left").join(nearest, "dir", "left")
+    back = [F.col(f"_{i}").alias(c) for i, c in enumerate(rest)]
+    return out.select(*back, "license", "score", is_file.alias("is_license_file"), F.col("from_up").alias("inherited"), F.coalesce("license", "from_up").alias("effective"))
