@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import saved
 
 _SEGMENT = 64
+_RUN = 256
 #: Up to so many rows of ids are sent to all tasks; beyond, the join shuffles.
 _BROADCAST_ROWS = 400_000
 
@@ -37,16 +38,49 @@ def _halves(line: Column) -> Column:
     return F.flatten(F.transform(sizes, lambda m: F.array(F.xxhash64(F.lit(0), m, F.left(line, F.floor(m / 2).cast("int"))), F.xxhash64(F.lit(1), m, F.right(line, F.floor(m / 2).cast("int"))))))
 
 
-def _segments(lines: DataFrame) -> DataFrame:
-    """Each line's segments: whole ones, and ones a character short, as the line has them if it is the shorter of a pair."""
-    rows = lines.select("k1", "doc_id", "line_no", "line", F.explode(F.sequence(F.lit(0), F.floor(F.length("line") / _SEGMENT).cast("int"))).alias("j"))
-    rows = rows.withColumn("short", F.explode(F.array(F.lit(0), F.lit(1))))
-    start, size = F.col("j") * _SEGMENT, _SEGMENT - F.col("short")
-    parts = rows.select(
-        "k1", "doc_id", "line_no", "j", "short", F.xxhash64(F.left("line", start)).alias("before"), F.xxhash64(F.substring("line", start + size + 1, F.length("line"))).alias("after"),
-        F.substring("line", start + 1, size).alias("segment"),
-    )
-    return parts.withColumn("frame", F.xxhash64("j", "before", "after"))
+def _chain(parts: str, last: str) -> str:
+    """SQL of running hashes of an array of strings: for each place the hash of all before it, from the end that `last`
+    names (before: from the front; after: from the back). Empty parts change nothing. The hashes are put together in runs,
+    since an append copies its array.
+    """
+    at = "i" if last == "before" else f"size({parts}) - 1 - i"
+    step = f"(a, i) -> array_append(a, if(get({parts}, {at}) = '', element_at(a, -1), xxhash64(element_at(a, -1), get({parts}, {at}))))"
+    run = f"aggregate(sequence(b * {_RUN}, least((b + 1) * {_RUN}, size({parts})) - 1), array(if(b = 0, 0L, element_at(element_at(r, -1), -1))), {step})"
+    found = f"aggregate(sequence(0, cast((size({parts}) - 1) div {_RUN} AS int)), cast(array() AS array<array<bigint>>), (r, b) -> array_append(r, {run}), r -> flatten(transform(r, (x, k) -> slice(x, 1, size(x) - 1))))"
+    return found if last == "before" else f"reverse({found})"
+
+
+def _within_one(a: str, b: str) -> Column:
+    """Whether at most one character is inserted, deleted or replaced. Long lines are compared from their first difference
+    on, which halving finds, since the edit distance of long strings costs the square of their length.
+    """
+    middle = "cast((s.lo + s.hi + 1) div 2 AS int)"
+    step = f"if(left({a}, {middle}) = left({b}, {middle}), named_struct('lo', {middle}, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle} - 1))"
+    same = f"aggregate(sequence(0, 31), named_struct('lo', 0, 'hi', least(length({a}), length({b}))), (s, i) -> if(s.lo < s.hi, {step}, s), s -> s.lo)"
+    more = f"length({a}) - length({b})"
+    ends = f"substring({a}, {same} + if({more} >= 0, 2, 1)) = substring({b}, {same} + if({more} <= 0, 2, 1))"
+    return F.expr(f"CASE WHEN abs({more}) > 1 THEN false WHEN length({a}) <= 512 THEN levenshtein({a}, {b}, 1) BETWEEN 0 AND 1 ELSE {ends} END")
+
+
+def _segments(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each line's segments: whole ones, and ones a character short, as the line has them if it is the shorter of a pair.
+
+    before and after are hashes of all that stands in front of and behind a segment, made in one go along the line.
+    """
+    own = lines.select("k1", "doc_id", "line_no", "line")
+    # a line of one segment has nothing before or after it, so it has no frame; one that just fills it is a long line too
+    alone = own.where(F.length("line") <= _SEGMENT).select("k1", "doc_id", "line_no", F.lit(0).alias("j"), F.lit(0).alias("short"), F.col("line").alias("segment"), F.lit(None).cast("long").alias("frame"))
+    cut = lambda x: F.regexp_extract_all(x, F.lit(f"(?s).{{1,{_SEGMENT}}}"), F.lit(0))
+    long_ = own.where(F.length("line") >= _SEGMENT)
+    # where segments are full to the end, an empty one follows, which a longer line's last one becomes
+    full = F.concat(cut(F.col("line")), F.when(F.length("line") % _SEGMENT == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    behind = F.concat(F.array(F.left("line", F.lit(_SEGMENT - 1))), cut(F.substring("line", _SEGMENT, F.length("line"))))  # the same, cut one character earlier
+    long_ = long_.select("k1", "doc_id", "line_no", full.alias("full"), behind.alias("behind"))
+    chains = long_.select("*", F.expr(_chain("full", "before")).alias("before"), F.expr(_chain("full", "after")).alias("after0"), F.expr(_chain("behind", "after")).alias("after1"))
+    told = chains.select("k1", "doc_id", "line_no", F.posexplode(F.arrays_zip("full", "before", "after0", "after1")).alias("j", "x"))
+    whole = told.select("k1", "doc_id", "line_no", "j", F.lit(0).alias("short"), F.col("x.full").alias("segment"), F.xxhash64("j", "x.before", "x.after0").alias("frame")).where("segment is not null")
+    short = told.select("k1", "doc_id", "line_no", "j", F.lit(1).alias("short"), F.left("x.full", F.lit(_SEGMENT - 1)).alias("segment"), F.xxhash64("j", "x.before", "x.after1").alias("frame")).where("segment is not null")
+    return alone, whole.unionByName(short)
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
@@ -54,9 +88,9 @@ def near_lines(lines: DataFrame) -> DataFrame:
 
     lines: distinct lines by k1, each at its earliest place (doc_id, line_no), with its text in line.
     """
-    segments = _segments(lines)
-    frames = segments.groupBy("frame").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo != hi").select("frame")
-    shared = saved(segments.join(frames, "frame"), "segments")
+    alone, segments = _segments(lines)
+    frames = saved(segments.groupBy("frame").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo != hi").select("frame"), "frames")
+    shared = saved(segments.join(frames, "frame").select(alone.columns).unionByName(alone), "segments")
     place = F.struct("doc_id", "line_no")
     cut = shared.where("short = 0 and segment != ''").withColumn("i", F.explode(F.sequence(F.lit(0), F.length("segment") - 1)))
     cut = cut.select("k1", place.alias("at"), F.col("i"), F.xxhash64("frame", F.concat(F.left("segment", F.col("i")), F.substring("segment", F.col("i") + 2, F.lit(_SEGMENT)))).alias("key"))
@@ -69,7 +103,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
     best = saved(best.select("k1", "at.doc_id", "at.line_no", F.col("p.doc_id").alias("p_doc"), F.col("p.line_no").alias("p_line")), "partners")
     own = lines.select("k1", F.col("line").alias("a"))
     other = lines.select(F.col("doc_id").alias("p_doc"), F.col("line_no").alias("p_line"), F.col("line").alias("b"))
-    return best.join(own, "k1").join(other, ["p_doc", "p_line"]).where(F.levenshtein("a", "b", 1).between(0, 1)).select("k1", "doc_id", "line_no", "p_doc", "p_line")
+    return best.join(own, "k1").join(other, ["p_doc", "p_line"]).where(_within_one("a", "b")).select("k1", "doc_id", "line_no", "p_doc", "p_line")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 16) -> DataFrame:

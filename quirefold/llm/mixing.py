@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import partitions, word_count
 
 Schedule = Sequence[tuple[float, float]]
-#: Constant weights 5, 2 and 1.
-DEFAULT: tuple[Schedule, ...] = (((0.0, 5.0), (1.0, 5.0)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 1.0), (1.0, 1.0)))
+#: Weights that integrate to 5, 2 and 1: the first kind of source leads at the start, the others gain towards the end.
+DEFAULT: tuple[Schedule, ...] = (((0.0, 8.0), (1.0, 2.0)), ((0.0, 1.0), (1.0, 3.0)), ((0.0, 0.5), (1.0, 1.5)))
 
 
 def _cumulative(schedule: Schedule) -> list[float]:
@@ -75,17 +75,20 @@ def mix(docs: DataFrame, schedules: Sequence[Schedule] = DEFAULT, cap: float = 3
     docs: doc_id, text, source; all columns are kept, except that those named like a result are replaced. The size is the
     number of words; null or empty texts have 0 and are taken once where their source's turn reaches them. No copies
     means that the mix leaves the document out; none is taken over `cap` times. A source's taken words differ from its
-    target by less than one document. Order within a source: hash of seed and doc_id, then doc_id, then size, so reruns
-    agree; repeated rows are documents of their own. A null source is a source.
+    target by less than one document. Order within a source: MD5 of seed and doc_id (of the text where that is null), then
+    doc_id, then size, so reruns agree, whatever the partitions; repeated rows are documents of their own. A null source
+    is a source.
 
-    The running sum over a source is made in two steps: within blocks of the hash, and over the sums of blocks, so that
+    The running sum over a source is made in two steps: within ranges of the hash, and over the sums of ranges, so that
     the rows of a large source are in as many tasks as there are shuffle partitions.
     """
     sized = docs.withColumn("size", word_count(F.col("text").cast("string")))
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken", "positions")]
     sources = source_targets(sized, schedules, cap)
-    spread = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    dealt = sized.withColumn("_hash", spread).withColumn("_block", F.pmod(F.col("_hash"), F.lit(partitions(docs.sparkSession))).cast("int"))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    spread = F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), named)), F.lit(15)), 16, 10).cast("long")  # 60 bits
+    width = -(-(1 << 60) // partitions(docs.sparkSession))
+    dealt = sized.withColumn("_hash", spread).withColumn("_block", F.expr(f"cast(_hash div {width} AS int)"))
     sums = dealt.groupBy("source", "_block").agg(F.sum("size").alias("in_block"))
     before = sums.withColumn("_before", F.sum("in_block").over(W.partitionBy("source").orderBy("_block")) - F.col("in_block"))
     before = before.select(F.col("source").alias("_s"), F.col("_block").alias("_b"), "_before")

@@ -32,7 +32,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "positions")
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    told = mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round(F.get("positions", F.lit(0)), 6).alias("position"))
+    return told.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     of = lambda k: lambda x: x["kind"] == k
     counts = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.concat("base", "added")).alias("spans"))
+    every = F.concat("base", "added")
+    return found.select("doc_id", *counts, F.size(every).cast("long").alias("n_spans"), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(every).alias("spans"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +114,21 @@ SELECT d.doc_id, coalesce(r.n, 0) AS n_removed, coalesce(r.removed, '') AS remov
 FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+_OP4 = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, substr(md5('0:' || doc_id), 1, 15) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS which FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][which + 1] :: DOUBLE AS weight, 3.0 :: DOUBLE * source_size AS most FROM s),
+l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY most / weight, source NULLS FIRST)),
+t AS (SELECT source, source_size, which, least(most, coalesce((SELECT arg_min(level, most / weight) FROM l WHERE level <= most / weight), 'inf' :: DOUBLE) * weight) AS target FROM l),
+r AS (SELECT doc_id, size, source_size, target, which, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CASE WHEN source_size > 0 THEN least(greatest(ceil((target - start) / source_size), 0), 3) ELSE 1 END AS copies, CASE WHEN target > 0 THEN start / target ELSE 0 END AS f FROM r),
+p AS (SELECT *, [8.0, 1.0, 0.5][which + 1] :: DOUBLE AS w0, [-6.0, 2.0, 1.0][which + 1] :: DOUBLE AS slope, f * [5.0, 2.0, 1.0][which + 1] :: DOUBLE AS due FROM c)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS INT) AS copies,
+  CASE WHEN copies > 0 THEN round(least(2 * due / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * due, 0))), 1), 6) END AS position
+FROM p
+"""
+
 _OP9 = f"""
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE {_SOUND} AND len([x FOR x IN embedding IF x <> 0]) > 0),
 l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
@@ -121,4 +139,4 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 """
 
 #: The others need a trained model, XXH64 or a segmentation, which SQL lacks; brute force tests them.
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_exact_top_k": _OP2, "op3_line_dedup": _OP3, "op9_embedding_dedup": _OP9}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_exact_top_k": _OP2, "op3_line_dedup": _OP3, "op4_mixing": _OP4, "op9_embedding_dedup": _OP9}

@@ -15,7 +15,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import partitions, saved
@@ -107,20 +107,49 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return found.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _row(text: str = "text") -> Column:
+    """A hash of the text as it is, which with the doc_id names a row."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def _classes(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, k1 and k2 of every row; and the classes of the same words: k1, k2, least (doc_id and row of one that stands
+    for the class, the smallest) and first (the smallest of all classes that links reach).
+    """
+    n, doc_id = partitions(docs.sparkSession), F.col("doc_id").cast("long").alias("doc_id")
+    low = F.translate(F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    keyed = saved(docs.select(doc_id, _row().alias("row"), F.xxhash64(low).alias("k1"), F.xxhash64(low, F.lit(1)).alias("k2")), "keyed")
+    classes = keyed.groupBy("k1", "k2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("least"))
+    classes = saved(classes.withColumn("class", F.monotonically_increasing_id()), "classes")  # numbered once, by being written
+    named = classes.where("least is not null").select("class", "least.doc_id", "least.row")
+    single = docs.select(doc_id, "text", _row().alias("row")).join(named, ["doc_id", "row"]).select(F.col("class").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    single = saved(single.repartition(n, "doc_id"), "single")
+    parts = saved(connected_components(similar_links(single, shingle, similarity)), "parts")
+    joined = classes.join(parts.select(F.col("node").alias("class"), "component"), "class", "left")
+    joined = saved(joined.select("k1", "k2", "least", F.coalesce("component", "class").alias("component")), "joined")
+    first = saved(joined.groupBy("component").agg(F.min("least").alias("first")), "first")
+    return keyed, saved(joined.join(first, "component").select("k1", "k2", "least", "first"), "named")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of every row: near-duplicates whose sets of word shingles have a Jaccard similarity of
     `similarity` or more are linked.
 
     SimHash would lose pairs of that similarity, so the links come from shingle_join, which loses none. Rows of the same
-    words are one class from the start; texts without words are one class.
+    words are one class from the start; texts without words are one class. Rows that share a doc_id but not their words
+    are documents of their own; a row without doc_id gets the smallest of its group, or null.
     """
-    n = partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    low = F.translate(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keyed = saved(rows.select("doc_id", F.xxhash64(low).alias("k1"), F.xxhash64(low, F.lit(1)).alias("k2")), "keyed")
-    classes = saved(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    single = rows.join(classes.where("rep is not null").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    single = saved(single.repartition(n, "doc_id"), "single")
-    parts = saved(connected_components(similar_links(single, shingle, similarity)), "parts")
-    named = saved(classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id")), "named")
-    return keyed.join(named, ["k1", "k2"]).select("doc_id", "component_id")
+    keyed, named = _classes(docs, shingle, similarity)
+    return keyed.join(named, ["k1", "k2"]).select("doc_id", F.col("first.doc_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one with the smallest doc_id, of several such rows the one
+    whose text has the smallest hash, of equal texts the one of the smallest columns. Rows without doc_id all stay.
+    """
+    own = docs.where("doc_id is not null")
+    named = _classes(own, shingle, similarity)[1]
+    stay = named.select("first.*").distinct().select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    kept = own.withColumn("_row", _row()).withColumn("_id", F.col("doc_id").cast("long")).join(stay, ["_id", "_row"])
+    kept = kept.groupBy("_id", "_row").agg(F.min(F.struct(*docs.columns)).alias("s")).select("s.*")
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import hashing
-from quirefold.llm.common import on_group, on_groups, partitions
+from quirefold.llm.common import WORD, on_group, on_groups
 
 U = np.uint64
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -207,7 +207,7 @@ def _cut(docs: pa.Table, answers: pa.Table, window: int, buckets: int) -> pa.Tab
     })
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, groups: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, group_bytes: int = 12 << 20) -> DataFrame:
     """Removes words covered by a window of `window` words that starts in a document with a smaller doc_id too.
 
     docs: doc_id (integer), text; other columns are ignored. Windows are judged on the input. Returns one row for each
@@ -215,15 +215,20 @@ def substring_dedup(docs: DataFrame, window: int = 13, groups: int | None = None
     space). A null or empty text has no words. Rows that share a doc_id are not compared with each other; a row whose
     doc_id is null keeps all words and removes none elsewhere. Hashes decide: 64 + 16 bits beside the bucket's.
 
-    groups: how many groups the documents are dealt into, by default one for each shuffle partition, and as many buckets.
+    group_bytes: about how much text a group holds. The number of groups, and of buckets, follows from the size of all
+    texts, so a task's memory does not grow with the data; a single text may be larger than a group.
     """
-    n = partitions(docs.sparkSession)
-    groups, buckets = groups or n, n
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
-    own = {"window": window, "buckets": buckets}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    groups = -(-size // group_bytes) or 1
+    dealt = rows.where("doc_id is not null").withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    own = {"window": window, "buckets": groups}
     sent, answered = "bucket int, g int, data binary", "g int, step int, bucket int, bits binary"
     probes = dealt.groupBy("g").applyInArrow(on_group(_probe, **own), sent)
     shared = probes.groupBy("bucket").applyInArrow(on_group(_answer, step=1), answered)
     around = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(on_groups(_extend, **own), sent)
     earlier = around.groupBy("bucket").applyInArrow(on_group(_answer, step=2), answered)
-    return dealt.groupBy("g").cogroup(shared.unionByName(earlier).groupBy("g")).applyInArrow(on_groups(_cut, **own), _OUT)
+    cut = dealt.groupBy("g").cogroup(shared.unionByName(earlier).groupBy("g")).applyInArrow(on_groups(_cut, **own), _OUT)
+    words = F.coalesce(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    nameless = rows.where("doc_id is null").select("doc_id", F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array_join(words, " ").alias("kept_text"))
+    return cut.unionByName(nameless)

@@ -9,7 +9,7 @@ import xxhash
 
 from quirefold.llm.components import connected_components
 from quirefold.llm.line_dedup import line_dedup
-from quirefold.llm.simhash_dedup import near_duplicates, near_pairs, simhash_components
+from quirefold.llm.simhash_dedup import drop_near_duplicates, near_duplicates, near_pairs, simhash_components
 from quirefold.llm.substring_dedup import substring_dedup
 from tests.llm.fixtures import documents, frame, unlike
 
@@ -119,6 +119,21 @@ def test_line_dedup(spark, rows):
     assert line_dedup(unlike(spark)).count() == 0
 
 
+def test_many_short_lines_one_edit_apart(spark):
+    rows = [(i, f"a line that says {'abcdefghij'[i % 10]} {i // 10:03d} and no more") for i in range(10_000)]
+    got = {r.doc_id: r.text for r in line_dedup(frame(spark, rows)).collect()}
+    assert sorted(i for i, t in got.items() if t) == [i for i, t in brute_lines(rows[:400]) if t]  # all others are one edit from one of these
+
+
+def test_near_equal_lines_of_a_million_characters(spark):
+    import random
+
+    r = random.Random(6)
+    base = "".join(r.choice("abcdefgh ") for _ in range(1_000_000))
+    rows = [(0, base), (1, base[:500_000] + "#" + base[500_001:]), (2, base[:70] + base[71:]), (3, base + "!"), (4, base[:999_990] + "##" + base[999_992:])]
+    assert {x.doc_id: len(x.removed) for x in line_dedup(frame(spark, rows)).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0}
+
+
 def brute_simhash(text, n=3):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -197,3 +212,12 @@ def test_near_duplicates(spark):
     assert all(want[a] == want[c] for a, c in got.items())  # no group holds what does not belong together
     assert sum(got[a] == got[b] for a, b in links) >= 0.95 * len(links) > 0
     assert near_duplicates(unlike(spark)).count() == 0
+
+
+def test_rows_that_share_a_doc_id_are_kept_apart(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, one), (1, two), (2, one + " more"), (3, two), (None, one), (1, one), (4, None), (5, "")]
+    got = drop_near_duplicates(frame(spark, rows))
+    assert got.columns == frame(spark, rows).columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, one), (1, two), (None, one), (4, None)], key=str)
+    assert drop_near_duplicates(unlike(spark)).count() == 0

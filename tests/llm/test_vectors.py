@@ -46,10 +46,21 @@ def test_top_k(spark):
     assert exact_top_k(frame(spark, []), F.col("vec_id") % 100 == 0).count() == 0
 
 
-def test_huge_components_do_not_overflow(spark):
-    rows = [(0, [1e300, -1e300]), (1, [1e300, 0.0]), (2, [-1e300, 5.0])]
-    got = [tuple(x) for x in exact_top_k(frame(spark, rows), F.col("vec_id") == 0).select("rank", "vec_id").collect()]
-    assert sorted(got) == [(1, 1), (2, 2)]
+def test_large_scores_are_exact(spark):
+    big = float(1 << 50)  # 2^60 once scaled: products with small whole numbers pass 2^61
+    rows = [(0, [3.0 / 1024, 1.0 / 1024])] + [(i, [big * 2, float(i)]) for i in range(1, 6)] + [(6, [-big * 2, 0.0]), (7, [big * 2, 5.5])]
+    got = [(r["rank"], r.vec_id, r.score) for r in exact_top_k(frame(spark, rows), F.col("vec_id") == 0).collect()]
+    top = 3 * (1 << 61)
+    assert sorted(got) == [(1, 7, top + 5632), (2, 5, top + 5120), (3, 4, top + 4096), (4, 3, top + 3072), (5, 2, top + 2048), (6, 1, top + 1024), (7, 6, -top)]
+    rows = [(0, [1e300, -1e300]), (1, [1e300, 0.0]), (2, [-1e300, 5.0]), (3, [1e308, 1e308])]
+    got = [(r["rank"], r.vec_id, r.score) for r in exact_top_k(frame(spark, rows), F.col("vec_id") == 0).collect()]
+    assert sorted(got) == [(1, 1, 2**63 - 1), (2, 3, 0), (3, 2, -(2**63))]
+
+
+def test_rows_that_share_the_id_of_a_query(spark):
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (0, [1.0, 0.0]), (1, [3.0, 0.0])]
+    got = [(r["rank"], r.vec_id, r.score >> 20) for r in exact_top_k(frame(spark, rows), F.col("vec_id") == 0).collect()]
+    assert sorted(got) == [(1, 1, 3), (2, 0, 2), (3, 0, 1)]
 
 
 def test_embedding_dedup(spark):
