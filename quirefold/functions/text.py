@@ -4,7 +4,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Sentence terminators and characters a token, by language.
-PROFILES = {"zh": ("。！？…", 1.5), "ja": ("。！？…", 1.5), "ko": (".!?…。", 2.0), "en": (".!?…", 4.0)}
+PROFILES = {"zh": ("。！？…", 1.5), "ja": ("。！？…", 1.5), "ko": (".!?…", 2.0), "en": (".!?…", 4.0)}
+#: Marks that end a sentence, and look-alikes of the space and of the hyphen.
+ENDERS = ".!?…。！？」』”\"’'）)।॥۔؟։።"
+SPACES, HYPHENS = "\u00a0\u202f\u2007\u2009", "\u2010\u2011"
+#: Characters that are not of the source script; marks that no glossary term holds.
 _HAN = r"[^㐀-䶿一-鿿豈-﫿]"
 
 
@@ -20,13 +24,18 @@ def han_count(text: Column) -> Column:
 
 def is_prose(line: Column) -> Column:
     """A line of 48 characters or more, or of 24 that ends a sentence."""
-    trimmed = F.trim(line)
-    return (F.length(trimmed) >= 48) | ((F.length(trimmed) >= 24) & F.right(trimmed, F.lit(1)).isin(*'.!?…。！？"”'))
+    return (F.length(line) >= 48) | ((F.length(line) >= 24) & F.right(line, F.lit(1)).isin(*ENDERS))
 
 
 def lint(text: Column) -> Column:
-    """Space variants become a space, hyphen variants a hyphen."""
-    return F.translate(text, "   　‐‑", "    --")
+    """Look-alike spaces become a space, look-alike hyphens a hyphen."""
+    return F.translate(text, SPACES + HYPHENS, " " * len(SPACES) + "-" * len(HYPHENS))
+
+
+def untranslated(text: Column, source: Column, target: Column, most: int = 30) -> Column:
+    """Whether more than `most` Han characters are left in a translation from Chinese into another language."""
+    chinese = lambda lang: F.substring_index(lang, "-", 1) == "zh"
+    return F.coalesce(chinese(source) & ~chinese(target) & (han_count(text) > most), F.lit(False))
 
 
 def normalized_rendering(text: Column) -> Column:
@@ -53,12 +62,12 @@ def idempotency_key(*parts: Column) -> Column:
 
 
 def duration_seconds(text: Column) -> Column:
-    """Seconds of '2m3.5s', '750ms', '7' or '7 sec'; null for anything else."""
-    t = F.lower(F.trim(text))
-    plain = F.regexp_extract(t, r"^([0-9]+(?:\.[0-9]+)?)\s*(?:s|sec|secs|second|seconds)?$", 1).try_cast("double")
-    part = lambda unit: F.coalesce(F.regexp_extract(t, rf"([0-9]+(?:\.[0-9]+)?){unit}(?![a-z])", 1).try_cast("double"), F.lit(0.0))
-    mixed = F.when(t.rlike(r"^(?:[0-9]+(?:\.[0-9]+)?(?:ms|h|m|s))+$"), part("h") * 3600 + F.coalesce(F.regexp_extract(t, r"([0-9]+(?:\.[0-9]+)?)m(?!s)", 1).try_cast("double"), F.lit(0.0)) * 60 + F.coalesce(F.regexp_extract(t, r"([0-9]+(?:\.[0-9]+)?)s$", 1).try_cast("double"), F.lit(0.0)) * F.when(t.rlike("ms$"), 0).otherwise(1) + part("ms") / 1000)
-    return F.coalesce(plain, mixed)
+    """Seconds of a plain number or of '2m3.5s', '2 min 3 sec', '7 seconds'; not below 0; null for anything else."""
+    number, unit = r"[0-9]+(?:\.[0-9]+)?", r"(?i)^\s*(?:({0})\s*m(?:in(?:ute)?s?)?\s*)?({0})\s*s(?:ec(?:ond)?s?)?\s*$"
+    plain = F.when(text.rlike(r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"), F.trim(text).try_cast("double"))
+    minutes = F.coalesce(F.regexp_extract(text, unit.format(number), 1).try_cast("double"), F.lit(0.0))
+    found = F.coalesce(plain, minutes * 60 + F.regexp_extract(text, unit.format(number), 2).try_cast("double"))
+    return F.when(found.isNotNull(), F.greatest(found, F.lit(0.0)))
 
 
 def usable_term(source: Column, target: Column, cjk_target: Column) -> Column:

@@ -1,5 +1,6 @@
 """Token-budget chunks with offsets, one fold for each text."""
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,28 +11,31 @@ from quirefold.functions.text import PROFILES
 _KIND = pa.list_(pa.struct([("ordinal", pa.int32()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
+def sentences(paragraph: str, ends: str) -> list[str]:
+    """A paragraph cut after every terminator; blank pieces are left out."""
+    return [x for x in re.split(f"(?<=[{re.escape(ends)}])", paragraph) if x.strip()]
+
+
 def chunk(text: str, lang: str | None, budget: int) -> list[dict]:
-    """Whole sentences packed up to `budget` tokens; a longer sentence stays alone. Offsets rise, and text[start:end] is
-    the chunk. Paragraphs, cut at blank lines, are not joined."""
+    """Whole sentences packed up to `budget` tokens, over paragraphs too; a longer sentence stays whole.
+
+    Paragraphs are cut at blank lines. A sentence stands where its text first occurs in its paragraph, so one that is
+    repeated counts as standing at the first place. text[start:end] is the chunk.
+    """
     ends, per_token = PROFILES.get(lang or "", PROFILES["en"])
-    limit, out, at = budget * per_token, [], 0
+    out, start, end, size, at = [], None, 0, 0.0, 0
     for paragraph in text.split("\n\n"):
-        first = last = None
-        start = at
-        for k in range(at, at + len(paragraph)):
-            if text[k] in ends or k == at + len(paragraph) - 1:
-                if text[start : k + 1].strip():
-                    if first is not None and k + 1 - first > limit:
-                        out.append((first, last))
-                        first = None
-                    first = start if first is None else first
-                    last = k + 1
-                start = k + 1
-        if first is not None:
-            out.append((first, last))
-        at += len(paragraph) + 2
-    trimmed = [(a + len(text[a:b]) - len(text[a:b].lstrip()), b - len(text[a:b]) + len(text[a:b].rstrip())) for a, b in out]
-    return [{"ordinal": i, "text": text[a:b], "start": a, "end": b} for i, (a, b) in enumerate(trimmed)]
+        begin, at = at, at + len(paragraph) + 2
+        for sentence in sentences(paragraph, ends):
+            cost, place = len(sentence) / per_token, text.index(sentence, begin)
+            if start is not None and size + cost > budget:
+                out.append((start, end))
+                start, size = None, 0.0
+            start = place if start is None else start
+            end, size = place + len(sentence), size + cost
+    if start is not None:
+        out.append((start, end))
+    return [{"ordinal": i, "text": text[a:b], "start": a, "end": b} for i, (a, b) in enumerate(out)]
 
 
 def chunk_text(docs: DataFrame, budget: int = 400) -> DataFrame:

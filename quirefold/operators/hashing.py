@@ -3,6 +3,7 @@
 import hashlib
 import json
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,23 +13,36 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def simhash64(text: str, size: int = 5) -> int:
-    """Votes of the bits of all `size`-character shingles, each hashed by the first 8 bytes of its SHA-256."""
-    plain = " ".join(unicodedata.normalize("NFKC", text).lower().split())
-    if not plain:
-        return 0
-    shingles = [plain[i : i + size] for i in range(max(1, len(plain) - size + 1))]
-    raw = b"".join(hashlib.sha256(x.encode()).digest()[:8] for x in shingles)
-    ones = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big")
+class Shingles:
+    """Bits of shingles' hashes, the first 8 bytes of their SHA-256, remembered within a task."""
+
+    def __init__(self, size: int = 5, most: int = 1 << 18):
+        self.size, self.most, self.known = size, most, {}
+
+    def bits(self, shingles: list[str]) -> np.ndarray:
+        if len(self.known) > self.most:
+            self.known.clear()
+        missing = [x for x in shingles if x not in self.known]
+        self.known.update((x, int.from_bytes(hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest()[:8], "big")) for x in missing)
+        return np.array([self.known[x] for x in shingles], dtype=np.uint64)
+
+    def simhash(self, text: str) -> int:
+        """The votes of all shingles of `size` characters of the text in lower case with single spaces; a bit is set if it
+        is in over half of them. A shorter text, the empty one too, is one shingle."""
+        plain = " ".join(unicodedata.normalize("NFKC", text).lower().split())
+        counts = Counter(plain[i : i + self.size] for i in range(max(1, len(plain) - self.size + 1)))
+        marks, weights = self.bits(list(counts)), np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+        ones = weights @ np.unpackbits(marks.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        return int.from_bytes(np.packbits(2 * ones > weights.sum()).tobytes(), "big")
 
 
 def hash_content(docs: DataFrame) -> DataFrame:
     """docs (text and others) with sha256 and simhash (simhash64-v1: and 16 hex digits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles()
         for batch in batches:
-            marks = [f"simhash64-v1:{simhash64(t or ''):016x}" for t in batch["text"].to_pylist()]
+            marks = [f"simhash64-v1:{shingles.simhash(t or ''):016x}" for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks)], [*batch.schema.names, "simhash"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -90,10 +90,3 @@ def batches(sizes: Column, budget: int) -> Column:
 def observed(seconds: Column, ticks: Column) -> Column:
     """Whether a sample was watched: four fifths of the half-second ticks that its length asks for, one forgiven."""
     return ticks >= F.greatest(F.lit(1.0), seconds * 1.6 - 1)
-
-
-def embedding_space(provider: Column, model: Column, has_credential: Column, default_model: str) -> Column:
-    """The vector space that a configuration names; null, so that nothing is retrieved, if disabled or without credential."""
-    named = F.when(provider == "auto", "gemini").otherwise(provider)
-    chosen = F.when(provider == "auto", F.lit(default_model)).otherwise(model)
-    return F.when((provider != "disabled") & (~named.isin("gemini", "openrouter") | has_credential), F.concat_ws(":", named, chosen))

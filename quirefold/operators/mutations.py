@@ -21,10 +21,11 @@ def insert_new(existing: DataFrame, rows: DataFrame, keys: Sequence[str], *order
 
 
 def ingest(existing: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """Chapters new to a novel by source_url and then by raw_hash; of a batch's repeats the first arrival."""
+    """Chapters new to a novel by source_url, where it is set, and then by raw_hash; of a batch's repeats the first arrival."""
     fresh = arrivals.join(existing.select("novel_id", "source_url"), ["novel_id", "source_url"], "left_anti").join(existing.select("novel_id", "raw_hash"), ["novel_id", "raw_hash"], "left_anti")
-    by_url = fresh.withColumn("_n", F.row_number().over(W.partitionBy("novel_id", "source_url").orderBy("arrival"))).filter("_n = 1").drop("_n")
-    return by_url.withColumn("_n", F.row_number().over(W.partitionBy("novel_id", "raw_hash").orderBy("arrival"))).filter("_n = 1").drop("_n")
+    named = fresh.where("source_url is not null").withColumn("_n", F.row_number().over(W.partitionBy("novel_id", "source_url").orderBy("arrival"))).filter("_n = 1").drop("_n")
+    either = named.unionByName(fresh.where("source_url is null"))
+    return either.withColumn("_n", F.row_number().over(W.partitionBy("novel_id", "raw_hash").orderBy("arrival"))).filter("_n = 1").drop("_n")
 
 
 def put(existing: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:

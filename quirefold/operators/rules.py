@@ -73,9 +73,13 @@ def aligned_positions(display: DataFrame, source: DataFrame, key: str, window: i
 
 
 def repeated_stem(texts: DataFrame, key: str, width: int = 10, least: int = 4, share: float = 0.6) -> DataFrame:
-    """Keys of texts of which at least `least` lines, and `share` of all that are not blank, begin with the same characters."""
-    stems = texts.select(key, F.explode(F.split("text", "\n")).alias("line")).where("trim(line) != ''").groupBy(key, F.left(F.trim("line"), F.lit(width)).alias("stem")).agg(F.count("*").alias("n"))
-    return stems.groupBy(key).agg(F.max("n").alias("top"), F.sum("n").alias("lines")).where((F.col("top") >= least) & (F.col("top") >= share * F.col("lines")))
+    """Keys of texts of which at least `least` lines, and `share` of all that are not blank, begin with the same `width`
+    characters. Shorter lines count as lines, but have no such beginning.
+    """
+    lines = texts.select(key, F.explode(F.split("text", "\n")).alias("line")).where("trim(line) != ''").withColumn("line", F.trim("line"))
+    stems = lines.groupBy(key, F.when(F.length("line") >= width, F.left("line", F.lit(width))).alias("stem")).agg(F.count("*").alias("n"))
+    counted = stems.groupBy(key).agg(F.max(F.when(F.col("stem").isNotNull(), F.col("n"))).alias("top"), F.sum("n").alias("lines"))
+    return counted.where((F.col("top") >= least) & (F.col("top") * 10 >= F.lit(round(share * 10)) * F.col("lines")))
 
 
 def as_of_attribute(facts: DataFrame, at: int, keys: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 MAX_ALIASES = 100_000
 #: Languages written without spaces, where a name needs no boundary.
-UNSPACED = {"zh", "ja", "ko", "th"}
+UNSPACED = {"zh", "ja", "ko"}
 _SPAN = "struct<alias_id:string,byte_start:int,byte_end:int,char_start:int,char_end:int>"
 
 
@@ -27,7 +27,7 @@ def _automaton(aliases: tuple[tuple[str, str], ...]):
             by_surface.setdefault(surface, set()).add(alias_id)
     found = ahocorasick.Automaton()
     for surface, ids in by_surface.items():
-        found.add_word(surface, (surface, tuple(sorted(ids))))
+        found.add_word(surface, (tuple(sorted(ids)), len(surface), len(surface.encode())))
     if by_surface:
         found.make_automaton()
     return found if by_surface else None
@@ -39,27 +39,34 @@ def _word(c: str) -> bool:
 
 def whole_name(text: str, start: int, end: int, lang: str | None) -> bool:
     """Whether a match stands alone: no letter is glued to an edge that is a letter itself."""
-    if (lang or "") in UNSPACED:
+    if (lang or "").split("-")[0] in UNSPACED:
         return True
     left = start > 0 and _word(text[start - 1]) and _word(text[start])
     right = end < len(text) and _word(text[end]) and _word(text[end - 1])
     return not (left or right)
 
 
-def spans(text: str, lang: str | None, automaton) -> list[dict]:
-    """The spans of one text. A longest match without boundary still uses up its characters."""
+_FIELDS = ("alias_id", "byte_start", "byte_end", "char_start", "char_end")
+
+
+def spans(text: str, lang: str | None, automaton, out: dict[str, list]) -> None:
+    """Adds the spans of one text to the columns of out. A longest match without boundary still uses up its characters."""
     if automaton is None or not text:
-        return []
-    chosen, bytes_at, seen_chars = [], 0, 0
-    for last, (surface, ids) in automaton.iter_long(text):
-        start, end = last - len(surface) + 1, last + 1
-        if not whole_name(text, start, end, lang):
+        return
+    plain, free = text.isascii(), (lang or "").split("-")[0] in UNSPACED
+    at, seen = 0, 0
+    for last, (ids, chars, size) in automaton.iter_long(text):
+        start, end = last - chars + 1, last + 1
+        if not free and not whole_name(text, start, end, lang):
             continue
-        bytes_at += len(text[seen_chars:start].encode())
-        seen_chars = start
-        size = len(surface.encode())
-        chosen += [{"alias_id": i, "byte_start": bytes_at, "byte_end": bytes_at + size, "char_start": start, "char_end": end} for i in ids]
-    return chosen
+        if plain:
+            at = start
+        else:
+            at += len(text[seen:start].encode())
+            seen = start
+        for i in ids:
+            for name, value in zip(_FIELDS, (i, at, at + size, start, end), strict=True):
+                out[name].append(value)
 
 
 def scan_mentions(docs: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -74,10 +81,15 @@ def scan_mentions(docs: DataFrame, aliases: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(shipped.value)
-        kind = pa.list_(pa.struct([("alias_id", pa.string()), *((k, pa.int32()) for k in ("byte_start", "byte_end", "char_start", "char_end"))]))
         for batch in batches:
-            found = [spans(t, lang, automaton) for t, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "spans"])
+            out: dict[str, list] = {k: [] for k in _FIELDS}
+            ends = [0]
+            for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
+                spans(text, lang, automaton, out)
+                ends.append(len(out["alias_id"]))
+            columns = [pa.array(out[k], pa.string() if k == "alias_id" else pa.int32()) for k in _FIELDS]
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, list(_FIELDS)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "spans"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{schema}, spans array<{_SPAN}>")

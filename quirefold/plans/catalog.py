@@ -113,19 +113,45 @@ def b19_rendering_status(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", states.rendering_status(F.col("l_linenumber"), F.col("l_partkey") % 20, F.col("l_returnflag") == "R", 3).alias("status"))
 
 
-CODES = "CASE event_id % 6 WHEN 0 THEN 'provider_http_503' WHEN 1 THEN 'provider_http_404' WHEN 2 THEN 'quota_exhausted' WHEN 3 THEN 'provider_timeout' WHEN 4 THEN 'odd' END"
-
-
-@query(f"WITH c AS (SELECT event_id, {CODES} AS code FROM events) SELECT event_id, CASE WHEN starts_with(code, 'provider_http_') AND TRY_CAST(substring(code, 15, 3) AS INT) >= 500 THEN 'outage' WHEN code = 'quota_exhausted' THEN 'quota' WHEN code = 'provider_timeout' THEN 'slow' ELSE 'failed' END AS category, CASE WHEN code IN ('quota_exhausted', 'provider_timeout') OR regexp_matches(code, '^provider_http_[0-9]{{3}}$') THEN code ELSE 'stage_failed' END AS safe FROM c")
+#: Code, what a reader is shown of it, and what may leave the engine, one row for every rule.
+CODES = (
+    (None, "", "stage_failed"), ("", "", "stage_failed"), ("provider_retry_exhausted", "provider_retry_exhausted", "provider_retry_exhausted"), ("output_limit", "output_limit", "output_limit"), ("model_changed", "unknown", "model_changed"),
+    ("provider_http_401", "credential_rejected", "provider_http_401"), ("provider_http_404", "model_not_available", "provider_http_404"), ("provider_http_408", "timeout", "stage_failed"), ("provider_http_429", "rate_limited", "provider_http_429"),
+    ("provider_http_499", "unknown", "stage_failed"), ("provider_http_503", "model_server_error", "stage_failed"), ("provider_http_", "unknown", "stage_failed"), ("provider_http_5x", "unknown", "stage_failed"), ("provider_timeout", "timeout", "provider_timeout"),
+    ("provider_connection", "unreachable", "provider_connection"), ("quota_exhausted", "unknown", "quota_exhausted"), ("odd", "unknown", "stage_failed"), ("prompt_too_large", "prompt_too_large", "prompt_too_large"),
+)
+_pick = lambda values, i: f"[{', '.join('NULL' if v is None else f'{v!r}e0' if isinstance(v, float) else repr(v) for v in values)}][event_id % {len(values)} + 1] AS {i}"
+_elt = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % len(values) + 1).cast("int"))
+
+
+@query(f"SELECT event_id, {_pick([c[1] for c in CODES], 'category')}, {_pick([c[2] for c in CODES], 'safe')} FROM events")
 def b23_b24_error_category(spark, d):
-    rows = table(spark, d, "events").select("event_id", F.expr(CODES).alias("code"))
+    rows = table(spark, d, "events").select("event_id", _elt([c[0] for c in CODES]).alias("code"))
     return rows.select("event_id", states.reader_category(F.col("code")).alias("category"), states.safe_code(F.col("code")).alias("safe"))
 
 
-@query("WITH m AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Rate limit: retry in ' || (event_id % 90) || '.5s' WHEN 1 THEN 'daily QUOTA used' WHEN 2 THEN 'timed out' ELSE 'what' END AS msg FROM events) SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'provider_rate_limited' WHEN 1 THEN 'quota_exhausted' WHEN 2 THEN 'provider_timeout' ELSE 'stage_failed' END AS code, CASE WHEN event_id % 4 = 0 THEN (event_id % 90) + 0.5::DOUBLE END AS hint FROM m")
+#: Category, kind, status, path, body, retry-after and message of an error; its code, its class, the wait it names, and
+#: whether it is a quota used up. One row for every kind of rule.
+ERRORS = (
+    ("request_budget", None, None, None, None, None, None, "prompt_too_large", "unknown", None, False), ("unreachable", None, None, None, None, None, None, "model_unreachable", "model_unreachable", None, False),
+    ("embed_unavailable", None, None, None, None, None, None, "embed_unavailable", "embed_unavailable", None, False), (None, "timeout", None, None, None, None, "ReadTimeout: timed out", "provider_timeout", "timeout", None, False),
+    (None, "transport", None, None, None, None, "ConnectError: All connection attempts failed", "provider_connection", "model_unreachable", None, False), (None, "status", 413, "/v1/messages", "", None, "", "provider_http_413", "prompt_too_large", None, False),
+    (None, "status", 400, "/v1/messages", '{"error": {"code": "json_validate_failed"}}', None, "", "provider_http_400", "provider_invalid_json", None, False), (None, "status", 422, "/x", '{"error": "what"}', None, "", "provider_http_422", "provider_bad_request", None, False),
+    (None, "status", 404, "/v1/chat/completions", "", None, "", "provider_http_404", "model_not_available", None, False), (None, "status", 404, "/books/1", "", None, "book not found", "provider_http_404", "not_found", None, False),
+    (None, "status", 429, "/v1/messages", "Please retry in 55.5s.", None, "", "provider_http_429", "rate_limited", 55.5, False), (None, "status", 429, "/v1/messages", '"retryDelay": "7200s"', None, "", "provider_http_429", "quota_exhausted", 7200.0, True),
+    (None, "status", 429, "/v1/messages", "slow down", "4000", "", "provider_http_429", "quota_exhausted", None, True), (None, "status", 429, "/v1/messages", "DAILY limit", "soon", "", "provider_http_429", "quota_exhausted", None, True),
+    (None, "status", 502, "/v1/messages", "", None, "", "provider_http_502", "model_server_error", None, False), (None, "batch", None, None, None, None, "x", "provider_batch_failed", "unknown", None, False),
+    (None, "value", None, None, None, None, "x", "invalid_stage_output", "unknown", None, False), (None, None, None, None, None, None, "Ollama exhausted num_predict; refusing incomplete output", "output_truncated", "output_truncated", None, False),
+    (None, None, None, None, None, None, "No configured API key", "credential_missing", "credential_missing", None, False), (None, None, None, None, None, None, "provider unreachable: ReadTimeout", "model_unreachable", "model_unreachable", None, False),
+    (None, None, None, None, None, None, "what", "stage_failed", "unknown", None, False), (None, None, None, None, None, None, None, "stage_failed", "unknown", None, False),
+)
+
+
+@query("SELECT event_id, " + ", ".join(_pick([e[7 + i] for e in ERRORS], n) for i, n in enumerate(("code", "class", "hint", "used_up"))) + " FROM events")
 def b25_b26_error_code(spark, d):
-    msg = F.expr("CASE event_id % 4 WHEN 0 THEN 'Rate limit: retry in ' || (event_id % 90) || '.5s' WHEN 1 THEN 'daily QUOTA used' WHEN 2 THEN 'timed out' ELSE 'what' END")
-    return table(spark, d, "events").select("event_id", states.error_code(msg).alias("code"), states.retry_hint(msg).alias("hint"))
+    e = table(spark, d, "events").select("event_id", *(_elt([x[i] for x in ERRORS]).cast("int" if n == "status" else "string").alias(n) for i, n in enumerate(("category", "kind", "status", "path", "body", "retry_after", "message"))))
+    own = [F.col(n) for n in ("status", "path", "body", "retry_after", "message")]
+    return e.select("event_id", states.error_code(F.col("category"), F.col("kind"), *own).alias("code"), states.failure_category(F.col("category"), *own).alias("class"), states.retry_hint(F.col("body")).alias("hint"), states.quota_exhausted(F.col("body"), F.col("retry_after")).alias("used_up"))
 
 
 @query("SELECT c_custkey, coalesce(o.n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON c_custkey = o_custkey")
@@ -370,9 +396,9 @@ def h05_correct_term(spark, d):
     return mutations.correct_term(g, c)
 
 
-@query("WITH a AS (SELECT source AS novel_id, doc_id % 97 AS source_url, sha256(text) AS raw_hash, doc_id AS arrival FROM documents), u AS (SELECT *, row_number() OVER (PARTITION BY novel_id, source_url ORDER BY arrival) AS n FROM a), h AS (SELECT *, row_number() OVER (PARTITION BY novel_id, raw_hash ORDER BY arrival) AS m FROM u WHERE n = 1) SELECT novel_id, arrival FROM h WHERE m = 1")
+@query("WITH a AS (SELECT source AS novel_id, nullif(doc_id % 97, 5) AS source_url, sha256(text) AS raw_hash, doc_id AS arrival FROM documents), u AS (SELECT *, row_number() OVER (PARTITION BY novel_id, source_url ORDER BY arrival) AS n FROM a), h AS (SELECT *, row_number() OVER (PARTITION BY novel_id, raw_hash ORDER BY arrival) AS m FROM u WHERE n = 1 OR source_url IS NULL) SELECT novel_id, arrival FROM h WHERE m = 1")
 def h15_ingest_dedup(spark, d):
-    a = table(spark, d, "documents").select(F.col("source").alias("novel_id"), (F.col("doc_id") % 97).alias("source_url"), F.sha2("text", 256).alias("raw_hash"), F.col("doc_id").alias("arrival"))
+    a = table(spark, d, "documents").select(F.col("source").alias("novel_id"), F.nullif(F.col("doc_id") % 97, F.lit(5)).alias("source_url"), F.sha2("text", 256).alias("raw_hash"), F.col("doc_id").alias("arrival"))
     return mutations.ingest(a.limit(0), a).select("novel_id", "arrival")
 
 
@@ -415,10 +441,10 @@ def t30_normalized(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.normalized_rendering(F.col("text")).alias("plain"))
 
 
-@query("SELECT doc_id, CAST(pos AS INT) AS pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) WHERE length(trim(line)) >= 48 OR (length(trim(line)) >= 24 AND right(trim(line), 1) IN ('.', '!', '?', '…'))")
+@query("SELECT doc_id, CAST(pos AS INT) AS pos FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) WHERE length(line) >= 48 OR (length(line) >= 24 AND contains('.!?…。！？」』”\"’''）)।॥۔؟։።', right(line, 1)))")
 def t23_prose_lines(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.where(tx.is_prose(F.col("line"))).select("doc_id", "pos")
+    return lines.where(tx.is_prose(F.trim("line"))).select("doc_id", "pos")
 
 
 @query("SELECT doc_id, sha256(concat_ws(chr(31), 'translate', sha256(text), lang)) AS key FROM documents")

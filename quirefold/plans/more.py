@@ -199,9 +199,14 @@ def d19_d20_lenient_depth(spark, d):
     return table(spark, d, "events").withColumn("m", F.from_json(body, "k int")).where("m.k is not null").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, left(trim(line, ' '), 10) AS stem, count(*) AS n FROM l WHERE trim(line, ' ') <> '' GROUP BY 1, 2) SELECT doc_id, max(n) AS top, CAST(sum(n) AS BIGINT) AS lines FROM s GROUP BY 1 HAVING max(n) >= 2 AND max(n) >= 0.2 * sum(n)")
+# the index of a book: its lines, which mostly open alike, and the documents' own lines
+_INDEXED = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat_ws(chr(10), 'Chapter number 1', 'Chapter number 2', 'short', 'Chapter number 3 and on', 'Chapter number 4') WHEN doc_id % 3 = 1 THEN concat_ws(chr(10), 'Chapter number 1', 'Chapter number 2', 'Chapter number 3', 'a', 'b', 'Chapter number 4', 'c') ELSE text END AS text FROM documents"
+
+
+@query(f"WITH t AS ({_INDEXED}), l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM t), a AS (SELECT doc_id, count(*) AS lines FROM l WHERE line <> '' GROUP BY 1), s AS (SELECT doc_id, left(line, 10) AS stem, count(*) AS n FROM l WHERE length(line) >= 10 GROUP BY 1, 2) SELECT doc_id, max(n) AS top, any_value(lines) AS lines FROM s JOIN a USING (doc_id) GROUP BY 1 HAVING max(n) >= 4 AND max(n) * 10 >= 6 * any_value(lines)")
 def d22_repeated_stem(spark, d):
-    return rules.repeated_stem(table(spark, d, "documents").select("doc_id", "text"), "doc_id", 10, 2, 0.2).select("doc_id", "top", "lines")
+    texts = table(spark, d, "documents").select("doc_id", F.expr(_INDEXED[len("SELECT doc_id, ") : -len(" AS text FROM documents")].replace("chr(10)", "char(10)")).alias("text"))
+    return rules.repeated_stem(texts, "doc_id").select("doc_id", "top", "lines")
 
 
 @query("SELECT o_custkey, count(DISTINCT (o_orderstatus, o_orderpriority)) = 1 AS consistent, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses FROM orders GROUP BY 1")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quirefold.functions import keys
 from quirefold.operators import ledger, mutations
 from quirefold.plans.domain import chapters, facts, table, with_
 from quirefold.plans.registry import query
@@ -24,12 +25,17 @@ def a18_missing_objects(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(there, "l_partkey", "left_anti").select("l_orderkey", "l_partkey")
 
 
-_PROVIDERS = "CASE c_custkey % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'disabled' WHEN 2 THEN 'openrouter' ELSE 'ollama' END"
+_PROVIDERS = "CASE c_custkey % 6 WHEN 0 THEN 'auto' WHEN 1 THEN 'disabled' WHEN 2 THEN 'openrouter' WHEN 3 THEN 'ollama' WHEN 4 THEN 'server' END"
+_SERVER = {"provider": "ollama", "model": "models/base", "endpoints": {"ollama": "http://localhost:11434/"}}
+_ID = lambda provider, model, endpoint: f"""sha256('["{provider}", "' || {model} || '", 64, "{endpoint}"]')"""
 
 
-@query(f"SELECT c_custkey, CASE provider WHEN 'disabled' THEN NULL WHEN 'ollama' THEN 'ollama:' || c_mktsegment WHEN 'auto' THEN CASE WHEN c_acctbal > 0 THEN 'gemini:base' END ELSE CASE WHEN c_acctbal > 0 THEN 'openrouter:' || c_mktsegment END END AS space FROM (SELECT *, {_PROVIDERS} AS provider FROM customer)")
+@query(f"""WITH c AS (SELECT *, {_PROVIDERS} AS p, c_nationkey % 2 = 0 AS hosted FROM customer), k AS (SELECT *, CASE WHEN hosted AND coalesce(p, 'auto') IN ('auto', 'server') THEN 'auto' ELSE coalesce(p, 'server') END AS kind FROM c)
+SELECT c_custkey, CASE kind WHEN 'auto' THEN CASE WHEN c_acctbal > 0 THEN {_ID("gemini", "'embed-1'", "https://generativelanguage.googleapis.com/v1beta")} END WHEN 'openrouter' THEN CASE WHEN c_acctbal > 0 THEN {_ID("openrouter", "c_mktsegment", "https://openrouter.ai/api/v1")} END
+WHEN 'ollama' THEN {_ID("ollama", "c_mktsegment", "http://localhost:11434")} WHEN 'server' THEN {_ID("ollama", "'base'", "http://localhost:11434")} END AS space FROM k""")
 def b34_embedding_space(spark, d):
-    return table(spark, d, "customer").select("c_custkey", ledger.embedding_space(F.expr(_PROVIDERS), F.col("c_mktsegment"), F.col("c_acctbal") > 0, "base").alias("space"))
+    space = keys.bound_space(F.expr(_PROVIDERS), F.col("c_mktsegment"), F.col("c_nationkey") % 2 == 0, F.col("c_acctbal") > 0, _SERVER, 64, "embed-1")
+    return table(spark, d, "customer").select("c_custkey", space.alias("space"))
 
 
 @query(f"SELECT o_orderkey, c_custkey FROM orders JOIN customer ON c_custkey = o_custkey AND c_mktsegment <> 'BUILDING' WHERE o_orderdate > TIMESTAMP '{NOW}' AND o_orderstatus = 'O'")
@@ -184,12 +190,15 @@ def _queue(spark, d):
 
 
 @query(
-    f"WITH q AS (SELECT *, 2 * CAST(priority AS INT) + CAST(NOT enrichment AS INT) AS rank FROM ({_QUEUE})), a AS (SELECT account_id FROM q GROUP BY 1 ORDER BY CASE WHEN account_id < 6 THEN account_id % 3 ELSE 1 END, min(pos) LIMIT 1), "
-    "o AS (SELECT q.* FROM q JOIN a USING (account_id)), b AS (SELECT rank, novel_id FROM o ORDER BY rank DESC, pos LIMIT 1) SELECT account_id, novel_id, chapter_index, pos FROM o JOIN b USING (rank, novel_id) ORDER BY chapter_index, pos LIMIT 1"
+    f"WITH q AS (SELECT *, CASE account_id % 4 WHEN 0 THEN 'paused' WHEN 1 THEN 'focused' ELSE 'all' END AS mode, 7 AS focus FROM ({_QUEUE}) WHERE account_id <> 2), "
+    "r AS (SELECT *, 4 * CAST(novel_id = focus AS INT) + 2 * CAST(priority AS INT) + CAST(NOT enrichment AS INT) AS rank FROM q WHERE mode <> 'paused' AND (mode <> 'focused' OR novel_id = focus)), "
+    "a AS (SELECT account_id FROM r GROUP BY 1 ORDER BY CASE WHEN account_id < 6 THEN account_id % 3 ELSE 0 END, min(pos) LIMIT 1), "
+    "o AS (SELECT r.* FROM r JOIN a USING (account_id)), b AS (SELECT rank, novel_id FROM o ORDER BY rank DESC, pos LIMIT 1) SELECT account_id, novel_id, chapter_index, pos FROM o JOIN b USING (rank, novel_id) ORDER BY chapter_index, pos LIMIT 1"
 )
 def j02_fair_claim(spark, d):
-    last = F.when(F.col("id") < 6, F.col("id") % 3).otherwise(1)
-    return claims.fair_claim(_queue(spark, d), spark.range(9).select(F.col("id").alias("account_id"), last.alias("last_seq")))
+    accounts = spark.range(9).select(F.col("id").alias("account_id"), F.when(F.col("id") % 4 == 0, "paused").when(F.col("id") % 4 == 1, "focused").otherwise("all").alias("mode"), F.lit(7).alias("focus"))
+    served = spark.range(6).select(F.col("id").alias("account_id"), (F.col("id") % 3).alias("last_seq"))
+    return claims.fair_claim(_queue(spark, d), served, spark.range(2, 3).select(F.col("id").alias("account_id")), accounts)
 
 
 @query("SELECT min(o_orderkey) AS job_id, o_custkey % 9 AS account_id FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 9 <> 4 GROUP BY 2 ORDER BY account_id % 4, job_id LIMIT 2")

@@ -88,11 +88,17 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def preview(pages: DataFrame) -> DataFrame:
-    """page_id, host, excerpt (320 characters), chars, n_paragraphs and mode of extracted pages."""
-    from quirefold.functions.text import cjk_share
+    """page_id, host, title, excerpt (320 characters), text_chars, paragraphs (1 at least), next_url, continues (does the
+    title count further parts) and suggested_mode of extracted pages.
+    """
+    from quirefold.functions.text import cjk_share, title_part
 
     text = F.array_join("page.paragraphs", "\n\n")
-    return pages.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.substring(text, 1, 320).alias("excerpt"), F.length(text).cast("long").alias("chars"), F.size("page.paragraphs").cast("long").alias("n_paragraphs"), F.when(cjk_share(text) > 0.2, "translate").otherwise("read").alias("mode"))
+    part = title_part(F.col("page.title"))
+    return pages.select(
+        "page_id", F.parse_url("url", F.lit("HOST")).alias("host"), part["title"].alias("title"), F.substring(text, 1, 320).alias("excerpt"), F.length(text).cast("long").alias("text_chars"),
+        F.greatest(F.lit(1), F.size("page.paragraphs")).cast("long").alias("paragraphs"), "page.next_url", part["continues"].alias("continues"), F.when(cjk_share(text) > 0.2, "translate").otherwise("bootstrap").alias("suggested_mode"),
+    )
 
 
 def robots_rules(files: DataFrame) -> DataFrame:

@@ -5,18 +5,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def fair_claim(queue: DataFrame, served: DataFrame) -> DataFrame:
+def fair_claim(queue: DataFrame, served: DataFrame, busy: DataFrame | None = None, accounts: DataFrame | None = None) -> DataFrame:
     """The one pointer to serve next, of the account served longest ago.
 
-    queue: pos (oldest first), account_id, novel_id, chapter_index, priority, enrichment; served: account_id, last_seq.
-    Accounts never served go first; ties go to the account with the oldest pointer. Within the account the best rank (2 for
-    priority, 1 for no enrichment) names the novel of its oldest pointer, of which the lowest chapter of that rank is served.
-    Every step keeps one row by an aggregate, so nothing is sorted as a whole.
+    queue: pos (oldest first), account_id, novel_id, chapter_index, priority, enrichment; served: account_id, last_seq;
+    busy: account_id of those with a job at work, which get no other; accounts: account_id, mode, focus (a novel): a paused
+    account gets nothing, a focused one its novel only. Accounts never served go first, with 0; ties go to the account with
+    the oldest pointer. Within the account the best rank (4 for the focus, 2 for priority, 1 for no enrichment) names the
+    novel of its oldest pointer, of which the lowest chapter of that rank is served. Every step keeps one row by an
+    aggregate, so nothing is sorted as a whole.
     """
-    rank = 2 * F.col("priority").cast("int") + (~F.col("enrichment")).cast("int")
-    ranked = queue.withColumn("rank", rank)
-    accounts = ranked.groupBy("account_id").agg(F.min("pos").alias("oldest")).join(served, "account_id", "left")
-    account = accounts.agg(F.min(F.struct(F.coalesce("last_seq", F.lit(-1)), "oldest", "account_id")).alias("a")).select(F.col("a.account_id").alias("account_id"))
+    if busy is not None:
+        queue = queue.join(busy.select("account_id").distinct(), "account_id", "left_anti")
+    focus = F.lit(False)
+    if accounts is not None:
+        queue = queue.join(accounts, "account_id")
+        focus = F.coalesce(F.col("novel_id") == F.col("focus"), F.lit(False))
+        queue = queue.where((F.col("mode") != "paused") & ((F.col("mode") != "focused") | focus))
+    ranked = queue.withColumn("rank", 4 * focus.cast("int") + 2 * F.col("priority").cast("int") + (~F.col("enrichment")).cast("int"))
+    oldest = ranked.groupBy("account_id").agg(F.min("pos").alias("oldest")).join(served, "account_id", "left")
+    account = oldest.agg(F.min(F.struct(F.coalesce("last_seq", F.lit(0)), "oldest", "account_id")).alias("a")).select(F.col("a.account_id").alias("account_id"))
     own = ranked.join(F.broadcast(account), "account_id")  # one row
     novel = own.agg(F.max(F.struct("rank", -F.col("pos"), "novel_id")).alias("n")).select("n.rank", "n.novel_id")
     same = own.join(F.broadcast(novel), ["rank", "novel_id"])  # one row
