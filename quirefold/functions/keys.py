@@ -44,7 +44,7 @@ def stable_id(*parts: Column) -> Column:
     """A UUID of version 5 of a JSON list of strings, in the name space of addresses."""
     name = json_list(*(json_string(p) for p in parts))
     digest = F.sha1(F.concat(F.unhex(F.lit(URL_SPACE)), F.encode(name, "UTF-8")))
-    nibble = F.substring("0123456789abcdef", F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3) + 9, F.lit(1))
+    nibble = F.substring(F.lit("0123456789abcdef"), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3) + 9, F.lit(1))
     return F.concat_ws("-", F.left(digest, F.lit(8)), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(nibble, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
 
 

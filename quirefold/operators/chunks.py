@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quirefold.functions.text import PROFILES
 
@@ -48,3 +49,18 @@ def chunk_text(docs: DataFrame, budget: int = 400) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{schema}, chunks array<struct<ordinal:int,text:string,start:int,end:int>>")
+
+
+def translation_parts(docs: DataFrame, budget: int = 6000) -> DataFrame:
+    """One row for each part of a text to translate: docs' columns without text, part (from 0) and its text.
+
+    Parts are chunks; one that is larger than the budget, being one sentence, is cut. Blank parts are left out.
+    """
+    if budget < 1:
+        raise ValueError("the budget must be positive")
+    rest = [c for c in docs.columns if c != "text"]
+    rates = {lang: max(1, int(budget * rate)) for lang, (_, rate) in PROFILES.items()}
+    most = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in rates.items() for x in pair)), F.col("lang")), F.lit(rates["en"]))
+    cut = F.transform("chunks", lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.length(c["text"]) - 1) / most).cast("int")), lambda i: F.substring(c["text"], i * most + 1, most)))
+    blank = F.filter(F.flatten(cut), lambda x: x.rlike(r"(?U)\S"))
+    return chunk_text(docs, budget).select(*rest, F.posexplode(blank).alias("part", "text"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import gate, states
 from quirefold.functions import text as tx
 from quirefold.operators import chunks, hashing, mutations, retrieval, scan, statistics, versions
-from quirefold.plans import more, records  # noqa: F401  registers their queries
+from quirefold.plans import more, records, texts  # noqa: F401  registers their queries
 from quirefold.plans.domain import AT, NOVEL, chapters, events, facts, retractions, table, with_
 from quirefold.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from quirefold.sources import pages as pages_source
@@ -511,10 +511,3 @@ def j10_cooldown(spark, d):
 @query()
 def j11_limit(spark, d):
     return queues.limit_replay(events(spark, d).select("event_id", F.col("user_id").alias("key"), F.col("s").cast("double").alias("ts")), 3, 86400.0)
-
-
-@query(with_("facts", "retractions", "current") + f"SELECT section, count(*) AS n FROM (SELECT CASE WHEN category = 'user' AND subjects[1] = 's5' THEN 'History' WHEN category = 'assistant' THEN 'Relations' ELSE 'Other' END AS section FROM current WHERE list_contains(subjects, 's5')) GROUP BY 1")
-def l01_wiki_sections(spark, d):
-    own = current_facts(spark, d).where(F.array_contains("subjects", "s5"))
-    section = F.when((F.col("category") == "user") & (F.col("subjects")[0] == "s5"), "History").when(F.col("category") == "assistant", "Relations").otherwise("Other")
-    return own.groupBy(section.alias("section")).agg(F.count("*").alias("n"))

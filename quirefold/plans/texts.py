@@ -1,0 +1,264 @@
+"""Queries of glossaries, answers, keys and pages of facts, with the SQL they are checked against."""
+
+from pyspark.sql import functions as F
+
+from quirefold.functions import answers, glossary, keys
+from quirefold.functions import text as tx
+from quirefold.operators import chunks, pagemodels
+from quirefold.plans.domain import table
+from quirefold.plans.registry import query
+
+
+def _structs(fields: tuple[str, ...], rows) -> F.Column:
+    return F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(fields, r, strict=True))) for r in rows))
+
+
+TERMS = (("an", "<i>", "term"), ("and", "an & on", "term"), ("", "x", "term"), ("zz", " ", "term"))
+
+
+def _terms(rows=TERMS):
+    return _structs(("source", "target", "kind"), rows)
+
+
+@query("SELECT doc_id, sha256(replace(replace(replace(text, 'and', 'a' || chr(1)), 'an', '<i>'), 'a' || chr(1), 'an & on')) AS primed FROM documents")
+def t07_t11_primed(spark, d):
+    """One pass, longest first: what was put in is not looked at again."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(glossary.primed(F.col("text"), _terms()), 256).alias("primed"))
+
+
+_TAG = """'<locked-term data-id="t{}">{}</locked-term>'"""
+
+
+@query(f"SELECT doc_id, sha256(replace(replace(replace(text, 'and', 'a' || chr(1)), 'an', {_TAG.format(1, '&lt;i&gt;')}), 'a' || chr(1), {_TAG.format(0, 'an &amp; on')})) AS tagged, sha256(replace(replace(replace(text, 'and', 'a' || chr(1)), 'an', '<i>'), 'a' || chr(1), 'an & on')) AS plain FROM documents")
+def t13_protected(spark, d):
+    tagged = glossary.protected(F.col("text"), _terms())
+    return table(spark, d, "documents").select("doc_id", tagged.alias("t")).select("doc_id", F.sha2("t", 256).alias("tagged"), F.sha2(glossary.unprotected(F.col("t")), 256).alias("plain"))
+
+
+@query(
+    "WITH t AS (SELECT doc_id, text, replace(text, 'on', 'un') AS said FROM documents) SELECT doc_id, trim(said) = '' AS empty, contains(text, 'and') AND NOT contains(said, 'also') AS misses, contains(text, 'or') AND contains(said, 'or') AS keeps, "
+    "(contains(text, 'and') AND NOT contains(said, 'also')) OR (contains(text, 'and') AND contains(said, 'and')) AS hard FROM t"
+)
+def t14_constraints(spark, d):
+    found = glossary.constraints(F.col("text"), F.replace("text", F.lit("on"), F.lit("un")), _terms((("and", "also", "character_name"), ("or", "o", "term"))))
+    rows = table(spark, d, "documents").select("doc_id", found.alias("c"))
+    return rows.select("doc_id", "c.empty", F.array_contains("c.missing", "also").alias("misses"), F.array_contains("c.untranslated", "or").alias("keeps"), "c.hard")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'queue' WHEN o_custkey % 3 = 0 THEN 'retranslate' WHEN o_custkey % 3 = 1 THEN 'none' ELSE 'respell' END AS action FROM orders")
+def t12_respell_action(spark, d):
+    primed = F.when(F.col("o_custkey") % 3 == 1, "new").when(F.col("o_custkey") % 3 == 2, "old")
+    return table(spark, d, "orders").select("o_orderkey", glossary.respell_action(F.col("o_orderstatus") == "F", primed, F.lit("new")).alias("action"))
+
+
+@query()
+def t10_respelled(spark, d):
+    """Names of one word respelled, where no longer name holds them."""
+    pairs = _structs(("source", "target"), (("and", "und"),))
+    return table(spark, d, "documents").select("doc_id", F.sha2(glossary.respelled(F.col("text"), pairs, F.array(F.lit("and the")), ~F.col("lang").isin("zh", "ja", "ko")), 256).alias("text"))
+
+
+@query()
+def t08_marked(spark, d):
+    """Turns of conversations with names as markers."""
+    names = _structs(("key", "spelling"), (("1", "the"), ("2", "of the"), ("3", "a")))
+    return table(spark, d, "conversations").select("conv_id", "turn", glossary.marked(F.col("text"), names).alias("m")).select("conv_id", "turn", "m.text", F.array_join("m.order", ",").alias("order"))
+
+
+@query()
+def t47_named_in(spark, d):
+    names = _structs(("key", "spelling"), (("1", "the"), ("2", "of the"), ("3", "a")))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(glossary.named_in(F.col("text"), names), ",").alias("named"))
+
+
+@query()
+def e17_l04_replayed(spark, d):
+    """Spans laid over turns: some overlap, some leave the text, some show their target."""
+    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(s).alias("status"), F.lit(t).alias("target")) for a, b, s, t in ((5, 9, "locked", "NEW"), (7, 12, "locked", "x"), (12, 15, "pending", "y"), (0, 2, "locked", ""), (30, 31, "locked", "longer"), (4, 4, "locked", "z"))))
+    return table(spark, d, "conversations").select("conv_id", "turn", glossary.replayed(F.col("text"), spans).alias("r")).select("conv_id", "turn", "r.text", F.size("r.spans").alias("n_spans"))
+
+
+@query("SELECT doc_id, sha256(translate(text, chr(160) || chr(8239) || chr(8199) || chr(8201) || chr(8208) || chr(8209), '    --')) AS plain FROM (SELECT doc_id, replace(text, ' a', chr(8201) || 'a' || chr(8209)) AS text FROM documents)")
+def t15_lint(spark, d):
+    said = F.replace("text", F.lit(" a"), F.lit(" a‑"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(tx.lint(said), 256).alias("plain"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'zh' THEN 'zh-Hans' ELSE 'zh' END IN ('zh', 'zh-Hans') AND doc_id % 5 <> 0 AND length(regexp_replace(text, '[^\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}]', '', 'g')) > 30 AS untranslated FROM documents")
+def t16_untranslated(spark, d):
+    source, target = F.when(F.col("lang") == "zh", "zh-Hans").otherwise("zh"), F.when(F.col("doc_id") % 5 == 0, "zh-Hant").otherwise("en-GB")
+    return table(spark, d, "documents").select("doc_id", tx.untranslated(F.col("text"), source, target).alias("untranslated"))
+
+
+#: A duration and its seconds.
+DURATIONS = (("2m3.5s", 123.5), ("2 min 3 sec", 123.0), ("7", 7.0), (" 7.5 ", 7.5), ("1e2", 100.0), ("-3", 0.0), ("7 seconds", 7.0), ("750ms", None), ("2h", None), ("2m", None), ("", None), (None, None), ("1minutes 1s", 61.0))
+#: A message and the limit, use and request of tokens that it names.
+QUOTAS = (
+    ("tokens per day (TPD): Limit 100,000, Used 99,500, Requested 1200", 100000, 99500, 1200), ("requests: limit 5", None, None, None), ("TPM limit=6000 limit: 7000", 7000, None, None), ("token used 12345678901234", None, None, None), (None, None, None, None),
+)
+_sql = lambda values: "[" + ", ".join("NULL" if v is None else f"{v!r}e0" if isinstance(v, float) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v) for v in values) + f"][event_id % {len(values)} + 1]"
+_at = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % len(values) + 1).cast("int"))
+
+
+@query(f"SELECT event_id, {_sql([x[1] for x in DURATIONS])} AS seconds FROM events")
+def t43_durations(spark, d):
+    return table(spark, d, "events").select("event_id", tx.duration_seconds(_at([x[0] for x in DURATIONS])).alias("seconds"))
+
+
+@query("SELECT event_id, " + ", ".join(f"{_sql([x[i] for x in QUOTAS])} AS {n}_tokens" for i, n in ((1, "limit"), (2, "used"), (3, "requested"))) + " FROM events")
+def t44_token_quota(spark, d):
+    return table(spark, d, "events").select("event_id", answers.token_quota(_at([x[0] for x in QUOTAS])).alias("q")).select("event_id", "q.*")
+
+
+#: A page's citations and how they read once tidied.
+CITED = (("x (ch4, ch5) y", "x (ch. 4, 5) y"), ("(ch. 3-4)", "(ch. 3–4)"), ("(ch 1; ch. 2 – 3, 7)", "(ch. 1, 2–3, 7)"), ("(chapter 4)", "(chapter 4)"), ("", ""))
+
+
+@query(f"SELECT event_id, {_sql([x[1] for x in CITED])} AS tidy FROM events")
+def t45_tidy_citations(spark, d):
+    return table(spark, d, "events").select("event_id", answers.tidy_citations(_at([x[0] for x in CITED])).alias("tidy"))
+
+
+#: An answer and its labels, invalid, future and malformed citations, a:1 and b:9 being allowed and the gate 5.
+AUDITED = (("see [chunk:a ch:1] and [chunk:b ch:9]", 2, 0, 1, 0), ("[chunk:a ch:2] [chunk:a ch:x]", 1, 1, 0, 1), ("none", 0, 0, 0, 0), ("[chunk: ch:1][chunk:c ch:99]", 1, 1, 1, 1))
+
+
+@query("SELECT event_id, " + ", ".join(f"{_sql([x[i] for x in AUDITED])} AS {n}" for i, n in enumerate(("", "labels", "invalid", "future", "malformed")) if i) + " FROM events")
+def t20_citations(spark, d):
+    return table(spark, d, "events").select("event_id", answers.audit_citations(_at([x[0] for x in AUDITED]), F.array(F.lit("a:1"), F.lit("b:9")), 5).alias("a")).select("event_id", "a.*")
+
+
+#: An answer of a model; the categories, kinds and texts of its facts; whether it says none; its names.
+TAGGED = (
+    ("## Facts\nintro | draft\n## Facts\n- intro | A is x\n2. relationship: Friend | A is B's friend\nrelationship | no kind\nevent: k | kind\nodd | y\n## Names\n* place | Town\nperson | P", "intro::A is x;relationship:friend:A is B's friend", False, "place:Town"),
+    ("## facts\n\nNone\n", "", True, ""), ("think\n## Draft\nx\n## Answer\nItem | A | b ", "item::A | b", False, ""), ("status|  ok  ", "status::ok", False, ""), ("", "", False, ""),
+)
+
+
+@query("SELECT event_id, " + ", ".join(f"{_sql([x[i] for x in TAGGED])} AS {n}" for i, n in enumerate(("", "facts", "none", "names")) if i) + " FROM events")
+def t19_tagged(spark, d):
+    answer = _at([x[0] for x in TAGGED])
+    told = F.array_join(F.transform(answers.parse_tagged(answer), lambda r: F.concat(r["category"], F.lit(":"), F.coalesce(r["kind"], F.lit("")), F.lit(":"), r["text"])), ";")
+    names = F.array_join(F.transform(answers.parse_names(answer), lambda r: F.concat_ws(":", r["kind"], r["name"])), ";")
+    return table(spark, d, "events").select("event_id", told.alias("facts"), answers.says_none(answer).alias("none"), names.alias("names"))
+
+
+#: An answer in fields between bars, its facts and what could not be read.
+FIELDS = (("think | a | b\n## x\n- Event | Happened | A; B;; | did | it\n\nbad | line\n* plot|odd||f", "event:happened:A+B:did | it:true;plot:odd::f:false", "bad | line"), ("a|b|c|", "", "a|b|c|"), ("", "", ""))
+
+
+@query(f"SELECT event_id, {_sql([x[1] for x in FIELDS])} AS facts, {_sql([x[2] for x in FIELDS])} AS unparsed FROM events")
+def t21_fields(spark, d):
+    rows = table(spark, d, "events").select("event_id", answers.parse_fields(_at([x[0] for x in FIELDS])).alias("p"))
+    told = F.transform("p.facts", lambda f: F.concat(f["category"], F.lit(":"), f["status"], F.lit(":"), F.array_join(f["names"], "+"), F.lit(":"), f["fact"], F.lit(":"), f["known_status"].cast("string")))
+    return rows.select("event_id", F.array_join(told, ";").alias("facts"), F.array_join("p.unparsed", ";").alias("unparsed"))
+
+
+@query("SELECT conv_id, turn, contains(lower(text), 'the') AND contains(lower(text), 'a') AND turn = 1 AS supported FROM conversations")
+def t46_supported_alias(spark, d):
+    fact = F.array(F.struct(F.col("turn").alias("chapter"), F.col("text").alias("text")))
+    return table(spark, d, "conversations").select("conv_id", "turn", answers.supported_alias(F.lit("The"), F.lit("A"), F.lit(1), fact).alias("supported"))
+
+
+@query()
+def t31_evidence(spark, d):
+    at = F.locate("1", F.col("text")) - 1
+    return table(spark, d, "documents").where(at >= 0).select("doc_id", glossary.evidence(F.col("text"), at, at + 1).alias("evidence"))
+
+
+@query()
+def t06_translation_parts(spark, d):
+    parts = chunks.translation_parts(table(spark, d, "documents").select("doc_id", "text", "lang"), 100)
+    return parts.select("doc_id", "part", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha"))
+
+
+@query("""SELECT doc_id, sha256('["translation-input-v4","' || lang || '","' || source || '"]') AS fingerprint, left(sha256('gemini' || chr(31) || 'https://api.site.org/v1' || chr(31) || source), 32) AS credential FROM documents""")
+def t36_t41_fingerprints(spark, d):
+    return table(spark, d, "documents").select("doc_id", keys.fingerprint(F.lit("translation-input-v4"), F.col("lang"), F.col("source")).alias("fingerprint"), keys.credential_fingerprint(F.lit("gemini"), F.lit("HTTPS://Api.Site.org/v1/"), F.col("source")).alias("credential"))
+
+
+@query()
+def t37_t38_stable_ids(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", keys.stable_id(F.col("role"), F.col("text")).alias("id"), F.sha2(keys.json_string(F.concat("text", F.lit('é\U0001f600"\\\n\x01')), True), 256).alias("json"))
+
+
+@query("SELECT event_id, event_type || ':' || (user_id % 3) = 'view:1' AS kept FROM events")
+def t40_j17_cacheable(spark, d):
+    return table(spark, d, "events").select("event_id", keys.cacheable(F.lit("view:1"), F.col("event_type"), (F.col("user_id") % 3).cast("string")).alias("kept"))
+
+
+_KINDS = "CASE turn % 6 WHEN 0 THEN 'subordinate' WHEN 1 THEN 'mother' WHEN 2 THEN 'rival' WHEN 3 THEN 'friend' WHEN 4 THEN 'enemy' END"
+_CATEGORIES = "['intro', 'alias', 'relationship', 'ability', 'item', 'affiliation', 'status', 'place', 'event'][CAST((conv_id + turn) % 9 AS INT) + 1]"
+_ABOUT = f"about AS (SELECT conv_id, ordinal, category, kind, a, b FROM (SELECT conv_id, CAST(turn AS INT) AS ordinal, {_CATEGORIES} AS category, {_KINDS} AS kind, 's' || (length(text) % 5) AS a, 's' || (turn % 4) AS b FROM conversations))"
+
+
+def _about(spark, d):
+    category = F.element_at(F.array(*map(F.lit, ("intro", "alias", "relationship", "ability", "item", "affiliation", "status", "place", "event"))), ((F.col("conv_id") + F.col("turn")) % 9 + 1).cast("int"))
+    subjects = F.array(F.concat(F.lit("s"), F.length("text") % 5), F.concat(F.lit("s"), F.col("turn") % 4))
+    return table(spark, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("ordinal"), category.alias("category"), F.expr(_KINDS).alias("kind"), subjects.alias("subjects"))
+
+
+_READ = "CASE WHEN kind IS NULL OR a = b THEN NULL WHEN b = 's1' THEN kind WHEN a = 's1' AND kind = 'subordinate' THEN 'superior' WHEN a = 's1' AND kind IN ('friend', 'enemy') THEN kind END"
+
+
+@query(f"WITH {_ABOUT} SELECT conv_id, ordinal, CASE WHEN r IS NULL THEN NULL WHEN b = 's1' THEN a ELSE b END AS other, r AS kind FROM (SELECT *, {_READ} AS r FROM about WHERE a = 's1' OR b = 's1')")
+def l02_other_is(spark, d):
+    rows = _about(spark, d).where(F.array_contains("subjects", "s1"))
+    return rows.select("conv_id", "ordinal", pagemodels.other_is("s1").alias("o")).select("conv_id", "ordinal", "o.other", "o.kind")
+
+
+@query(
+    f"WITH {_ABOUT} SELECT conv_id, ordinal, CASE WHEN category IN ('event', 'place') THEN 'history' WHEN category <> 'relationship' AND a <> 's1' THEN 'mentions' WHEN category IN ('intro', 'alias') THEN category "
+    "WHEN category = 'relationship' THEN CASE r WHEN 'subordinate' THEN 'Subordinates' WHEN 'superior' THEN 'Superiors' WHEN 'mother' THEN 'Family' WHEN 'friend' THEN 'Friends' WHEN 'enemy' THEN 'Enemies' ELSE 'more' END "
+    f"ELSE CASE category WHEN 'ability' THEN 'Abilities' WHEN 'item' THEN 'Possessions' WHEN 'affiliation' THEN 'Affiliations' ELSE 'Status' END END AS part FROM (SELECT *, {_READ} AS r FROM about WHERE a = 's1' OR b = 's1')"
+)
+def l01_wiki_page(spark, d):
+    """Where each fact that names a character stands on the character's page."""
+    return pagemodels.wiki_parts(_about(spark, d), "s1").select("conv_id", "ordinal", "part")
+
+
+@query(f"WITH {_ABOUT} SELECT conv_id, ordinal, CASE WHEN category = 'event' OR (a <> 's1' AND category <> 'affiliation') THEN 'history' WHEN a <> 's1' THEN 'Members' WHEN category = 'intro' THEN 'intro' WHEN category = 'alias' THEN 'alias' ELSE 'details' END AS part FROM about WHERE a = 's1' OR b = 's1'")
+def l03_subject_page(spark, d):
+    return pagemodels.subject_parts(_about(spark, d), "s1", "organization").select("conv_id", "ordinal", "part")
+
+
+@query("SELECT event_id, ['foreign_person', 'personal_title', 'semantic_term', 'chinese_person', 'place_name', 'chinese_person'][event_id % 6 + 1] AS role FROM events")
+def l08_candidate_role(spark, d):
+    method = _at(["restored_name", "translated_title", "semantic_translation", "pinyin", "other", None])
+    return table(spark, d, "events").select("event_id", pagemodels.role_of(method, F.when(F.col("event_id") % 6 == 4, "place_name")).alias("role"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 2 = 0")
+def b07_review_passed(spark, d):
+    """A second filter that is always added to the first: held knowledge is never read."""
+    rows = table(spark, d, "orders").where("o_custkey % 2 = 0").withColumn("review_state", F.when(F.col("o_orderstatus") == "F", "passed").otherwise("held"))
+    return pagemodels.reviewed(rows).select("o_orderkey")
+
+
+@query("SELECT 'both' AS which, count(*) AS n FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') UNION ALL SELECT 'only', count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
+def g07_intersect_except(spark, d):
+    done, open_ = (table(spark, d, "orders").where(F.col("o_orderstatus") == s).select("o_custkey") for s in "FO")
+    n = lambda df, which: df.agg(F.count("*").alias("n")).select(F.lit(which).alias("which"), "n")
+    return n(done.intersect(open_), "both").unionByName(n(done.subtract(open_), "only"))
+
+
+@query()
+def d29_mention_ranking(spark, d):
+    """How many turns name each of some names, longer names that hold them not counted."""
+    people = spark.createDataFrame([(x,) for x in ("the", "of the", "a", "in a")], "name string")
+    return pagemodels.mention_ranking(table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("fact_id"), "text"), people)
+
+
+@query("SELECT event_id, CAST(max(s - 3600 * n) OVER (PARTITION BY user_id ORDER BY s, event_id) + 3600 * n AS BIGINT) AS due FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events)")
+def j13_host_pacing(spark, d):
+    """When each request may start, an hour after the one before to its host."""
+    rows = table(spark, d, "events").select("event_id", F.col("user_id").alias("host"), F.unix_timestamp("ts").cast("long").alias("ts"))
+    return pagemodels.paced(rows, 3600).select("event_id", F.col("due").cast("long").alias("due"))
+
+
+@query("SELECT source AS novel, count(*) AS n FROM conversations c JOIN documents ON conv_id = doc_id WHERE contains(c.text, 'the') GROUP BY 1")
+def h06_affected_chapters(spark, d):
+    """Chapters that a confirmed term touches, and what is to be done for each novel's."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.col("source").alias("novel"))
+    rows = table(spark, d, "conversations").join(docs, "conv_id").where(F.contains("text", F.lit("the")))
+    return rows.groupBy("novel").agg(F.count("*").alias("n"))
