@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import hashing
-from quirefold.llm.common import WORD, on_group, on_groups
+from quirefold.llm.common import WORD, on_group, on_groups, partitions
 
 U = np.uint64
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -215,12 +215,13 @@ def substring_dedup(docs: DataFrame, window: int = 13, group_bytes: int = 12 <<
     space). A null or empty text has no words. Rows that share a doc_id are not compared with each other; a row whose
     doc_id is null keeps all words and removes none elsewhere. Hashes decide: 64 + 16 bits beside the bucket's.
 
-    group_bytes: about how much text a group holds. The number of groups, and of buckets, follows from the size of all
-    texts, so a task's memory does not grow with the data; a single text may be larger than a group.
+    group_bytes: about how much text a group holds at most. The number of groups, and of buckets, follows from the size of
+    all texts, so a task's memory does not grow with the data; a single text may be larger than a group.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    groups = -(-size // group_bytes) or 1
+    # where texts are few, at least a megabyte each, so that all tasks get some
+    groups = max(-(-size // group_bytes), min(partitions(docs.sparkSession), -(-size >> 20)), 1)
     dealt = rows.where("doc_id is not null").withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     own = {"window": window, "buckets": groups}
     sent, answered = "bucket int, g int, data binary", "g int, step int, bucket int, bits binary"
