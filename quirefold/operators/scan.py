@@ -101,5 +101,35 @@ def without_overlap(new: str, old: str):
 
 
 def presence(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc columns, term): terms that a text contains, as substrings. Terms are few; their size is the planner's to check."""
-    return docs.join(terms, F.contains(F.col("text"), F.col("term")))
+    """(doc columns, term columns): terms (column term) that a text contains, as substrings; the empty one is in every text.
+
+    The texts are searched for up to MAX_ALIASES distinct terms at a time; more of them are dealt by hash into as many
+    passes as are needed, so the driver never holds more than about that many.
+    """
+    own = terms.where("term is not null").select("term").distinct()
+    passes = -(-own.count() // (MAX_ALIASES * 4 // 5)) or 1
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def searched(shipped):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            found = ahocorasick.Automaton()
+            for term in shipped.value:
+                if term:
+                    found.add_word(term, term)
+            if len(found):
+                found.make_automaton()
+            always = [""] if "" in shipped.value else []
+            for batch in batches:
+                hits = [None if text is None else sorted({x for _, x in found.iter(text)} if len(found) else ()) + always for text in batch["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.list_(pa.string()))], [*batch.schema.names, "_terms"])
+
+        return run
+
+    out = None
+    for i in range(passes):
+        part = [r[0] for r in own.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == i).collect()]
+        hits = docs.mapInArrow(searched(docs.sparkSession.sparkContext.broadcast(part)), f"{schema}, _terms array<string>").withColumn("term", F.explode("_terms")).drop("_terms")
+        out = hits if out is None else out.unionByName(hits)
+    return out.join(terms, "term")

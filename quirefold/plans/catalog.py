@@ -417,11 +417,16 @@ def t01_scan_mentions(spark, d):
     return rows.groupBy("doc_id", "alias_id").agg(F.min("char_start").alias("char_start"))
 
 
+def frequent_words(spark, d, most: int = 3000):
+    """The most frequent words of over four characters, as names for the scan."""
+    words = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("surface")).where(F.length("surface") > 4)
+    return words.groupBy("surface").count().orderBy(F.desc("count"), "surface").limit(most).select(F.col("surface").alias("alias_id"), "surface")
+
+
 @query()
 def t01_scan_words(spark, d):
     """Three thousand frequent words as names: the scan at work."""
-    words = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("surface")).where(F.length("surface") > 4).groupBy("surface").count().orderBy(F.desc("count"), "surface").limit(3000)
-    found = scan.scan_mentions(table(spark, d, "documents").select("doc_id", "text", "lang"), words.select(F.col("surface").alias("alias_id"), "surface"))
+    found = scan.scan_mentions(table(spark, d, "documents").select("doc_id", "text", "lang"), frequent_words(spark, d))
     return found.select("doc_id", F.size("spans").alias("n_spans"))
 
 

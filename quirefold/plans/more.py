@@ -66,10 +66,11 @@ def b22_due_retries(spark, d):
     return _state(spark, d).where(rules.due(F.lit(NOW).cast("timestamp"), 4, 3)).select("o_orderkey")
 
 
-@query("WITH t AS (SELECT doc_id, substring(text, 1, CAST(doc_id % 90 AS INT)) AS a, substring(text, 5, CAST(doc_id % 70 AS INT)) AS b FROM documents) SELECT doc_id FROM t WHERE length(trim(a, ' ')) BETWEEN 2 AND 80 AND length(trim(b, ' ')) BETWEEN 2 AND 80 AND NOT regexp_matches(a, '[\\n\\r。！？；：，、]') AND NOT regexp_matches(b, '[\\n\\r。！？；：，、]')")
+@query("WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS a, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents) SELECT doc_id, CAST(pos AS INT) AS pos FROM t WHERE length(trim(a, ' ')) BETWEEN 2 AND 80 AND NOT regexp_matches(a, '[\\n\\r。！？；：，、]')")
 def b27_usable_term(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.substring("text", F.lit(1), (F.col("doc_id") % 90).cast("int")).alias("a"), F.substring("text", F.lit(5), (F.col("doc_id") % 70).cast("int")).alias("b"))
-    return rows.where(tx.usable_term(F.col("a"), F.col("b"), F.lit(False))).select("doc_id")
+    """Every line as a term and its own rendering, in languages that may keep Han characters."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return rows.where(tx.usable_term(F.col("line"), F.col("line"), F.lit(True))).select("doc_id", "pos")
 
 
 @query("SELECT p_partkey FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS term, p_type AS display FROM part) WHERE length(trim(term, ' ')) BETWEEN 1 AND 40 AND NOT regexp_matches(term, '[0-9]') AND length(trim(display, ' ')) > 0 AND length(display) <= 80")
@@ -78,9 +79,9 @@ def b28_source_names(spark, d):
     return table(spark, d, "part").where(rules.usable_source_name(term, F.col("p_type"))).select("p_partkey")
 
 
-@query("WITH n AS (SELECT doc_id, text, unnest(string_split(text, ' ')[1:8]) AS name FROM documents) SELECT DISTINCT doc_id, name FROM n WHERE name = trim(name, ' ') AND length(name) BETWEEN 1 AND 80 AND NOT regexp_matches(name, '[\\n\\r!?。！？]') AND NOT ends_with(name, '.') AND contains(text, name)")
+@query("WITH n AS (SELECT doc_id, text, unnest(string_split(text, ' ')) AS name FROM documents) SELECT DISTINCT doc_id, name FROM n WHERE name = trim(name, ' ') AND length(name) BETWEEN 1 AND 80 AND NOT regexp_matches(name, '[\\n\\r!?。！？]') AND NOT ends_with(name, '.') AND contains(text, name)")
 def b29_discovered_names(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(rules.discovered_names(F.slice(F.split("text", " "), 1, 8), F.col("text"))).alias("name"))
+    return table(spark, d, "documents").select("doc_id", F.explode(rules.discovered_names(F.array_distinct(F.split("text", " ")), F.col("text"))).alias("name"))
 
 
 @query("SELECT l_orderkey, l_linenumber, 'quantity' AS violation FROM lineitem WHERE NOT (l_quantity BETWEEN 1 AND 45) UNION ALL SELECT l_orderkey, l_linenumber, 'discount' FROM lineitem WHERE NOT l_discount < 0.09")
