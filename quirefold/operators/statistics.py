@@ -7,7 +7,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -70,16 +69,3 @@ def bootstrap_interval(values: DataFrame, key: str, value: str, rounds: int = 10
     sums = rows.mapInArrow(partial(_weighted_sums, rounds=rounds, seed=seed), "key string, r int, n double, t double").groupBy("key", "r").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     means = sums.where("n > 0").select(F.col("key").alias(key), F.exp(F.col("t") / F.col("n")).alias("m"))
     return means.groupBy(key).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-
-
-def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """rows with their place, from 1, in an order of the whole table: sorted in ranges, numbered within them, and raised by
-    the sizes of the ranges before. Only one row for each range is ordered in one task.
-    """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.select("_part", (F.sum("_size").over(W.orderBy("_part")) - F.col("_size")).alias("_before"))
-    numbered = dealt.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    return numbered.join(before, "_part").withColumn(name, (F.col("_n") + F.col("_before")).cast("long")).drop("_part", "_n", "_before")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quirefold.operators.folds import folded
+
 
 def current_version(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """Rows of each key's greatest version, compared as it is typed (texts as text)."""
@@ -70,12 +72,17 @@ def assemble(pages: DataFrame, keys: Sequence[str], order: str = "pos") -> DataF
 
 
 def greedy_pack(items: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, budget: int) -> DataFrame:
-    """Items taken in order while they fit; one that would overflow is skipped, and later ones may still be taken."""
-    listed = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("_size"), F.col("item").alias("_item")))).alias("_all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{items.schema['item'].dataType.simpleString()}>").alias("taken"))
+    """Items taken in order while they fit; one that would overflow is skipped, and later ones may still be taken.
+
+    A key's items are read one after the other, and only those taken, which the budget bounds, are put together.
+    """
 
-    def step(acc: Column, x: Column) -> Column:
-        took = F.struct((acc["used"] + x["_size"]).alias("used"), F.array_append(acc["taken"], x["_item"]).alias("taken"))
-        return F.when(acc["used"] + x["_size"] <= budget, took).otherwise(acc)
+    def step(state: dict, row: dict) -> bool:
+        fits = state["used"] + row[size] <= budget
+        state["used"] += row[size] if fits else 0
+        return fits
 
-    return listed.withColumn("_r", F.aggregate("_all", start, step)).select(*keys, F.col("_r.taken").alias("taken"), F.col("_r.used").alias("used"))
+    told = folded(items.select(*keys, *order, size, "item"), keys, order, lambda: {"used": 0}, step, "_fits", "boolean")
+    some = F.when(F.col("_fits"), F.struct(*order, F.col("item")))
+    packed = told.groupBy(*keys).agg(F.array_sort(F.collect_list(some)).alias("_taken"), F.coalesce(F.sum(F.when(F.col("_fits"), F.col(size))), F.lit(0)).cast("long").alias("used"))
+    return packed.select(*keys, F.transform("_taken", lambda x: x["item"]).alias("taken"), "used")

@@ -515,4 +515,14 @@ def j10_cooldown(spark, d):
 
 @query()
 def j11_limit(spark, d):
-    return queues.limit_replay(events(spark, d).select("event_id", F.col("user_id").alias("key"), F.col("s").cast("double").alias("ts")), 3, 86400.0)
+    """Three calls a day and one at a time, which lasts some hours and a day at most."""
+    rows = events(spark, d).select("event_id", F.col("user_id").alias("key"), F.col("s").cast("double").alias("ts"), F.when(F.col("event_id") % 5 > 0, F.col("s") + F.col("k") * 3600.0).alias("done"))
+    return queues.limit_replay(rows, 3, 86400.0, 86400.0).select("event_id", "key", "ts", "allowed")
+
+
+@query()
+def j12_permits(spark, d):
+    """Three permits by kind of event; every event asks for one, and some settle that of the event before."""
+    settle = F.col("user_id") % 3 == 0
+    rows = events(spark, d).select("event_id", F.col("event_type").alias("key"), F.col("s").cast("double").alias("ts"), F.when(settle, "settle").otherwise("reserve").alias("action"), F.when(settle, F.col("user_id") - 1).otherwise(F.col("user_id")).alias("reservation_id"))
+    return queues.permits(rows, 3, 7200.0).select("event_id", "outcome")

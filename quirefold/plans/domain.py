@@ -13,8 +13,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def chapters(spark: SparkSession, d: str) -> DataFrame:
     """Documents as chapters of the novel named by their source."""
-    n = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").select(F.col("source").alias("novel_id"), n.alias("chapter_index"), "doc_id", "text", "lang", "n_chars")
+    docs = table(spark, d, "documents")
+    # numbered without their texts, which are joined by doc_id and so stay spread, however large a source is
+    n = docs.select("doc_id", "source").withColumn("chapter_index", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).drop("source")
+    return docs.join(n, "doc_id").select(F.col("source").alias("novel_id"), "chapter_index", "doc_id", "text", "lang", "n_chars")
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:

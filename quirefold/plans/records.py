@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quirefold.functions import keys
-from quirefold.operators import ledger, mutations, statistics
+from quirefold.operators import ledger, mutations
 from quirefold.plans.domain import chapters, facts, table, with_
 from quirefold.plans.registry import query
 from quirefold.streaming import claims
@@ -62,10 +62,9 @@ def e18_observed_ticks(spark, d):
     return rows.select("event_id", ledger.observed(F.col("seconds"), F.col("ticks")).alias("valid"), F.when(F.col("ticks") > 0, F.col("active") / F.col("ticks")).alias("overlap"))
 
 
-@query(with_("facts") + "SELECT subject, n, row_number() OVER (ORDER BY n DESC, subject) AS place FROM (SELECT subject, count(*) AS n FROM (SELECT unnest(subjects) AS subject FROM facts) GROUP BY 1)")
+@query(with_("facts") + "SELECT subject, count(*) AS n FROM (SELECT unnest(subjects) AS subject FROM facts) GROUP BY 1 ORDER BY n DESC, subject")
 def f04_by_count(spark, d):
-    counts = facts(spark, d).select(F.explode("subjects").alias("subject")).groupBy("subject").agg(F.count("*").alias("n"))
-    return statistics.ranked(counts, [F.desc("n"), F.asc("subject")], "place")
+    return facts(spark, d).select(F.explode("subjects").alias("subject")).groupBy("subject").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "subject")
 
 
 @query(with_("facts") + "SELECT novel_id, chapter_index, ordinal, conv_id FROM facts WHERE novel_id = 'n3' ORDER BY chapter_index, ordinal, conv_id")

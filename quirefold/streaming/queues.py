@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quirefold.operators.folds import folded
+
 
 def claim(queue: DataFrame, busy: DataFrame, focused: str | None = None) -> DataFrame:
     """The one pointer to serve next. queue: pos (oldest first), novel_id, chapter_index, priority, enrichment.
@@ -49,16 +51,43 @@ def _admit(times: list[float], state: tuple[float, int], most: int, window: floa
     return out, (start, n)
 
 
-def limit_replay(calls: DataFrame, most: int = 10, window: float = 60.0) -> DataFrame:
-    """calls (key, ts in seconds, event_id) with allowed: at most `most` in a window that begins with its first call."""
+def limit_replay(calls: DataFrame, most: int = 10, window: float = 60.0, lease: float | None = None) -> DataFrame:
+    """calls (key, ts in seconds, event_id) with allowed: at most `most` in a window that begins with its first call.
+
+    With a lease one call is active at a time: from when it is allowed to its end (column done, null if it never tells), or
+    for the lease's seconds if that is sooner; others are refused meanwhile and do not count.
+    """
+
+    def step(state: dict, row: dict) -> bool:
+        t = row["ts"]
+        if state["n"] == 0 or t - state["start"] >= window:
+            state["start"], state["n"] = t, 0
+        if state["n"] >= most or (lease is not None and t < state["until"]):
+            return False
+        state["n"] += 1
+        if lease is not None:
+            state["until"] = t + lease if row["done"] is None else min(row["done"], t + lease)
+        return True
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        rows["allowed"] = _admit(rows["ts"].tolist(), (0.0, 0), most, window)[0]
-        return rows
+    return folded(calls, ["key"], ["ts", "event_id"], lambda: {"start": 0.0, "n": 0, "until": float("-inf")}, step, "allowed", "boolean")
+
+
+def permits(log: DataFrame, capacity: int, lease: float = 180.0) -> DataFrame:
+    """log (key, ts, event_id, action, reservation_id) with outcome: a reservation is granted while fewer than `capacity` are
+    held, else refused; settling a held one is settled, any other late. What is not settled falls back after the lease.
+    """
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema.fields)
-    return calls.groupBy("key").applyInPandas(fold, f"{schema}, allowed boolean")
+    def step(held: dict, row: dict) -> str:
+        for old in [r for r, until in held.items() if until <= row["ts"]]:
+            del held[old]
+        if row["action"] == "settle":
+            return "settled" if held.pop(row["reservation_id"], None) is not None else "late"
+        if row["reservation_id"] in held or len(held) >= capacity:
+            return "refused"
+        held[row["reservation_id"]] = row["ts"] + lease
+        return "granted"
+
+    return folded(log, ["key"], ["ts", "event_id"], dict, step, "outcome", "string")
 
 
 def limit_stream(calls: DataFrame, most: int = 10, window: float = 60.0) -> DataFrame:

@@ -198,3 +198,35 @@ def test_walk(spark):
     chapters = sorted((r.walk, r.chapter, r.source_url, r.text) for r in got[0].collect())
     assert chapters == [("w1", 1, "a", "one " * 9), ("w1", 2, "b", "two " * 9 + "\n\n" + "three " * 9), ("w1", 3, "d", "s"), ("w2", 1, "g", "gone"), ("w3", 1, "z", "end")]
     assert sorted((r.walk, r.reason) for r in got[1].collect()) == [("w1", "duplicate_content"), ("w2", "not_found"), ("w3", "no_next_link"), ("w4", "not_found")]
+
+
+def events(spark):
+    return [r for r in spark.read.parquet(f"{D}/events.parquet").selectExpr("event_id", "user_id", "event_type", "cast(unix_timestamp(ts) as double) s", "cast(get_json_object(props, '$.k') as int) k").orderBy("s", "event_id").collect()]
+
+
+def test_limit_and_permits(spark):
+    got = {r.event_id: r.allowed for r in catalog.QUERIES["j11_limit"](spark, D).collect()}
+    logs = {}
+    for e in events(spark):
+        accepted = logs.setdefault(e.user_id, [])
+        first = accepted[-1][2] if accepted else None  # start of the window of the last accepted call
+        fresh = first is None or e.s - first >= 86400
+        n = 0 if fresh else sum(x[2] == first for x in accepted)
+        busy = any(x[0] <= e.s < x[1] for x in accepted)
+        ok = n < 3 and not busy
+        if ok:
+            end = min(e.s + 86400, e.s + e.k * 3600 if e.event_id % 5 else float("inf"))
+            accepted.append((e.s, end, e.s if fresh else first))
+        assert got[e.event_id] == ok
+    got = {r.event_id: r.outcome for r in catalog.QUERIES["j12_permits"](spark, D).collect()}
+    held = {}
+    for e in events(spark):
+        own = held[e.event_type] = {k: t for k, t in held.get(e.event_type, {}).items() if e.s - t < 7200}
+        if e.user_id % 3 == 0:
+            want = "settled" if own.pop(e.user_id - 1, None) is not None else "late"
+        else:
+            want = "refused" if e.user_id in own or len(own) >= 3 else "granted"
+            if want == "granted":
+                own[e.user_id] = e.s
+        assert got[e.event_id] == want
+    assert {"granted", "refused", "late"} <= set(got.values())
