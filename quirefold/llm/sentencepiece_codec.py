@@ -9,6 +9,7 @@ longest, and so on to the front. Characters that no piece covers become one byte
 Decoding joins the pieces' bytes. Every text comes back exactly, spaces, line ends and the mark's own character included.
 """
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -19,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Words whose pieces a worker remembers; the memory is emptied when it is full.
-_REMEMBERED = 1 << 18
+#: Words, and characters of words, whose pieces a worker remembers; the memory is emptied when it is full.
+_REMEMBERED, _REMEMBERED_CHARS = 1 << 18, 1 << 23
+#: Longer words share no prefix with others: they are segmented alone, in arrays of some bytes a character.
+_LONG = 4096
 
 
 class Vocabulary:
@@ -47,6 +50,7 @@ class Vocabulary:
         self.bytes = pa.array(told, pa.binary())
         self.unknown = min(s for s, _ in self.pieces.values()) - 10
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def segment(self, words: list[str]) -> None:
         """Adds the pieces of all words to what is known. words: distinct and sorted, without their marks."""
@@ -83,17 +87,49 @@ class Vocabulary:
             self.known[plain] = np.array(ids[::-1], dtype=np.int32).tobytes()
             last = word
 
+    def alone(self, plain: str) -> bytes:
+        """The pieces of one long word, by the same rule; only the pieces begun but not ended are kept besides arrays."""
+        word = MARK + plain
+        score, begin, piece = array("d", [0.0]), array("i", [0]), array("i", [-1])
+        begun: list[tuple] = []
+        for end, c in enumerate(word, 1):
+            best, start_of, which, alive = score[-1] + self.unknown, end - 1, -1, []
+            if c != MARK or end == 1:
+                begun.append((end - 1, self.trie))
+            for start, node in begun:
+                child = node.get(c)
+                if child is not None:
+                    alive.append((start, child))
+                    hit = child.get("")
+                    if hit and score[start] + hit[0] > best:
+                        best, start_of, which = score[start] + hit[0], start, hit[1]
+            score.append(best)
+            begin.append(start_of)
+            piece.append(which)
+            begun = alive
+        ids, at = array("i"), len(word)
+        while at:
+            if piece[at] >= 0:
+                ids.append(piece[at])
+            else:
+                ids.extend(self.of_byte[b] for b in reversed(word[begin[at] : at].encode()))
+            at = begin[at]
+        ids.reverse()
+        return ids.tobytes()
+
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """The ids of every text; texts: strings without nulls."""
         cut = pc.split_pattern(texts, " ")
         coded = cut.flatten().dictionary_encode()
         words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > _REMEMBERED:
+        short = [w for w in words if len(w) <= _LONG]
+        new = [w for w in short if w not in self.known]
+        if len(self.known) + len(new) > _REMEMBERED or self.held > _REMEMBERED_CHARS:
             self.known.clear()
-            new = words
+            self.held, new = 0, short
         self.segment(sorted(new))
-        found = [self.known[w] for w in words]
+        self.held += sum(map(len, new))
+        found = [self.known[w] if len(w) <= _LONG else self.alone(w) for w in words]
         pool, size = np.frombuffer(b"".join(found), dtype=np.int32), np.array([len(x) // 4 for x in found], dtype=np.int64)
         first = np.cumsum(size) - size
         ends = np.concatenate(([0], np.cumsum(size[which])))

@@ -179,6 +179,17 @@ def test_sentencepiece(spark):
     assert sentencepiece_codec.encode(unlike(spark), model).count() == 0
 
 
+def test_long_words_are_segmented_alike(spark):
+    r, words = random.Random(3), sentencepiece_codec.vocabulary(model_bytes())
+    for letters in ("abcdeinrst", "▁é😀x", "A1b2+/"):
+        word = "".join(r.choice(letters) for _ in range(3000))
+        words.segment([word])
+        assert words.alone(word) == words.known[word]
+    text = "".join(r.choice("abcdefgh0123") for _ in range(1_000_000))
+    got = sentencepiece_codec.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), model_bytes()).first()
+    assert words.decode(got.ids) == text and len(got.ids) < len(text)
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.1"
     rows = QUERIES["op10_quality"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").select("score", "quality", "predicted").collect()
