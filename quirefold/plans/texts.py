@@ -7,6 +7,7 @@ from quirefold.functions import text as tx
 from quirefold.operators import chunks, pagemodels
 from quirefold.plans.domain import table
 from quirefold.plans.registry import query
+from quirefold.sources import sites
 
 
 def _structs(fields: tuple[str, ...], rows) -> F.Column:
@@ -262,3 +263,33 @@ def h06_affected_chapters(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.col("source").alias("novel"))
     rows = table(spark, d, "conversations").join(docs, "conv_id").where(F.contains("text", F.lit("the")))
     return rows.groupBy("novel").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, [6, 5, 5, 5, 4, 4, 4][event_id % 7 + 1] AS n_kinds, ['located_in', 'located_in', 'located_in', 'located_in', 'located_in', 'located_in', 'located_in'][event_id % 7 + 1] AS last FROM events")
+def l09_ontology(spark, d):
+    genre = _at(["xianxia", "fantasy", "mystery", "litrpg", "romance", "", None])
+    return table(spark, d, "events").select("event_id", sites.ontology(genre).alias("o")).select("event_id", F.size("o.kinds").alias("n_kinds"), F.element_at("o.relations", -1).alias("last"))
+
+
+@query("SELECT doc_id, CAST(pos AS INT) AS pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM (SELECT doc_id, '温馨提示: ' || replace(text, chr(10), chr(10) || '本章完 ') AS text FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 2 = 1)) WHERE doc_id % 2 = 1 AND NOT regexp_matches(line, '^\\s*$')")
+def t29_without_boilerplate(spark, d):
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("温馨提示: "), F.replace("text", F.lit("\n"), F.lit("\n本章完 ")))).otherwise(F.col("text"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return lines.where(~sites.is_boilerplate(F.col("line"))).select("doc_id", "pos")
+
+
+@query()
+def t24_t25_densest_block(spark, d):
+    """The lines of each page's densest block."""
+    return sites.densest_block(table(spark, d, "pages"), 20).select("page_id", F.size("lines").alias("n_lines"))
+
+
+@query()
+def a06_a09_site_pages(spark, d):
+    """Pages as their sites' readers see them; the given ones are wrapped as those sites write them."""
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://www.site"), F.col("page_id") % 4, F.lit(".org/book/"), F.col("page_id")).alias("url"), "html")
+    body = F.regexp_replace("html", "(?s)^.*<body[^>]*>|</body>.*$", "")
+    n = F.col("page_id") % 4
+    page = F.when(n == 0, F.concat(F.lit("<h4>T</h4><div id='article'>"), body, F.lit("</div><a id='next_url' href='n'>x</a>"))).when(n == 1, F.concat(F.lit("<h1>T</h1><div class='a content'>"), body, F.lit("</div><a href='/p2'>下一页</a><a href='/c2'>下一章</a>")))
+    page = page.otherwise(F.concat(F.lit("<h1>T (1/2)</h1><div id='chapterWarp'><div class='chapter-content'>"), body, F.lit("</div></div><a href='n'>下一章</a>")))
+    return sites.read_pages(rows.withColumn("html", page), {"site0.org": "article", "site1.org": "content", "site2.org": "wrapped"}).select("page_id", "title", "next_url", "continues", F.length("text").alias("chars"))
