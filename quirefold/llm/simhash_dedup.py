@@ -116,14 +116,14 @@ def _classes(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
     """doc_id, k1 and k2 of every row; and the classes of the same words: k1, k2, least (doc_id and row of one that stands
     for the class, the smallest) and first (the smallest of all classes that links reach).
     """
-    n, doc_id = partitions(docs.sparkSession), F.col("doc_id").cast("long").alias("doc_id")
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
     low = F.translate(F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     keyed = saved(docs.select(doc_id, _row().alias("row"), F.xxhash64(low).alias("k1"), F.xxhash64(low, F.lit(1)).alias("k2")), "keyed")
     classes = keyed.groupBy("k1", "k2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("least"))
     classes = saved(classes.withColumn("class", F.monotonically_increasing_id()), "classes")  # numbered once, by being written
     named = classes.where("least is not null").select("class", "least.doc_id", "least.row")
-    single = docs.select(doc_id, "text", _row().alias("row")).join(named, ["doc_id", "row"]).select(F.col("class").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    single = saved(single.repartition(n, "doc_id"), "single")
+    single = docs.select(doc_id, "text", _row().alias("row")).join(named, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])  # the join's own partitions
+    single = saved(single.select(F.col("class").alias("doc_id"), "text"), "single")
     parts = saved(connected_components(similar_links(single, shingle, similarity)), "parts")
     joined = classes.join(parts.select(F.col("node").alias("class"), "component"), "class", "left")
     joined = saved(joined.select("k1", "k2", "least", F.coalesce("component", "class").alias("component")), "joined")

@@ -221,3 +221,22 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(out.toArrow())
         counts.append(docs.count())
     assert counts[0] <= 1000 and counts[1] == counts[0] and counts[2] < counts[1] and counts[4] == counts[3]
+
+
+def test_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    rows = [(i, t, "en", f"s{(i or 0) % 3}" if (i or 0) % 4 else None, len(t or "")) for i, t in documents(7, 30)] + [(1, "a text of its own under an id that is taken already", "en", "s1", 50)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, path string")
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, d), stage(spark, docs.limit(0), d)
+        assert none.count() == 0 and none.columns == out.columns
+        kept = [r.doc_id for r in out.select("doc_id").collect()]
+        assert set(kept) <= {r[0] for r in rows}
+        if name != "sentencepiece":
+            assert out.columns == docs.columns
+        if name in ("line_dedup", "sentencepiece"):
+            assert sorted(kept, key=str) == sorted((r[0] for r in rows), key=str)
+        if name == "simhash_dedup":
+            assert kept.count(1) == 2 and None in kept and 904 not in kept  # 903 and 904 are equal
