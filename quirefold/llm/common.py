@@ -14,11 +14,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Where the setting is absent (tests in local mode) a temporary folder is made once for the application.
+    Where the setting is absent a temporary folder is made once for the application, in local mode only: the tasks of a
+    cluster would each write to a folder of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         if not spark.sparkContext.getCheckpointDir():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quirefold-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
