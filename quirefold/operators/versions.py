@@ -71,6 +71,17 @@ def assemble(pages: DataFrame, keys: Sequence[str], order: str = "pos") -> DataF
     return rows.withColumn("text", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")).drop("p")
 
 
+def resolved(links: DataFrame, most: int = 64) -> DataFrame:
+    """id, root and cyclic of links (id, to_id; null for none): where following them ends, or that it never does.
+
+    A chain of `most` links or more counts as a cycle, and has no root.
+    """
+    sql = "WITH RECURSIVE w(id, at, depth) MAX RECURSION LEVEL %d AS (SELECT id, id, 0 FROM {links} UNION ALL SELECT w.id, l.to_id, w.depth + 1 FROM w JOIN {links} l ON l.id = w.at WHERE l.to_id IS NOT NULL AND w.depth < %d) SELECT * FROM w"
+    walked = links.sparkSession.sql(sql % (most + 2, most), links=links)
+    ends = walked.groupBy("id").agg(F.max(F.struct("depth", "at")).alias("e"))
+    return ends.select("id", F.when(F.col("e.depth") < most, F.col("e.at")).alias("root"), (F.col("e.depth") >= most).alias("cyclic"))
+
+
 def greedy_pack(items: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, budget: int) -> DataFrame:
     """Items taken in order while they fit; one that would overflow is skipped, and later ones may still be taken.
 

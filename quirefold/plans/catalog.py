@@ -225,10 +225,13 @@ def c21_containment_unique(spark, d):
     return statistics.only_match(samples, e.where("event_type = 'purchase'").select(F.col("user_id").alias("key"), F.col("t").alias("ts"), F.col("value").alias("tokens")))
 
 
-@query("WITH RECURSIVE w AS (SELECT 1 AS node, 0 AS depth UNION ALL SELECT node * 2 + (node % 3), depth + 1 FROM w WHERE node * 2 + (node % 3) <= (SELECT max(p_partkey) FROM part)) SELECT depth, p_name FROM w JOIN part ON p_partkey = node")
+_LINKS = "SELECT p_partkey AS id, CASE WHEN p_partkey = 1 THEN 2 WHEN p_partkey = 2 THEN 1 WHEN p_partkey % 4 <> 0 THEN p_partkey {} 3 END AS to_id FROM part"
+
+
+@query(f"WITH RECURSIVE l AS ({_LINKS.format('//')}), w AS (SELECT id, id AS node, 0 AS depth FROM l UNION ALL SELECT w.id, l.to_id, depth + 1 FROM w JOIN l ON l.id = w.node WHERE l.to_id IS NOT NULL AND depth < 30) SELECT id, CASE WHEN max(depth) < 30 THEN arg_max(node, depth) END AS root, max(depth) >= 30 AS cyclic FROM w GROUP BY 1")
 def c25_recursive_chain(spark, d):
-    table(spark, d, "part").createOrReplaceTempView("quirefold_part")
-    return spark.sql("WITH RECURSIVE w AS (SELECT 1L AS node, 0 AS depth UNION ALL SELECT node * 2 + (node % 3), depth + 1 FROM w WHERE node * 2 + (node % 3) <= (SELECT max(p_partkey) FROM quirefold_part)) SELECT depth, p_name FROM w JOIN quirefold_part ON p_partkey = node")
+    """What each part is superseded by in the end; two supersede each other."""
+    return versions.resolved(spark.sql(_LINKS.format("div").replace("FROM part", "FROM {part}"), part=table(spark, d, "part")), 30)
 
 
 @query(with_("chapters") + "SELECT novel_id, count(*) AS n, count(*) FILTER (WHERE n_chars > 2000) AS n_long, coalesce(max(chapter_index), 0) + 1 AS next_index FROM chapters GROUP BY 1")

@@ -183,8 +183,7 @@ _QUEUE = "SELECT o_orderkey AS pos, o_custkey % 9 AS account_id, o_custkey % 40
 
 
 def _queue(spark, d):
-    table(spark, d, "orders").createOrReplaceTempView("quirefold_orders")
-    return spark.sql(_QUEUE.replace("FROM orders", "FROM quirefold_orders"))
+    return spark.sql(_QUEUE.replace("FROM orders", "FROM {orders}"), orders=table(spark, d, "orders"))
 
 
 @query(

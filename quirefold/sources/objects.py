@@ -45,10 +45,12 @@ def walk(pages: DataFrame, starts: DataFrame, most: int = 1000, floor: int = 400
     """
     spark = pages.sparkSession
     links = pages.select("url", "next_url").dropDuplicates(["url"])
-    starts.select("walk", "url").createOrReplaceTempView("_walk_starts")
-    links.createOrReplaceTempView("_walk_links")
-    steps = spark.sql(f"""WITH RECURSIVE w(walk, step, url) MAX RECURSION LEVEL {most + 1} AS (SELECT walk, 1, url FROM _walk_starts UNION ALL
-        SELECT w.walk, w.step + 1, l.next_url FROM w JOIN _walk_links l ON w.url = l.url WHERE l.next_url IS NOT NULL AND w.step < {most}) SELECT * FROM w""")
+    steps = spark.sql(
+        "WITH RECURSIVE w(walk, step, url) MAX RECURSION LEVEL %d AS (SELECT walk, 1, url FROM {starts} UNION ALL "
+        "SELECT w.walk, w.step + 1, l.next_url FROM w JOIN {links} l ON w.url = l.url WHERE l.next_url IS NOT NULL AND w.step < %d) SELECT * FROM w" % (most + 1, most),
+        starts=starts.select("walk", "url"),
+        links=links,
+    )
     met = steps.join(pages.dropDuplicates(["url"]).withColumnRenamed("url", "_url"), F.col("url") == F.col("_url"), "left")
     by_text = W.partitionBy("walk", F.sha2("text", 256)).orderBy("step")
     again = (F.octet_length("text") < floor) & (F.row_number().over(by_text) > 1)
