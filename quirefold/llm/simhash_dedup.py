@@ -119,10 +119,14 @@ def _classes(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     low = F.translate(F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     keyed = saved(docs.select(doc_id, _row().alias("row"), F.xxhash64(low).alias("k1"), F.xxhash64(low, F.lit(1)).alias("k2")), "keyed")
-    classes = keyed.groupBy("k1", "k2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("least"))
+    # by row first: how often each comes
+    counted = keyed.groupBy("doc_id", "row", "k1", "k2").agg(F.count("*").alias("n"))
+    classes = counted.groupBy("k1", "k2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row", "n"))).alias("least"))
     classes = saved(classes.withColumn("class", F.monotonically_increasing_id()), "classes")  # numbered once, by being written
-    named = classes.where("least is not null").select("class", "least.doc_id", "least.row")
-    single = docs.select(doc_id, "text", _row().alias("row")).join(named, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])  # the join's own partitions
+    named = classes.where("least is not null").select("class", "least.doc_id", "least.row", "least.n")
+    single = docs.select(doc_id, "text", _row().alias("row")).join(named, ["doc_id", "row"])
+    # only rows that come again need to be brought together
+    single = single.where("n = 1").unionByName(single.where("n > 1").dropDuplicates(["doc_id", "row"]))
     single = saved(single.select(F.col("class").alias("doc_id"), "text"), "single")
     parts = saved(connected_components(similar_links(single, shingle, similarity)), "parts")
     joined = classes.join(parts.select(F.col("node").alias("class"), "component"), "class", "left")
@@ -149,7 +153,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     """
     own = docs.where("doc_id is not null")
     named = _classes(own, shingle, similarity)[1]
-    stay = named.select("first.*").distinct().select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    kept = own.withColumn("_row", _row()).withColumn("_id", F.col("doc_id").cast("long")).join(stay, ["_id", "_row"])
-    kept = kept.groupBy("_id", "_row").agg(F.min(F.struct(*docs.columns)).alias("s")).select("s.*")
+    stay = named.select("first.*").distinct().select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("n").alias("_n"))
+    kept = own.withColumn("_row", _row()).withColumn("_id", F.col("doc_id").cast("long")).join(saved(stay, "stay"), ["_id", "_row"])
+    again = kept.where("_n > 1").groupBy("_id", "_row").agg(F.min(F.struct(*docs.columns)).alias("s")).select("s.*")
+    kept = kept.where("_n = 1").select(*docs.columns).unionByName(again)
     return kept.unionByName(docs.where("doc_id is null"))
