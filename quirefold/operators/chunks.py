@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import PROFILES
+from quirefold.operators.glossaries import Automaton
 
+#: Characters of a paragraph up to which each sentence is looked for by itself.
+_SHORT = 4096
 _KIND = pa.list_(pa.struct([("ordinal", pa.int32()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -17,6 +20,16 @@ def sentences(paragraph: str, ends: str) -> list[str]:
     return [x for x in re.split(f"(?<=[{re.escape(ends)}])", paragraph) if x.strip()]
 
 
+def first_places(text: str, begin: int, paragraph: str, parts: list[str]) -> dict[str, int]:
+    """Where each part of a paragraph first occurs in it; all at once, so long paragraphs take linear time."""
+    if len(paragraph) < _SHORT:
+        return {x: text.index(x, begin) for x in parts}
+    places: dict[str, int] = {}
+    for start, _, x in Automaton(iter(set(parts))).hits(paragraph):
+        places.setdefault(x, begin + start)
+    return places
+
+
 def chunk(text: str, lang: str | None, budget: int) -> list[dict]:
     """Whole sentences packed up to `budget` tokens, over paragraphs too; a longer sentence stays whole.
 
@@ -27,8 +40,10 @@ def chunk(text: str, lang: str | None, budget: int) -> list[dict]:
     out, start, end, size, at = [], None, 0, 0.0, 0
     for paragraph in text.split("\n\n"):
         begin, at = at, at + len(paragraph) + 2
-        for sentence in sentences(paragraph, ends):
-            cost, place = len(sentence) / per_token, text.index(sentence, begin)
+        parts = sentences(paragraph, ends)
+        places = first_places(text, begin, paragraph, parts)
+        for sentence in parts:
+            cost, place = len(sentence) / per_token, places[sentence]
             if start is not None and size + cost > budget:
                 out.append((start, end))
                 start, size = None, 0.0

@@ -11,52 +11,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.operators.glossaries import UNSPACED, Automaton, whole_name
+
 MAX_ALIASES = 100_000
-#: Languages written without spaces, where a name needs no boundary.
-UNSPACED = {"zh", "ja", "ko"}
 _SPAN = "struct<alias_id:string,byte_start:int,byte_end:int,char_start:int,char_end:int>"
 
 
-@lru_cache(maxsize=4)
-def _automaton(aliases: tuple[tuple[str, str], ...]):
-    import ahocorasick
-
-    by_surface: dict[str, set] = {}
-    for alias_id, surface in aliases:
-        if surface:
-            by_surface.setdefault(surface, set()).add(alias_id)
-    found = ahocorasick.Automaton()
-    for surface, ids in by_surface.items():
-        found.add_word(surface, (tuple(sorted(ids)), len(surface), len(surface.encode())))
-    if by_surface:
-        found.make_automaton()
-    return found if by_surface else None
+class Aliases:
+    """The ids of every surface, and an automaton of the surfaces."""
 
+    def __init__(self, aliases: tuple[tuple[str, str], ...]):
+        ids: dict[str, set] = {}
+        for alias_id, surface in aliases:
+            if surface:
+                ids.setdefault(surface, set()).add(alias_id)
+        self.ids = {s: (sorted(x), len(s.encode())) for s, x in ids.items()}
+        self.automaton = Automaton(iter(self.ids))
 
-def _word(c: str) -> bool:
-    return c.isalnum() or c == "_"
 
-
-def whole_name(text: str, start: int, end: int, lang: str | None) -> bool:
-    """Whether a match stands alone: no letter is glued to an edge that is a letter itself."""
-    if (lang or "").split("-")[0] in UNSPACED:
-        return True
-    left = start > 0 and _word(text[start - 1]) and _word(text[start])
-    right = end < len(text) and _word(text[end]) and _word(text[end - 1])
-    return not (left or right)
+@lru_cache(maxsize=4)
+def _known(aliases: tuple[tuple[str, str], ...]) -> Aliases:
+    return Aliases(aliases)
 
 
 _FIELDS = ("alias_id", "byte_start", "byte_end", "char_start", "char_end")
 
 
-def spans(text: str, lang: str | None, automaton, out: dict[str, list]) -> None:
+def spans(text: str, lang: str | None, known: Aliases, out: dict[str, list]) -> None:
     """Adds the spans of one text to the columns of out. A longest match without boundary still uses up its characters."""
-    if automaton is None or not text:
+    if not text:
         return
     plain, free = text.isascii(), (lang or "").split("-")[0] in UNSPACED
     at, seen = 0, 0
-    for last, (ids, chars, size) in automaton.iter_long(text):
-        start, end = last - chars + 1, last + 1
+    for start, surface in known.automaton.leftmost_longest(text):
+        end = start + len(surface)
         if not free and not whole_name(text, start, end, lang):
             continue
         if plain:
@@ -64,6 +52,7 @@ def spans(text: str, lang: str | None, automaton, out: dict[str, list]) -> None:
         else:
             at += len(text[seen:start].encode())
             seen = start
+        ids, size = known.ids[surface]
         for i in ids:
             for name, value in zip(_FIELDS, (i, at, at + size, start, end), strict=True):
                 out[name].append(value)
@@ -80,12 +69,12 @@ def scan_mentions(docs: DataFrame, aliases: DataFrame) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(tuple(sorted((str(r[0]), r[1]) for r in rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(shipped.value)
+        known = _known(shipped.value)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in _FIELDS}
             ends = [0]
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-                spans(text, lang, automaton, out)
+                spans(text, lang, known, out)
                 ends.append(len(out["alias_id"]))
             columns = [pa.array(out[k], pa.string() if k == "alias_id" else pa.int32()) for k in _FIELDS]
             found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, list(_FIELDS)))

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from quirefold.functions import answers, glossary, keys
+from quirefold.functions import answers, glossary, keys, udtf
 from quirefold.functions import text as tx
-from quirefold.operators import chunks, pagemodels
+from quirefold.operators import ask, chunks, glossaries, pagemodels
 from quirefold.plans.domain import table
 from quirefold.plans.registry import query
 from quirefold.sources import sites
@@ -17,14 +17,39 @@ def _structs(fields: tuple[str, ...], rows) -> F.Column:
 TERMS = (("an", "<i>", "term"), ("and", "an & on", "term"), ("", "x", "term"), ("zz", " ", "term"))
 
 
-def _terms(rows=TERMS):
-    return _structs(("source", "target", "kind"), rows)
+def _of_novels(novels, fields: tuple[str, ...], rows):
+    """The same rows for every novel, as a table."""
+    return novels.select("novel_id").distinct().select("novel_id", F.inline(_structs(fields, rows)))
+
+
+def _novels(spark, d):
+    return table(spark, d, "documents").withColumnRenamed("source", "novel_id")
+
+
+def _turns(spark, d):
+    return table(spark, d, "conversations").withColumn("novel_id", F.concat(F.lit("n"), F.col("conv_id") % 7))
+
+
+_FIELDS = ("source", "target", "kind")
 
 
 @query("SELECT doc_id, sha256(replace(replace(replace(text, 'and', 'a' || chr(1)), 'an', '<i>'), 'a' || chr(1), 'an & on')) AS primed FROM documents")
 def t07_t11_primed(spark, d):
     """One pass, longest first: what was put in is not looked at again."""
-    return table(spark, d, "documents").select("doc_id", F.sha2(glossary.primed(F.col("text"), _terms()), 256).alias("primed"))
+    docs = _novels(spark, d)
+    return glossaries.prime(docs.select("novel_id", "doc_id", "text"), _of_novels(docs, _FIELDS, TERMS)).select("doc_id", F.sha2("primed", 256).alias("primed"))
+
+
+def novel_terms(spark, d):
+    """A glossary for every novel: its words of over five letters, with their target in capitals."""
+    words = _novels(spark, d).select("novel_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}{6,}"), F.lit(0)))).alias("source")).distinct()
+    return words.select("novel_id", "source", F.concat(F.lit("«"), F.upper("source"), F.lit("»")).alias("target"), F.lit("term").alias("kind"))
+
+
+@query()
+def t07_novel_glossaries(spark, d):
+    """Thousands of terms a novel, each in its own novel only; words within words go to the longest."""
+    return glossaries.prime(_novels(spark, d).select("novel_id", "doc_id", "text"), novel_terms(spark, d)).select("doc_id", F.sha2("primed", 256).alias("primed"))
 
 
 _TAG = """'<locked-term data-id="t{}">{}</locked-term>'"""
@@ -32,8 +57,9 @@ _TAG = """'<locked-term data-id="t{}">{}</locked-term>'"""
 
 @query(f"SELECT doc_id, sha256(replace(replace(replace(text, 'and', 'a' || chr(1)), 'an', {_TAG.format(1, '&lt;i&gt;')}), 'a' || chr(1), {_TAG.format(0, 'an &amp; on')})) AS tagged, sha256(replace(replace(replace(text, 'and', 'a' || chr(1)), 'an', '<i>'), 'a' || chr(1), 'an & on')) AS plain FROM documents")
 def t13_protected(spark, d):
-    tagged = glossary.protected(F.col("text"), _terms())
-    return table(spark, d, "documents").select("doc_id", tagged.alias("t")).select("doc_id", F.sha2("t", 256).alias("tagged"), F.sha2(glossary.unprotected(F.col("t")), 256).alias("plain"))
+    docs = _novels(spark, d)
+    tagged = glossaries.protect(docs.select("novel_id", "doc_id", "text"), _of_novels(docs, _FIELDS, TERMS))
+    return tagged.select("doc_id", F.sha2("protected", 256).alias("tagged"), F.sha2(glossary.unprotected(F.col("protected")), 256).alias("plain"))
 
 
 @query(
@@ -41,11 +67,30 @@ def t13_protected(spark, d):
     "(contains(text, 'and') AND NOT contains(said, 'also')) OR (contains(text, 'and') AND contains(said, 'and')) AS hard FROM t"
 )
 def t14_constraints(spark, d):
-    found = glossary.constraints(F.col("text"), F.replace("text", F.lit("on"), F.lit("un")), _terms((("and", "also", "character_name"), ("or", "o", "term"))))
-    rows = table(spark, d, "documents").select("doc_id", found.alias("c"))
+    docs = _novels(spark, d)
+    terms = _of_novels(docs, _FIELDS, (("and", "also", "character_name"), ("or", "o", "term")))
+    rows = glossaries.check(docs.select("novel_id", "doc_id", "text", F.replace("text", F.lit("on"), F.lit("un")).alias("translated")), terms).select("doc_id", F.col("violations").alias("c"))
     return rows.select("doc_id", "c.empty", F.array_contains("c.missing", "also").alias("misses"), F.array_contains("c.untranslated", "or").alias("keeps"), "c.hard")
 
 
+#: Terms are turns' words in their case, targets their capitals; a term counts where it stands anywhere in the text.
+_VIOLATIONS = r"""
+WITH t AS (SELECT 'n' || (conv_id % 7) AS novel_id, conv_id, turn, text, replace(text, 'e', 'E') AS said FROM conversations),
+w AS (SELECT DISTINCT novel_id, unnest(regexp_extract_all(text, '[a-z]{9,}')) AS source FROM t WHERE turn % 2 = 0),
+h AS (SELECT t.conv_id, t.turn, count(*) FILTER (WHERE NOT contains(said, upper(source))) AS n_missing, count(*) FILTER (WHERE contains(said, source)) AS n_untranslated FROM t JOIN w ON t.novel_id = w.novel_id AND contains(t.text, source) GROUP BY 1, 2)
+SELECT conv_id, turn, coalesce(n_missing, 0) AS n_missing, coalesce(n_untranslated, 0) AS n_untranslated FROM t LEFT JOIN h USING (conv_id, turn)
+"""
+
+
+@query(_VIOLATIONS)
+def t14_novel_constraints(spark, d):
+    turns = _turns(spark, d)
+    words = turns.where("turn % 2 = 0").select("novel_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]{9,}"), F.lit(0))).alias("source")).distinct()
+    terms = words.select("novel_id", "source", F.upper("source").alias("target"), F.lit("term").alias("kind"))
+    found = glossaries.check(turns.select("novel_id", "conv_id", "turn", "text", F.replace("text", F.lit("e"), F.lit("E")).alias("translated")), terms)
+    return found.select("conv_id", "turn", F.size("violations.missing").cast("long").alias("n_missing"), F.size("violations.untranslated").cast("long").alias("n_untranslated"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'queue' WHEN o_custkey % 3 = 0 THEN 'retranslate' WHEN o_custkey % 3 = 1 THEN 'none' ELSE 'respell' END AS action FROM orders")
 def t12_respell_action(spark, d):
     primed = F.when(F.col("o_custkey") % 3 == 1, "new").when(F.col("o_custkey") % 3 == 2, "old")
@@ -55,21 +100,52 @@ def t12_respell_action(spark, d):
 @query()
 def t10_respelled(spark, d):
     """Names of one word respelled, where no longer name holds them."""
-    pairs = _structs(("source", "target"), (("and", "und"),))
-    return table(spark, d, "documents").select("doc_id", F.sha2(glossary.respelled(F.col("text"), pairs, F.array(F.lit("and the")), ~F.col("lang").isin("zh", "ja", "ko")), 256).alias("text"))
+    docs = _novels(spark, d)
+    spellings = _of_novels(docs, ("source", "target"), (("and", "und"), ("and the", None)))
+    return glossaries.respell(docs.select("novel_id", "doc_id", "text", "lang"), spellings).select("doc_id", F.sha2("respelled", 256).alias("text"))
 
 
 @query()
 def t08_marked(spark, d):
     """Turns of conversations with names as markers."""
-    names = _structs(("key", "spelling"), (("1", "the"), ("2", "of the"), ("3", "a")))
-    return table(spark, d, "conversations").select("conv_id", "turn", glossary.marked(F.col("text"), names).alias("m")).select("conv_id", "turn", "m.text", F.array_join("m.order", ",").alias("order"))
+    turns = _turns(spark, d).select("novel_id", "conv_id", "turn", "text")
+    marked = glossaries.mark(turns, _of_novels(turns, ("key", "spelling"), (("1", "the"), ("2", "of the"), ("3", "a"))))
+    return marked.select("conv_id", "turn", "marked.text", F.array_join("marked.order", ",").alias("order"))
+
+
+_TOKENS = r"regexp_extract_all(text, '[\p{L}\p{N}_-]+|[^\p{L}\p{N}_-]+')"
+_NAMED = rf"""
+WITH t AS (SELECT 'n' || (conv_id % 7) AS novel_id, conv_id, turn, {_TOKENS} AS tokens FROM conversations),
+w AS (SELECT novel_id, conv_id, turn, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM t),
+n AS (SELECT DISTINCT novel_id, token FROM w WHERE turn % 2 = 0 AND regexp_full_match(token, '\p{{L}}{{5,}}')),
+m AS (SELECT w.*, n.token IS NOT NULL AS hit FROM w LEFT JOIN n USING (novel_id, token))
+"""
+
+
+def _turn_names(turns):
+    """Names of each novel: the words of over four letters in its even turns."""
+    words = turns.where("turn % 2 = 0").select("novel_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_-])\p{L}{5,}(?![\p{L}\p{N}_-])"), F.lit(0))).alias("spelling")).distinct()
+    return words.select("novel_id", F.concat(F.lit("k"), F.left(F.md5("spelling"), F.lit(8))).alias("key"), "spelling")
+
+
+@query(_NAMED + "SELECT t.conv_id, t.turn, coalesce(string_agg(CASE WHEN hit THEN '⟦k' || substr(md5(token), 1, 8) || '⟧' ELSE token END, '' ORDER BY i), '') AS text FROM t LEFT JOIN m USING (conv_id, turn) GROUP BY 1, 2")
+def t08_marked_names(spark, d):
+    """Thousands of names a novel, from a table."""
+    turns = _turns(spark, d).select("novel_id", "conv_id", "turn", "text")
+    return glossaries.mark(turns, _turn_names(turns)).select("conv_id", "turn", "marked.text")
+
+
+@query(_NAMED + "SELECT t.conv_id, t.turn, coalesce(string_agg(DISTINCT 'k' || substr(md5(token), 1, 8), ',' ORDER BY 'k' || substr(md5(token), 1, 8)) FILTER (WHERE hit), '') AS named FROM t LEFT JOIN m USING (conv_id, turn) GROUP BY 1, 2")
+def t47_named_names(spark, d):
+    turns = _turns(spark, d).select("novel_id", "conv_id", "turn", "text")
+    return glossaries.name(turns, _turn_names(turns)).select("conv_id", "turn", F.array_join(F.sort_array("named"), ",").alias("named"))
 
 
 @query()
 def t47_named_in(spark, d):
-    names = _structs(("key", "spelling"), (("1", "the"), ("2", "of the"), ("3", "a")))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(glossary.named_in(F.col("text"), names), ",").alias("named"))
+    turns = _turns(spark, d).select("novel_id", "conv_id", "turn", "text")
+    named = glossaries.name(turns, _of_novels(turns, ("key", "spelling"), (("1", "the"), ("2", "of the"), ("3", "a"))))
+    return named.select("conv_id", "turn", F.array_join("named", ",").alias("named"))
 
 
 @query()
@@ -290,6 +366,60 @@ def a06_a09_site_pages(spark, d):
     rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://www.site"), F.col("page_id") % 4, F.lit(".org/book/"), F.col("page_id")).alias("url"), "html")
     body = F.regexp_replace("html", "(?s)^.*<body[^>]*>|</body>.*$", "")
     n = F.col("page_id") % 4
-    page = F.when(n == 0, F.concat(F.lit("<h4>T</h4><div id='article'>"), body, F.lit("</div><a id='next_url' href='n'>x</a>"))).when(n == 1, F.concat(F.lit("<h1>T</h1><div class='a content'>"), body, F.lit("</div><a href='/p2'>下一页</a><a href='/c2'>下一章</a>")))
-    page = page.otherwise(F.concat(F.lit("<h1>T (1/2)</h1><div id='chapterWarp'><div class='chapter-content'>"), body, F.lit("</div></div><a href='n'>下一章</a>")))
+    wrap = lambda before, after: F.concat(F.lit(before), body, F.lit(after))
+    page = F.when(n == 0, wrap("<div id='article'><h4>T</h4>", "</div><a id='next_url' href='n'>x</a>")).when(n == 1, wrap("<h1 class='headline'>T</h1><div class='a content'>", "</div><a href='/p2'>下一页</a><a href='/c2'>下一章</a>"))
+    page = page.otherwise(wrap("<div id='chapterWarp'><div class='chapter-content'><h1>T (1/2)</h1><div class='content'>", "</div></div></div><div class='foot-nav'><a href='n'>下一章</a></div>"))
     return sites.read_pages(rows.withColumn("html", page), {"site0.org": "article", "site1.org": "content", "site2.org": "wrapped"}).select("page_id", "title", "next_url", "continues", F.length("text").alias("chars"))
+
+
+@query()
+def k_chunk_text(spark, d):
+    """The table function chunk_text over documents, in SQL."""
+    udtf.register(spark)
+    return spark.sql("SELECT d.doc_id, c.ordinal, c.start, c.end FROM {docs} d, LATERAL chunk_text(d.text, d.lang, 400) c", docs=table(spark, d, "documents"))
+
+
+#: Names are the words of over four letters of a novel's even turns; a text's own words are compared with them.
+_MENTIONS = _NAMED + "SELECT novel_id, conv_id AS doc_id, count(*) AS n FROM m WHERE hit GROUP BY 1, 2"
+
+
+@query(_MENTIONS)
+def k_scan_mentions(spark, d):
+    """The table function scan_mentions with a partition for each novel, in SQL: whole words only, hyphens being letters."""
+    udtf.register(spark)
+    turns = _turns(spark, d)
+    sql = """SELECT novel_id, doc_id, count(*) AS n FROM scan_mentions(TABLE(
+      SELECT novel_id, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS STRING) AS text, CAST(NULL AS STRING) AS lang, key AS alias_id, spelling AS surface FROM {names}
+      UNION ALL SELECT novel_id, conv_id, replace(text, '-', '_'), 'en', NULL, NULL FROM {turns}) PARTITION BY novel_id ORDER BY text IS NOT NULL) GROUP BY 1, 2"""
+    return spark.sql(sql, names=_turn_names(turns), turns=turns)
+
+
+@query(
+    "WITH e AS (SELECT vec_id, vec_id // 3 AS at, 'n' || (vec_id % 3) AS novel_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), "
+    "s AS (SELECT q.vec_id AS question_id, c.vec_id AS id, list_cosine_distance(q.v, c.v) AS distance FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.novel_id = c.novel_id AND c.at <= q.at AND q.label = c.label) "
+    "SELECT CAST(question_id AS VARCHAR) AS question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(distance, 12), id) AS INT) AS rank, id, round(distance, 6) AS distance FROM s QUALIFY rank <= 8"
+)
+def f02_many_questions(spark, d):
+    """Every twentieth vector asks in its own novel, up to its own chapter, in its own space."""
+    rows = _vectors(spark, d)
+    return ask.nearest_for_all(rows.where("id % 20 = 0").withColumn("question_id", F.col("id")).withColumn("at", F.col("chapter_index")), rows).select("question_id", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.concat(F.lit("n"), F.col("vec_id") % 3).alias("novel_id"), F.floor(F.col("vec_id") / 3).cast("int").alias("chapter_index"), F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("embedding_space"))
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT vec_id, vec_id // 3 AS at, 'n' || (vec_id % 3) AS novel_id, CAST(embedding AS DOUBLE[]) AS v, text FROM embeddings JOIN documents ON doc_id = vec_id), "
+    "s AS (SELECT q.vec_id AS question_id, c.vec_id AS id, c.at AS chapter, c.text, list_cosine_distance(q.v, c.v) AS distance FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.novel_id = c.novel_id AND c.at < q.at), "
+    "i AS (SELECT question_id, id, '[chunk:' || id || ' ch:' || chapter || ']' || chr(10) || text || chr(10) AS part, row_number() OVER (PARTITION BY question_id ORDER BY round(distance, 12), id) AS rank FROM s QUALIFY rank <= 8), "
+    "p AS (SELECT question_id, rank, id, part, CASE WHEN length(part) <= 8000 THEN length(part) ELSE 0 END AS used, length(part) <= 8000 AS fits FROM i WHERE rank = 1 "
+    "UNION ALL SELECT i.question_id, i.rank, i.id, i.part, p.used + CASE WHEN p.used + length(i.part) <= 8000 THEN length(i.part) ELSE 0 END, p.used + length(i.part) <= 8000 FROM p JOIN i ON i.question_id = p.question_id AND i.rank = p.rank + 1), "
+    "t AS (SELECT question_id, string_agg(part, chr(10) ORDER BY rank) FILTER (WHERE fits) AS context, string_agg(id, ',' ORDER BY rank) FILTER (WHERE fits) AS sources FROM p GROUP BY 1) "
+    "SELECT CAST(vec_id AS VARCHAR) AS question_id, sha256(coalesce(context, '')) AS context, coalesce(sources, '') AS sources, coalesce(sources, '') = '' AS insufficient FROM e LEFT JOIN t ON question_id = vec_id WHERE vec_id % 20 = 0"
+)
+def l10_ask(spark, d):
+    """Every twentieth vector asks; documents are the chunks. The first chapters see nothing before them."""
+    rows = _vectors(spark, d).drop("embedding_space").withColumn("embedding_space", F.lit(None).cast("string")).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    asked = rows.where("id % 20 = 0").withColumn("question_id", F.col("id")).withColumn("at", F.col("chapter_index") - 1)
+    return ask.ask(asked, rows, 8, 8000).select("question_id", F.sha2("context", 256).alias("context"), F.array_join(F.transform("sources", lambda x: x["id"].cast("string")), ",").alias("sources"), (F.col("answer") == ask.INSUFFICIENT).alias("insufficient")).na.fill(False, ["insufficient"])

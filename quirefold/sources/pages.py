@@ -1,103 +1,75 @@
-"""Web pages: extraction of title, paragraphs and the next link, walks over next links, robots rules."""
+"""Web pages: title, chapter text and next link of pages of unknown sites, previews, robots rules."""
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import urljoin
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Elements that never hold prose, and words of links to a next page or chapter.
-NOISE = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "template"}
-VOID = {"br", "img", "meta", "link", "hr", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
-NEXT_PAGE, NEXT_CHAPTER = ("next page", "下一页", "下一頁"), ("next chapter", "下一章", "next")
-_KIND = pa.struct([("title", pa.string()), ("paragraphs", pa.list_(pa.string())), ("next_url", pa.string())])
-
-
-class _Reader(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.noise, self.title, self.h1, self.lines, self.links, self.in_tag, self.buffer = 0, "", "", [], [], "", []
-
-    def flush(self) -> None:
-        line = " ".join("".join(self.buffer).split())
-        self.buffer = []
-        if line:
-            self.lines.append(line)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in NOISE:
-            self.noise += 1
-        if tag in ("title", "h1"):
-            self.in_tag = tag
-        if tag in ("a", "link"):
-            self.links.append([dict(attrs), ""])
-        if tag in ("p", "br", "div", "h1", "h2", "article", "section", "li"):
-            self.flush()
-
-    def handle_endtag(self, tag):
-        if tag in NOISE:
-            self.noise = max(0, self.noise - 1)
-        if tag in ("title", "h1"):
-            self.in_tag = ""
-        if tag in ("p", "div", "article", "section", "li", "h1", "h2"):
-            self.flush()
-
-    def handle_data(self, data):
-        if self.in_tag == "title":
-            self.title += data
-        elif self.in_tag == "h1":
-            self.h1 += data
-        elif not self.noise:
-            self.buffer.append(data)
-        if self.links:
-            self.links[-1][1] += data
-
-
-def next_link(links: list, base: str) -> str | None:
-    """rel=next first, then words for a next page, then for a next chapter; resolved against the page's address."""
-    best = None
-    for at, (attrs, text) in enumerate(links):
-        href, low = attrs.get("href"), " ".join(text.lower().split())
-        rank = 0 if "next" in (attrs.get("rel") or "").split() else 1 if low in NEXT_PAGE else 2 if low in NEXT_CHAPTER else 3 if "next" in f"{attrs.get('id') or ''} {attrs.get('class') or ''}".split() else None
-        if href and rank is not None and (best is None or (rank, at) < best[:2]):
-            best = (rank, at, href)
-    return urljoin(base, best[2]) if best else None
-
-
-def read_page(html: str, url: str) -> dict:
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
-    reader.flush()
-    return {"title": " ".join((reader.h1 or reader.title).split()), "paragraphs": reader.lines, "next_url": next_link(reader.links, url or "")}
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """pages (url, html and others) with page: title, paragraphs, next_url."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [read_page(h, u) for h, u in zip(batch["html"].to_pylist(), batch["url"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _KIND)], [*batch.schema.names, "page"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    return pages.mapInArrow(run, f"{schema}, page struct<title:string,paragraphs:array<string>,next_url:string>")
+from quirefold.sources import tree
+
+#: Words of links to the next page of a chapter and to the next chapter.
+NEXT_PAGE, NEXT_CHAPTER = ("下一页", "下一頁", "next page"), ("下一章", "下一節", "下一节", "next chapter", "next")
+
+
+def next_link(nodes: Column) -> Column:
+    """url and continues (the chapter goes on there): an `a` with rel=next, else the first link whose words hold those for a
+    next page, else for a next chapter, else one with `next` between spaces, - and _ in its id or class; null if none."""
+
+    def chosen(links: Column) -> Column:
+        words = lambda n: F.lower(tree.stripped(F.translate(n["text"], "\u00a0\u3000", "  ")))
+        holds = lambda n, some: F.exists(F.array(*map(F.lit, some)), lambda w: F.contains(words(n), w))
+        tokens = lambda n: F.split(F.lower(F.concat_ws(" ", F.array(F.coalesce(n["id"], F.lit(""))), n["classes"])), "[ _-]")
+        told = lambda ns, goes_on: bound_first(ns, goes_on)
+        named = F.filter(links, lambda n: F.coalesce(n["href"], F.lit("")) != "")
+        return F.coalesce(
+            F.when(tree.first(F.filter(links, lambda n: n["rel"] == "next"))["href"].isNotNull(), told(F.filter(links, lambda n: n["rel"] == "next"), False)),
+            told(F.filter(named, lambda n: holds(n, NEXT_PAGE)), True), told(F.filter(named, lambda n: holds(n, NEXT_CHAPTER)), False), told(F.filter(named, lambda n: F.array_contains(tokens(n), "next")), False),
+        )
+
+    return tree.bound(tree.find(nodes, "a"), chosen)
+
+
+def bound_first(nodes: Column, continues: bool) -> Column:
+    return tree.bound(tree.first(nodes), lambda n: F.when(n.isNotNull(), F.struct(n["link"].alias("url"), F.lit(continues).alias("continues"))))
+
+
+def _title(nodes: Column, within: Column) -> Column:
+    """The first heading of the block that has text, by level, else the page's first h1, h2 or title."""
+    plain = lambda n: tree.stripped(F.translate(n["text"], "\u00a0\u3000", "  "))
+    told = [plain(tree.first(tree.find(nodes, tag, within))) for tag in ("h1", "h2", "h3", "h4")] + [plain(tree.first(tree.find(nodes, tag))) for tag in ("h1", "h2", "title")]
+    return F.coalesce(*(F.when(x != "", x) for x in told), F.lit(""))
+
+
+def extract(pages: DataFrame, floor: int = 200) -> DataFrame:
+    """pages (url, html and others) with page: title, paragraphs, next_url, continues; null where a page is no chapter.
+
+    Elements of noise go first. The chapter is the block with the most prose, or the deepest within it that keeps nearly all
+    of that; pages whose chapter has under `floor` characters are none.
+    """
+    read = tree.with_tree(pages, tree.NOISE, floor)
+    block, t = tree.densest(F.col("tree.nodes")), F.col("tree")
+
+    def page(lines: Column, b: Column) -> Column:
+        link = next_link(t["nodes"])
+        told = tree.bound(link, lambda x: F.struct(_title(t["nodes"], b).alias("title"), lines.alias("paragraphs"), x["url"].alias("next_url"), F.coalesce(x["continues"], F.lit(False)).alias("continues")))
+        return F.when(F.length(F.array_join(lines, "\n\n")) >= floor, told)
+
+    read = read.withColumn("_block", block)
+    found = tree.bound(tree.chapter_lines(t, F.col("_block")), lambda lines: page(lines, F.col("_block")))
+    return read.withColumn("page", F.when(F.col("_block").isNotNull(), found)).drop("tree", "_block")
 
 
 def preview(pages: DataFrame) -> DataFrame:
     """page_id, host, title, excerpt (320 characters), text_chars, paragraphs (1 at least), next_url, continues (does the
-    title count further parts) and suggested_mode of extracted pages.
+    title count further parts, or is the link to a next page) and suggested_mode of extracted pages that are chapters.
     """
     from quirefold.functions.text import cjk_share, title_part
 
+    pages = pages.where("page is not null")
     text = F.array_join("page.paragraphs", "\n\n")
     part = title_part(F.col("page.title"))
     return pages.select(
         "page_id", F.parse_url("url", F.lit("HOST")).alias("host"), part["title"].alias("title"), F.substring(text, 1, 320).alias("excerpt"), F.length(text).cast("long").alias("text_chars"),
-        F.greatest(F.lit(1), F.size("page.paragraphs")).cast("long").alias("paragraphs"), "page.next_url", part["continues"].alias("continues"), F.when(cjk_share(text) > 0.2, "translate").otherwise("bootstrap").alias("suggested_mode"),
+        F.greatest(F.lit(1), F.size("page.paragraphs")).cast("long").alias("paragraphs"), "page.next_url", (F.col("page.continues") | part["continues"]).alias("continues"), F.when(cjk_share(text) > 0.2, "translate").otherwise("bootstrap").alias("suggested_mode"),
     )
 
 

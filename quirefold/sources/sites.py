@@ -1,168 +1,90 @@
 """Pages of known sites: which reader a host has, where its chapter stands, and what of it is no prose."""
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import urljoin
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.functions.text import is_prose, title_part
-from quirefold.sources.pages import VOID
+from quirefold.functions.text import title_part
+from quirefold.sources import tree
 
-#: By reader, the mark (id or class) of the element that holds the chapter, the title's tag or class, and the
-#: words of links to the next page of a chapter and to the next chapter.
+#: By reader, the selectors of the element that holds the chapter, of the title (in the holder or in the
+#: page), of what is cut out, of what else a paragraph of the holder lies in, and of links to what comes next, with their words.
 READERS = {
-    "article": {"holder": ("id", "article"), "title": "h4", "next_id": "next_url", "pages": (), "chapters": ()},
-    "content": {"holder": ("class", "content"), "title": "h1", "next_id": "", "pages": ("下一页",), "chapters": ("下一章",)},
-    "wrapped": {"holder": ("class", "chapter-content"), "title": "h1", "next_id": "", "pages": (), "chapters": ("下一章",)},
+    "article": {"holder": "#article", "title": "h4", "title_in_holder": True, "cut": ".reader-ad-skip", "within": None, "next": "#next_url", "pages": (), "chapters": None},
+    "content": {"holder": "div.content", "title": "h1.headline", "title_in_holder": False, "cut": None, "within": None, "next": "a", "pages": ("下一页",), "chapters": ("下一章",)},
+    "wrapped": {"holder": "#chapterWarp .chapter-content", "title": "h1", "title_in_holder": True, "cut": None, "within": ".content", "next": ".foot-nav a", "pages": (), "chapters": ("下一章",)},
 }
-#: Texts that a paragraph of no prose holds, and those it begins with.
+#: Texts that a paragraph of no prose holds on `content` pages, and those it begins with on `wrapped` ones.
 HELD = ("请点击下一页继续阅读", "请大家收藏", "本章完")
 BEGUN = ("溫馨提示:", "温馨提示:")
-_PAGE = pa.struct([("title", pa.string()), ("paragraphs", pa.list_(pa.string())), ("next_page", pa.string()), ("next_chapter", pa.string())])
-_BLOCKS = pa.list_(pa.struct([("depth", pa.int32()), ("inside", pa.list_(pa.int32())), ("lines", pa.list_(pa.string())), ("link_chars", pa.int32())]))
-_CANDIDATES = ("article", "div", "main", "section", "td")
+
+
+def is_nag(paragraph: Column) -> Column:
+    """Holding a nag of the site."""
+    return F.exists(F.array(*map(F.lit, HELD)), lambda x: F.contains(paragraph, x))
+
+
+def is_notice(paragraph: Column) -> Column:
+    """Beginning with a notice."""
+    return F.exists(F.array(*map(F.lit, BEGUN)), lambda x: F.startswith(paragraph, x))
 
 
 def is_boilerplate(paragraph: Column) -> Column:
-    """Blank, holding a nag of the site, or beginning with a notice."""
-    bare = F.regexp_replace(paragraph, r"(?U)^\s+|\s+$", "")
-    found = bare == ""
-    for x in HELD:
-        found = found | F.contains(bare, F.lit(x))
-    for x in BEGUN:
-        found = found | bare.startswith(x)
-    return found
-
-
-class _Tree(HTMLParser):
-    """Elements of a page as (tag, attributes, parent's number, text pieces), text in order."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[tuple] = [("", {}, -1)]
-        self.pieces: list[tuple[int, str]] = []
-        self.open = [0]
-
-    def handle_starttag(self, tag, attrs):
-        self.nodes.append((tag, {k: v or "" for k, v in attrs}, self.open[-1]))
-        self.pieces.append((len(self.nodes) - 1, "\n" if tag in ("br", "p", "div", "li") else ""))
-        if tag not in VOID:
-            self.open.append(len(self.nodes) - 1)
-
-    def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.nodes[self.open[k]][0] == tag:
-                del self.open[k:]
-                break
-        self.pieces.append((self.open[-1], "\n" if tag in ("p", "div", "li") else ""))
-
-    def handle_data(self, data):
-        if not any(self.nodes[i][0] in ("script", "style") for i in self.open):
-            self.pieces.append((self.open[-1], " ".join(data.split("\n"))))
-
-    def within(self, i: int, holder: int) -> bool:
-        while i > holder:
-            i = self.nodes[i][2]
-        return i == holder
-
-    def lines(self, holder: int) -> list[str]:
-        text = "".join(x for i, x in self.pieces if self.within(i, holder))
-        return [line for line in (" ".join(x.split()) for x in text.split("\n")) if line]
-
-
-def _tree(html: str | None) -> _Tree:
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    return tree
-
-
-def read_site(html: str | None, url: str, reader: str) -> dict | None:
-    """Title, paragraphs and next links of a page by its site's reader; null without the element that holds the chapter."""
-    rule, tree = READERS[reader], _tree(html)
-    kind, mark = rule["holder"]
-    holder = next((i for i, (_, attrs, _) in enumerate(tree.nodes) if mark in attrs.get(kind, "").split()), None)
-    if holder is None:
-        return None
-    title = next((" ".join(" ".join(tree.lines(i)).split()) for i, (tag, _, _) in enumerate(tree.nodes) if tag == rule["title"]), "")
-    links = {"pages": None, "chapters": None}
-    for i, (tag, attrs, _) in enumerate(tree.nodes):
-        if tag == "a" and attrs.get("href"):
-            words = " ".join(tree.lines(i))
-            for which in links:
-                named = words in rule[which] or (which == "chapters" and rule["next_id"] and attrs.get("id") == rule["next_id"])
-                if named and links[which] is None:
-                    links[which] = urljoin(url, attrs["href"])
-    return {"title": title, "paragraphs": tree.lines(holder), "next_page": links["pages"], "next_chapter": links["chapters"]}
+    """Blank, a nag or a notice."""
+    bare = tree.stripped(paragraph)
+    return (bare == "") | is_nag(bare) | is_notice(bare)
+
+
+def _read(t: Column, reader: str) -> Column:
+    """title, paragraphs, next_url and next_page (whether that is the chapter's next page) by one reader; null without holder."""
+    rule, nodes = READERS[reader], t["nodes"]
+    boring = {"content": is_nag, "wrapped": is_notice}.get(reader)
+
+    def told(holder: Column) -> Column:
+        title = tree.stripped(F.coalesce(tree.first(tree.find(nodes, rule["title"], holder if rule["title_in_holder"] else None))["text"], F.lit("")))
+        # the paragraphs of the holder, but for those within what is cut out
+        places = lambda selector, within: F.transform(tree.find(nodes, selector, within), lambda n: F.struct(n["pre"].alias("pre"), n["end"].alias("end")))
+        in_any = lambda p, some: F.exists(some, lambda x: (p["pre"] > x["pre"]) & (p["pre"] < x["end"]))
+        own = F.filter(t["paragraphs"], lambda p: (p["pre"] > holder["pre"]) & (p["pre"] < holder["end"]))
+        if rule["cut"]:
+            own = tree.bound(places(rule["cut"], holder), lambda some: F.filter(own, lambda p: ~in_any(p, some)))
+        elif rule["within"]:
+            own = tree.bound(places(rule["within"], None), lambda some: F.filter(own, lambda p: in_any(p, some)))
+        texts = F.filter(F.transform(own, lambda p: tree.stripped(p["text"])), lambda x: (x != "") & ~boring(x) if boring else x != "")
+        links = tree.find(nodes, rule["next"])
+        if rule["chapters"] is not None:
+            links = F.filter(links, lambda n: tree.stripped(n["text"]).isin(*rule["pages"], *rule["chapters"]))
+        link = tree.bound(tree.first(links), lambda n: F.struct(n["link"].alias("url"), F.coalesce(tree.stripped(n["text"]).isin(*rule["pages"]) & n["link"].isNotNull() if rule["pages"] else F.lit(False), F.lit(False)).alias("page")))
+        return tree.bound(link, lambda x: F.struct(title.alias("title"), texts.alias("paragraphs"), x["url"].alias("next_url"), F.coalesce(x["page"], F.lit(False)).alias("next_page")))
+
+    return tree.bound(tree.first(tree.find(nodes, rule["holder"])), lambda holder: F.when(holder.isNotNull(), told(holder)))
 
 
 def read_pages(pages: DataFrame, hosts: dict[str, str]) -> DataFrame:
     """pages (url, html and others) of known hosts with title, text, next_url and continues; others are left out.
 
-    hosts: reader by host. A page continues if it links to a next page, or if its title counts further parts.
+    hosts: reader by host. Left out too are pages without the element that holds the chapter, and of the reader `wrapped`
+    those without title or paragraphs. A page continues if it links to the chapter's next page, or, by `wrapped`, if its
+    title counts further parts.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [read_site(h, u, r) for h, u, r in zip(batch["html"].to_pylist(), batch["url"].to_pylist(), batch["_reader"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _PAGE)], [*batch.schema.names, "_page"])
-
     names = F.create_map(*(F.lit(x) for pair in hosts.items() for x in pair))
     known = pages.withColumn("_reader", F.try_element_at(names, F.regexp_replace(F.parse_url("url", F.lit("HOST")), r"^(?:www|m)\.", ""))).where("_reader is not null")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema.fields)
-    read = known.mapInArrow(run, f"{schema}, _page struct<title:string,paragraphs:array<string>,next_page:string,next_chapter:string>").where("_page is not null")
+    read = tree.with_tree(known)
+    page = F.coalesce(*(F.when(F.col("_reader") == r, _read(F.col("tree"), r)) for r in sorted(set(hosts.values()))))
+    read = read.withColumn("_page", page).drop("tree").where("_page is not null")
+    wrapped = F.col("_reader") == "wrapped"
     part = title_part(F.col("_page.title"))
-    text = F.array_join(F.filter("_page.paragraphs", lambda x: ~is_boilerplate(x)), "\n\n")
+    read = read.withColumn("_part", F.when(wrapped, part).otherwise(F.struct(F.col("_page.title").alias("title"), F.lit(False).alias("continues"))))
+    read = read.where(~wrapped | ((F.col("_part.title") != "") & (F.size("_page.paragraphs") > 0)))
     rest = [c for c in pages.columns if c not in ("title", "text", "next_url", "continues")]
-    return read.select(*rest, part["title"].alias("title"), text.alias("text"), F.coalesce("_page.next_page", "_page.next_chapter").alias("next_url"), (F.col("_page.next_page").isNotNull() | part["continues"]).alias("continues"))
-
-
-def prose_weight(lines: Column, link_chars: Column, floor: int) -> Column:
-    """How much of a block reads as prose, less its share of links; 0 if that is too little, too linked, or an index, of
-    which most lines open alike.
-    """
-    size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
-    prose = F.filter(lines, is_prose)
-    density = link_chars / F.nullif(size(lines), F.lit(0))
-    stems = F.transform(F.filter(lines, lambda x: F.length(x) >= 10), lambda x: F.left(x, F.lit(10)))
-    alike = F.exists(F.array_distinct(stems), lambda s: (F.size(F.filter(stems, lambda x: x == s)) >= 4) & (F.size(F.filter(stems, lambda x: x == s)) * 10 >= F.size(lines) * 6))
-    good = (F.size(prose) >= 2) & (size(prose) >= floor) & (density <= 0.3) & ~alike
-    return F.when(F.coalesce(good, F.lit(False)), size(prose) * (1 - density)).otherwise(0.0)
+    return read.select(*rest, F.col("_part.title").alias("title"), F.array_join("_page.paragraphs", "\n\n").alias("text"), F.col("_page.next_url").alias("next_url"), (F.col("_page.next_page") | F.col("_part.continues")).alias("continues"))
 
 
 def densest_block(pages: DataFrame, floor: int = 200, share: float = 0.95) -> DataFrame:
     """pages (html and others) with lines: those of the block with the most prose, or of the deepest block inside it that
     keeps `share` of its weight; null where no block has any.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for html in batch["html"].to_pylist():
-                tree, blocks = _tree(html), []
-                above = [[]]
-                for tag, _, parent in tree.nodes[1:]:
-                    above.append([*above[parent], parent])
-                for i, (tag, _, _) in enumerate(tree.nodes):
-                    if tag in _CANDIDATES:
-                        links = sum(len(" ".join(tree.lines(k))) for k, node in enumerate(tree.nodes) if node[0] == "a" and i in above[k])
-                        blocks.append({"depth": len(above[i]), "inside": [*above[i], i], "lines": tree.lines(i), "link_chars": links})
-                found.append(blocks)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _BLOCKS)], [*batch.schema.names, "_blocks"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    read = pages.mapInArrow(run, f"{schema}, _blocks array<struct<depth:int,inside:array<int>,lines:array<string>,link_chars:int>>")
-    weighed = F.transform("_blocks", lambda b, i: F.struct(prose_weight(b["lines"], b["link_chars"], floor).alias("w"), (-i).alias("i"), b.alias("b")))
-    best = F.array_max(F.transform("_w", lambda x: F.struct(x["w"].alias("w"), x["i"].alias("i"))))
-    read = read.withColumn("_w", weighed).withColumn("_best", best)
-    number = F.element_at(F.get("_blocks", -F.col("_best.i"))["inside"], -1)
-    near = F.filter("_w", lambda x: (x["w"] >= share * F.col("_best.w")) & F.array_contains(x["b"]["inside"], number))
-    deepest = F.array_max(F.transform(near, lambda x: F.struct(x["b"]["depth"].alias("d"), x["i"].alias("i"))))
-    chosen = F.get("_blocks", -deepest["i"])["lines"]
-    return read.withColumn("lines", F.when(F.col("_best.w") > 0, chosen)).drop("_blocks", "_w", "_best")
+    read = tree.with_tree(pages, tree.NOISE, floor).withColumn("_block", tree.densest(F.col("tree.nodes"), share))
+    return read.withColumn("lines", F.when(F.col("_block").isNotNull(), tree.chapter_lines(F.col("tree"), F.col("_block")))).drop("tree", "_block")
 
 
 #: Kinds, attributes (with the kind that has them) and relations that a genre's facts are asked for.

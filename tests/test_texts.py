@@ -230,22 +230,3 @@ def test_limit_and_permits(spark):
                 own[e.user_id] = e.s
         assert got[e.event_id] == want
     assert {"granted", "refused", "late"} <= set(got.values())
-
-
-def test_sites(spark):
-    from quirefold.sources import sites
-
-    prose = ["He went down to the old river and sat there for a very long while.", "Nobody spoke, and the evening came over the hills, slow and warm."]
-    index = "".join(f"<li><a href='/{i}'>Chapter number {i}</a></li>" for i in range(30))
-    html = f"<body><div id=w><div id=nav><ul>{index}</ul></div><div id=c><div id=d><p>{prose[0]}</p><p>{prose[1]}</p><p>本章完</p></div></div></div></body>"
-    pages = spark.createDataFrame([(1, html), (2, "<div>short</div>"), (3, None)], "page_id int, html string")
-    assert {r.page_id: r.lines for r in sites.densest_block(pages, 50).collect()} == {1: [*prose, "本章完"], 2: None, 3: None}
-    weigh = lambda lines, links: spark.range(1).select(sites.prose_weight(F.array(*map(F.lit, lines)), F.lit(links), 50)).first()[0]
-    whole = sum(map(len, prose))
-    assert weigh(prose, 0) == whole and weigh(prose[:1], 0) == 0 and weigh(prose, whole) == 0 and abs(weigh(prose, 13) - (whole - 13)) < 1e-9
-    assert weigh([f"Chapter number {i} and how it came about, with some more words." for i in range(5)], 0) == 0
-    got = {r.url: (r.title, r.text, r.next_url, r.continues) for r in sites.read_pages(spark.createDataFrame([
-        ("https://a.org/1", f"<h4> The  title </h4><div id=article><p>{prose[0]}</p><p>x</p></div><a id=next_url href=2>go</a>"), ("https://m.b.org/1", f"<h1>T</h1><div class='x content'>{prose[0]}<br>请大家收藏 us</div><a href=/1_2>下一页</a><a href=/2>下一章</a>"),
-        ("https://www.c.org/1", f"<h1>T (2 / 3)</h1><div id=chapterWarp><div class=chapter-content><p>温馨提示: y</p><p>{prose[1]}</p></div></div><a href=3>下一章</a>"), ("https://d.org/1", "x"), ("https://a.org/9", "<p>no holder</p>"),
-    ], "url string, html string"), {"a.org": "article", "b.org": "content", "c.org": "wrapped"}).collect()}
-    assert got == {"https://a.org/1": ("The title", f"{prose[0]}\n\nx", "https://a.org/2", False), "https://m.b.org/1": ("T", prose[0], "https://m.b.org/1_2", True), "https://www.c.org/1": ("T", prose[1], "https://www.c.org/3", True)}
