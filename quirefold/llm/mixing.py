@@ -6,6 +6,7 @@ up to the source's target, again and again if that is larger than the source. Th
 position at which the schedule's cumulative demand, scaled to T, reaches c; documents are range-sorted by position.
 """
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -74,10 +75,10 @@ def mix(docs: DataFrame, schedules: Sequence[Schedule] = DEFAULT, cap: float = 3
 
     docs: doc_id, text, source; all columns are kept, except that those named like a result are replaced. The size is the
     number of words; null or empty texts have 0 and are taken once where their source's turn reaches them. No copies
-    means that the mix leaves the document out; none is taken over `cap` times. A source's taken words differ from its
+    means that the mix leaves the document out; none is taken over `cap` times, rounded up. A source's taken words differ from its
     target by less than one document. Order within a source: MD5 of seed and doc_id (of the text where that is null), then
-    doc_id, then size, so reruns agree, whatever the partitions; repeated rows are documents of their own. A null source
-    is a source.
+    doc_id, size and a hash of the text, so reruns agree, whatever the partitions; repeated rows are documents of their
+    own. A null source is a source.
 
     The running sum over a source is made in two steps: within ranges of the hash, and over the sums of ranges, so that
     the rows of a large source are in as many tasks as there are shuffle partitions.
@@ -88,17 +89,17 @@ def mix(docs: DataFrame, schedules: Sequence[Schedule] = DEFAULT, cap: float = 3
     named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     spread = F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), named)), F.lit(15)), 16, 10).cast("long")  # 60 bits
     width = -(-(1 << 60) // partitions(docs.sparkSession))
-    dealt = sized.withColumn("_hash", spread).withColumn("_block", F.expr(f"cast(_hash div {width} AS int)"))
+    dealt = sized.withColumn("_hash", spread).withColumn("_text", F.xxhash64(F.col("text").cast("string"))).withColumn("_block", F.expr(f"cast(_hash div {width} AS int)"))
     sums = dealt.groupBy("source", "_block").agg(F.sum("size").alias("in_block"))
     before = sums.withColumn("_before", F.sum("in_block").over(W.partitionBy("source").orderBy("_block")) - F.col("in_block"))
     before = before.select(F.col("source").alias("_s"), F.col("_block").alias("_b"), "_before")
     placed = before.join(sources.withColumnRenamed("source", "_s2"), F.col("_s").eqNullSafe(F.col("_s2"))).drop("_s2")
-    own = W.partitionBy("source", "_block").orderBy("_hash", "doc_id", "size")
+    own = W.partitionBy("source", "_block").orderBy("_hash", "doc_id", "size", "_text")
     dealt = dealt.withColumn("_own", F.sum("size").over(own.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     dealt = dealt.select(*keep, "size", "_own", "_block").join(placed, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
     start = F.col("_own") + F.col("_before")
     turns = F.ceil((F.col("target") - start) / F.col("source_size"))
-    dealt = dealt.withColumn("copies", F.when(F.col("source_size") > 0, F.least(F.greatest(turns, F.lit(0)), F.lit(int(cap)))).otherwise(1).cast("int"))
+    dealt = dealt.withColumn("copies", F.when(F.col("source_size") > 0, F.least(F.greatest(turns, F.lit(0)), F.lit(math.ceil(cap)))).otherwise(1).cast("int"))
     turn = lambda k: F.when(F.col("target") > 0, (start + k * F.col("source_size")) / F.col("target")).otherwise(0.0)
     positions = F.transform(F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>")), lambda k: _position(turn(k), F.col("which"), schedules))
     dealt = dealt.withColumn("positions", positions)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import hashing
+from quirefold.llm.common import saved
 
 _PLACES = 18
 U = np.uint64
@@ -122,19 +123,28 @@ def _scored(batches: Iterator[pa.RecordBatch], weights: np.ndarray, squares: np.
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(score)], [*rest, "score"])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 8000) -> tuple:
-    """Fits the model on at most `rows` labelled documents, those whose hash of doc_id is smallest.
+def train(docs: DataFrame, labels: DataFrame, rows: int = 8000, megabytes: int = 256) -> tuple:
+    """Fits the model on at most `rows` labelled documents of at most `megabytes` of features, those whose hash of doc_id is
+    smallest.
 
-    labels: doc_id, quality (0 or 1; other values and nulls are left out). The caller leaves out held-out ids. The bound
-    is what keeps the fit in the driver's memory; whatever else is counted or scored covers all documents.
+    labels: doc_id, quality (0 or 1; other values and nulls are left out). The caller leaves out held-out ids. Of rows that
+    share a doc_id the one whose text has the smallest hash is taken. The bounds are what keeps the fit in the driver's
+    memory; whatever else is counted or scored covers all documents.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = texts.mapInArrow(_training_rows, "doc_id long, label int, features binary").toArrow().sort_by([("doc_id", "ascending")])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("s")).select("doc_id", "label", "s.text")
+    found = saved(texts.mapInArrow(_training_rows, "doc_id long, label int, features binary"), "features")
+    sizes = found.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("features").alias("bytes")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])  # at most `rows`
+    fit_in = int(np.searchsorted(np.cumsum(sizes["bytes"].to_numpy()), megabytes << 20, side="right"))
+    if fit_in < sizes.num_rows:
+        last = sizes.slice(fit_in, 1).to_pylist()[0]
+        found = found.where((F.xxhash64("doc_id") < last["h"]) | ((F.xxhash64("doc_id") == last["h"]) & (F.col("doc_id") < last["doc_id"])))
+    got = found.toArrow().sort_by([("doc_id", "ascending")])
     order = np.random.Generator(np.random.PCG64(3)).permutation(got.num_rows)
-    found = got["features"].to_pylist()
-    return fit([np.frombuffer(found[i], dtype="<i4") for i in order], np.array(got["label"].to_pylist(), dtype=np.int64)[order])
+    features_of = got["features"].to_pylist()
+    return fit([np.frombuffer(features_of[i], dtype="<i4") for i in order], np.array(got["label"].to_pylist(), dtype=np.int64)[order])
 
 
 def score(docs: DataFrame, model: tuple) -> DataFrame:

@@ -240,3 +240,32 @@ def test_stages_on_odd_rows(spark):
             assert sorted(kept, key=str) == sorted((r[0] for r in rows), key=str)
         if name == "simhash_dedup":
             assert kept.count(1) == 2 and None in kept and 904 not in kept  # 903 and 904 are equal
+
+
+def test_mixing_of_rows_that_share_an_id(spark):
+    """Texts of one doc_id and size keep their copies, whatever the order of the input; a cap need not be whole."""
+    rows = [(5, f"{a} {b}", "x") for a in "abcdefgh" for b in "st"] + [(i, "one two " * 60, "y") for i in range(9)]
+    got = [sorted((r.text, r.copies) for r in mixing.mix(spark.createDataFrame(x, "doc_id long, text string, source string")).collect()) for x in (rows, rows[::-1])]
+    assert got[0] == got[1] and len({c for t, c in got[0] if len(t) == 3}) > 1
+    even = spark.createDataFrame([(i, "w " * 10, "a" if i < 100 else "b") for i in range(1000)], "doc_id long, text string, source string")
+    taken = {r.source: (r.t, r.g) for r in mixing.mix(even, cap=2.5).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()}
+    assert taken["a"] == (2500, 2500.0) and abs(taken["b"][0] - taken["b"][1]) <= 10
+
+
+def test_quality_training_is_bounded(spark):
+    """Ids that many rows share give one row each, whatever their order; features are bounded by bytes."""
+    r = random.Random(8)
+    docs = [(i % 2 + 10 * (i % 7), " ".join(r.choice("abcdefghij") * 3 for _ in range(30)), None) for i in range(1400)]
+    labels = spark.createDataFrame([(10 * k + j, j) for k in range(7) for j in (0, 1)], "doc_id long, quality int")
+    seen = []
+    real = quality.fit
+    try:
+        quality.fit = lambda rows, labels, **kw: seen.append((len(rows), sorted(x.tobytes() for x in rows))) or real(rows, labels, **kw)
+        for x in (docs, docs[::-1]):
+            quality.train(spark.createDataFrame(x, "doc_id long, text string, extra string"), labels)
+        quality.train(spark.createDataFrame(docs, "doc_id long, text string, extra string"), labels, rows=2)
+        quality.train(spark.createDataFrame([(i, "word %d " % i * 3000 + " ".join(map(str, range(i * 90000, i * 90000 + 90000))), None) for i in (0, 1, 10, 11)], "doc_id long, text string, extra string"), labels, megabytes=1)
+    finally:
+        quality.fit = real
+    assert seen[0] == seen[1] and seen[0][0] == 14 and seen[2][0] == 2
+    assert 1 <= seen[3][0] < 4 and sum(map(len, seen[3][1])) <= 1 << 20
