@@ -10,9 +10,9 @@ CATEGORIES = ("ability", "affiliation", "alias", "event", "intro", "item", "plac
 NAME_KINDS = ("item", "organization", "place")
 STATUSES = ("advanced", "confirmed", "expected", "happened", "implied", "ongoing", "opened", "plan", "resolved", "threat", "uncertain")
 _LINE_END = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85  ]"
-_BULLET = r"^\s*(?:[-*•]|\d+[.)])?\s*"
-_FACT = rf"(?iU){_BULLET}([a-z]+)(?:\s*:\s*([a-z][a-z -]*?))?\s*\|\s*(.+?)\s*$"
-_NAME = rf"(?iU){_BULLET}([a-z]+)\s*\|\s*(.+?)\s*$"
+#: Patterns of the lines of facts and names, and of references to chapters, as answers are written.
+_FACT = r"(?iU)^\s*(?:[-*•]|\d+[.)])?\s*([a-z]+)(?:\s*:\s*([a-z][a-z -]*?))?\s*\|\s*(.+?)\s*$"
+_NAME = r"(?iU)^\s*(?:[-*•]|\d+[.)])?\s*([a-z]+)\s*\|\s*(.+?)\s*$"
 _REF = r"ch\.?\s*\d+(?:\s*[–-]\s*\d+)?"
 _CITATION = rf"\(\s*{_REF}(?:\s*[,;]\s*(?:{_REF}|\d+(?:\s*[–-]\s*\d+)?))*+\s*\)"
 

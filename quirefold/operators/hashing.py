@@ -49,15 +49,33 @@ def hash_content(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, simhash string").withColumn("sha256", F.sha2("text", 256))
 
 
-def near_by_bands(marks: DataFrame, most: int = 3) -> DataFrame:
-    """(a, b, distance): ids whose simhash (long, one row for each distinct value) differs in at most `most` of 64 bits.
+#: Marks of one band value up to which all of them are compared.
+DENSE = 64
 
-    Four bands of 16 bits: within three differing bits one band is equal, which makes the join's key.
+
+def near_by_bands(marks: DataFrame, dense: int = DENSE) -> DataFrame:
+    """(a, b, distance): ids whose simhash (long, one row for each distinct value) differs in at most 3 of 64 bits.
+
+    Four bands of 16 bits: within three differing bits one band is equal, which makes the join's key. Where more than
+    `dense` marks have a value, the other 48 bits are cut into four again, of which one must be equal too, so a value that a
+    third of all marks share is split over thousands of keys.
     """
-    bands = marks.select("id", "mark", F.posexplode(F.array(*(F.shiftrightunsigned("mark", 16 * i).bitwiseAND(0xFFFF) for i in range(4)))).alias("band", "bits"))
-    a, b = bands.select(F.col("id").alias("a"), F.col("mark").alias("ma"), "band", "bits"), bands.select(F.col("id").alias("b"), F.col("mark").alias("mb"), "band", "bits")
+    cut = lambda x, n, width: F.array(*(F.shiftrightunsigned(x, width * i).bitwiseAND((1 << width) - 1) for i in range(n)))
+    bands = marks.select("id", "mark", F.posexplode(cut(F.col("mark"), 4, 16)).alias("band", "bits"))
+    sizes = bands.groupBy("band", "bits").agg(F.count("*").alias("n")).where("n > 1")
+    bands = bands.join(sizes, ["band", "bits"])
+    # the bits above a band move down over it
+    at = F.col("band") * 16
+    above = F.when(F.col("band") == 3, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col("mark"), (at + 16).cast("int")))
+    below = F.col("mark").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int")) - 1)
+    rest = F.call_function("shiftleft", above, at.cast("int")).bitwiseOR(below)
+    few = bands.where(F.col("n") <= dense).select("id", "mark", "band", "bits", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("own"))
+    many = bands.where(F.col("n") > dense).select("id", "mark", "band", "bits", F.posexplode(cut(rest, 4, 12)).alias("sub", "own"))
+    keyed = few.unionByName(many)
+    key = ["band", "bits", "sub", "own"]
+    a, b = keyed.select(F.col("id").alias("a"), F.col("mark").alias("ma"), *key), keyed.select(F.col("id").alias("b"), F.col("mark").alias("mb"), *key)
     distance = F.bit_count(F.col("ma").bitwiseXOR(F.col("mb")))
-    return a.join(b, ["band", "bits"]).filter((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.alias("distance")).distinct()
+    return a.join(b, key).filter((F.col("a") < F.col("b")) & (distance <= 3)).select("a", "b", distance.alias("distance")).distinct()
 
 
 def row_hash(prev: str | None, novel: str, seq: int, source: str, old: str | None, new: str, chapter: int) -> str:

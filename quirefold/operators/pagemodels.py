@@ -64,17 +64,20 @@ def reviewed(rows: DataFrame) -> DataFrame:
 def mention_ranking(facts: DataFrame, people: DataFrame) -> DataFrame:
     """name and n, the number of facts (fact_id, text) that name it as a whole word outside longer names that hold it.
 
-    people: name. Names and facts meet by the words of the facts, so that no pair is made that shares none.
+    people: name. A name and a fact meet by the name's rarest word among the facts, and only those that do are read.
     """
     from quirefold.functions.glossary import whole_word
 
     words = lambda x: F.array_distinct(F.filter(F.split(x, r"(?U)[^\w-]+"), lambda w: w != ""))
     own = people.select("name").distinct()
-    a, b = own.select("name", F.explode(words(F.col("name"))).alias("w")), own.select(F.col("name").alias("longer"), F.explode(words(F.col("name"))).alias("w"))
-    holds = a.join(b, "w").where("name != longer").select("name", "longer").distinct().where(F.regexp_like("longer", whole_word(F.col("name"))))
-    shields = own.join(holds.groupBy("name").agg(F.array_join(F.collect_set(whole_word(F.col("longer"))), "|").alias("shield")), "name", "left")
-    first = shields.withColumn("w", F.get(words(F.col("name")), F.lit(0)))
-    met = facts.select("fact_id", "text", F.explode(words(F.col("text"))).alias("w")).join(first, "w")
+    parts = own.select("name", F.explode(words(F.col("name"))).alias("w"))
+    said = facts.select("fact_id", F.explode(words(F.col("text"))).alias("w")).join(parts.select("w").distinct(), "w", "left_semi")
+    common = said.groupBy("w").agg(F.count("*").alias("df"))
+    rarest = parts.join(common, "w", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))["w"].alias("w"))
+    # names within others meet in the same way, by the rarest word
+    holds = rarest.join(parts.select(F.col("name").alias("longer"), "w"), "w").where("name != longer").where(F.regexp_like("longer", whole_word(F.col("name"))))
+    shields = rarest.join(holds.groupBy("name").agg(F.array_join(F.collect_set(whole_word(F.col("longer"))), "|").alias("shield")), "name", "left")
+    met = said.join(shields, "w").select("fact_id", "name", "shield").join(facts.select("fact_id", "text"), "fact_id")
     bare = F.when(F.col("shield").isNotNull(), F.regexp_replace("text", F.col("shield"), F.lit(" "))).otherwise(F.col("text"))
     hits = met.where(F.regexp_like(bare, whole_word(F.col("name")))).groupBy("name").agg(F.count_distinct("fact_id").alias("n"))
     return own.join(hits, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))

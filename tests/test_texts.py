@@ -230,3 +230,24 @@ def test_limit_and_permits(spark):
                 own[e.user_id] = e.s
         assert got[e.event_id] == want
     assert {"granted", "refused", "late"} <= set(got.values())
+
+
+@pytest.mark.parametrize("dense", [64, 2])
+def test_near_marks(spark, dense):
+    """Every pair of marks within three bits, dense band values included."""
+    import random
+
+    r = random.Random(3)
+    marks = {r.getrandbits(64) for _ in range(150)}
+    for m in list(marks)[:60]:
+        for _ in range(4):
+            x = m
+            for b in r.sample(range(64), r.randint(1, 4)):
+                x ^= 1 << b
+            marks.add(x)
+    shared = [(0xABCD << 48) | r.getrandbits(48) for _ in range(80)]
+    marks = sorted(marks | set(shared) | {s ^ 1 << 63 ^ 1 << 3 for s in shared})
+    signed = [m - (1 << 64) if m >> 63 else m for m in marks]
+    got = {(x.a, x.b): x.distance for x in hashing.near_by_bands(spark.createDataFrame(list(enumerate(signed)), "id long, mark long"), dense).collect()}
+    want = {(i, j): d for i in range(len(marks)) for j in range(i + 1, len(marks)) if (d := (marks[i] ^ marks[j]).bit_count()) <= 3}
+    assert got == want and len(want) > 200
