@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The tables saved in each open scratch.
+_scopes: list[list[tuple[str, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,10 +38,35 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quirefold-{label}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append((label, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Deletes the tables that are saved within at its end, but for those of the labels named: what is read after it.
+
+    A table is deleted when all that is made of it is written, so no lost task needs it again.
+    """
+    scope: list[tuple[str, str]] = []
+    _scopes.append(scope)
+    try:
+        yield
+    finally:
+        _scopes.remove(scope)
+        for label, path in scope:
+            if label not in keep:
+                discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder, on whatever file system that is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import partitions, saved
+from quirefold.llm.common import partitions, saved, scratch
 from quirefold.llm.components import connected_components
 from quirefold.llm.shingle_join import similar_links
 
@@ -143,7 +143,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     words are one class from the start; texts without words are one class. Rows that share a doc_id but not their words
     are documents of their own; a row without doc_id gets the smallest of its group, or null.
     """
-    keyed, named = _classes(docs, shingle, similarity)
+    with scratch(docs.sparkSession, "keyed", "named"):
+        keyed, named = _classes(docs, shingle, similarity)
     return keyed.join(named, ["k1", "k2"]).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
@@ -152,9 +153,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     whose text has the smallest hash, of equal texts the one of the smallest columns. Rows without doc_id all stay.
     """
     own = docs.where("doc_id is not null")
-    named = _classes(own, shingle, similarity)[1]
-    stay = named.select("first.*").distinct().select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("n").alias("_n"))
-    kept = own.withColumn("_row", _row()).withColumn("_id", F.col("doc_id").cast("long")).join(saved(stay, "stay"), ["_id", "_row"])
+    with scratch(docs.sparkSession, "stay"):
+        named = _classes(own, shingle, similarity)[1]
+        stay = saved(named.select("first.*").distinct().select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("n").alias("_n")), "stay")
+    kept = own.withColumn("_row", _row()).withColumn("_id", F.col("doc_id").cast("long")).join(stay, ["_id", "_row"])
     again = kept.where("_n > 1").groupBy("_id", "_row").agg(F.min(F.struct(*docs.columns)).alias("s")).select("s.*")
     kept = kept.where("_n = 1").select(*docs.columns).unionByName(again)
     return kept.unionByName(docs.where("doc_id is null"))

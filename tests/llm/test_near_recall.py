@@ -1,10 +1,12 @@
 """The pipeline's near-duplicates find every link: edited copies of one master, and planted edits by band of similarity."""
 
+import os
 import random
 from collections import Counter
 
-from quirefold.llm.simhash_dedup import near_duplicates
-from quirefold.llm.shingle_join import similar_links
+from quirefold.llm.common import saved, scratch, shared_dir
+from quirefold.llm.shingle_join import _candidates, similar_links
+from quirefold.llm.simhash_dedup import drop_near_duplicates, near_duplicates
 from tests.llm.fixtures import frame
 from tests.llm.test_text_dedup import components, jaccard, shingles
 
@@ -56,3 +58,45 @@ def test_recall_by_band(spark):
         for kind in (0, 10):
             assert links[band, kind] >= 10 and found[band, kind] == links[band, kind], (band, kind, links, found)
     assert not found[0, 0] and not found[0, 10]
+
+
+def test_shared_passages_do_not_chain_documents(spark):
+    """Twenty thousand documents of four passages, each passage in three documents on average: what is compared grows with
+    the documents, and the few near-copies among them are found."""
+    r, n = random.Random(5), 20_000
+    passages = [" ".join(f"p{k}w{j}" for j in range(40)) for k in range(4 * n // 3)]
+    rows = [(i, " ".join(r.sample(passages, 4))) for i in range(n)]
+    copies = [(n + k, rows[k * 97][1] + " and more") for k in range(50)]
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string").repartition(8)
+    groups, alone = _candidates(docs, 5, 0.8)
+    sizes = [x["count"] for x in groups.groupBy("component").count().collect()]
+    assert max(sizes, default=0) <= 64 and sum(x * x for x in sizes) + alone.count() < 20 * n
+    assert groups.count() + alone.count() > n  # most of them do meet
+    links = {tuple(sorted((x.a, x.b))) for x in similar_links(docs, 5, 0.8).collect()}
+    assert {(k * 97, n + k) for k in range(50)} <= links and len(links) < 60
+
+
+def test_a_group_of_many_over_a_frequent_shingle(spark):
+    """Near-copies in hundreds meet over shingles of many documents, those in tens over pairs; both are whole groups."""
+    r, rows = random.Random(6), []
+    for g, size in enumerate((2, 5, 31, 33, 70, 300)):
+        words = [f"g{g}w{i}" for i in range(150)]
+        for k in range(size):
+            own = list(words)
+            own[r.randrange(150)] = f"e{g}x{k}"
+            rows.append((1000 * g + k, " ".join(own)))
+    got = {x.doc_id: x.component_id for x in near_duplicates(frame(spark, rows)).collect()}
+    assert all(c == i // 1000 * 1000 for i, c in got.items())
+
+
+def test_scratch_tables_go(spark):
+    rows = [(i, " ".join(f"w{j % (i + 3)}" for j in range(60))) for i in range(20)]
+    place = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(place))
+    kept = drop_near_duplicates(frame(spark, rows)).count()
+    left = {x.split("-")[1] for x in set(os.listdir(place)) - before}
+    assert kept > 0 and left == {"stay"}
+    with scratch(spark, "b"):
+        a, b = saved(spark.range(3), "a"), saved(spark.range(4), "b")
+        assert a.count() == 3
+    assert b.count() == 4 and not any("quirefold-a-" in x for x in set(os.listdir(place)) - before)
