@@ -2,7 +2,8 @@
 
 Templates are short notices, headers of files, and whole licence texts. What is compared with them are windows of
 consecutive lines, which find headers wherever they stand, and whole texts of any length, which find licence files. The
-weight of a term is (1 + ln of its count) times its inverse document frequency, counted over all texts. A file without a
+weight of a term is (1 + ln of its count) times its inverse document frequency, counted over all texts; the words that
+notices are worded with ("this project is licensed under the terms of") have none, so a short notice is as good as another. A file without a
 licence of its own gets that of the licence file in its nearest ancestor directory. DataFrame operations only.
 """
 
@@ -17,25 +18,27 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.common import saved
 
-#: Short notices and headers of common licences, by SPDX identifier.
-NOTICES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+#: Licences by SPDX identifier, and how notices call them.
+NAMES: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache 2.0 License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-2-Clause", "Redistribution and use in source and binary forms under the BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", "Redistribution and use in source and binary forms under the BSD 3-Clause License"), ("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"), ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC0-1.0", "CC0 1.0 Universal public domain dedication"), ("GPL-2.0", "GNU General Public License, version 2"), ("GPL-3.0", "GNU General Public License, version 3"), ("ISC", "ISC License"), ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"), ("MIT", "MIT License"), ("MPL-2.0", "Mozilla Public License, version 2.0"), ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
+)
+#: The first sentences of licences that are often quoted without the rest (that of BSD names no variant), and
+#: headers of files.
+HEADERS: tuple[tuple[str, str], ...] = (
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms under the BSD 2-Clause License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms under the BSD 3-Clause License"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC0-1.0", "Released under CC0 1.0 Universal public domain dedication"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
-    ("MIT", "Released under the MIT License"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 )
+#: Words of notices that tell no licence from another: they count in no text.
+FORM = tuple("a an and are available be by distributed in is it library licensed made of package program project provided published released repository software terms the these this to under work you your".split())
 #: A file's name that makes it the licence file of its directory.
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 #: How many lines the windows have that start at a line with one of the needed terms.
@@ -45,13 +48,18 @@ _TERM = r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"
 
 
 def default_templates() -> tuple[tuple[str, str], ...]:
-    """The notices above and the whole texts in the folder of licences, by the name of their files."""
+    """Names, headers, tags with each identifier, and the whole texts in the folder of licences, by the name of their files."""
     texts = sorted((Path(__file__).parent / "licenses").glob("*.txt"))
-    return NOTICES + tuple((x.stem, x.read_text(encoding="utf-8")) for x in texts)
+    tags = tuple((n, f"SPDX-License-Identifier: {n}") for n in sorted({n for n, _ in NAMES}))
+    return NAMES + HEADERS + tags + tuple((x.stem, x.read_text(encoding="utf-8")) for x in texts)
 
 
 def _terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)), lambda t: ~t.isin(*FORM))
+
+
+def terms_of(text: str) -> list[str]:
+    return [t for t in re.findall(_TERM, text.lower()) if t not in FORM]
 
 
 @dataclass
@@ -77,7 +85,7 @@ class Weights:
 def weigh(docs: DataFrame, templates: tuple[tuple[str, str], ...]) -> Weights:
     """Counts, over every text, in how many documents each term of the templates occurs. Only these counts come back."""
     ordered = sorted(templates)
-    counts = [Counter(re.findall(_TERM, text.lower())) for _, text in ordered]
+    counts = [Counter(terms_of(text)) for _, text in ordered]
     vocabulary = docs.sparkSession.createDataFrame([(t,) for t in sorted({"", *(t for c in counts for t in c)})], "term string")
     held = docs.select(F.explode(F.concat(F.array(F.lit("")), F.coalesce(F.array_distinct(_terms(F.col("text").cast("string"))), F.array().cast("array<string>")))).alias("term"))
     df = {r["term"]: r["count"] for r in held.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").count().collect()}

@@ -1,8 +1,9 @@
 """Operators 4, 5, 6, 7 and 10 and the pipeline."""
 
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,7 +127,7 @@ def test_license_scan(spark):
 
 def test_license_files_of_real_length(spark):
     whole = dict((n, t) for n, t in license_scan.default_templates() if len(t) > 1000)
-    header = next(t for n, t in license_scan.NOTICES if n == "GPL-3.0" and len(t) > 200).split()
+    header = next(t for n, t in license_scan.HEADERS if n == "GPL-3.0" and len(t) > 200).split()
     wrapped = "\n".join("# " + " ".join(header[k : k + 11]) for k in range(0, len(header), 11))
     mit = "Copyright (c) 2020 A. Writer\n\n" + whole["MIT"].replace("\n\n", "\n").replace("MIT License\n", "")
     rows = [("m/LICENSE", mit), ("m/src/a.c", "int main"), ("a/x/COPYING", whole["Apache-2.0"]), ("a/x/y/b.c", None), ("g/terms.html", whole["GPL-3.0"] + "\nend of page"), ("g/c.c", "x"), ("b/LICENSE.txt", whole["BSD-3-Clause"]), ("h/d.py", f"#!/usr/bin/python\n{wrapped}\nimport os\n" + "x = call(y)\n" * 50), ("n/LICENSE", "word " * 20000)]
@@ -146,6 +147,61 @@ def test_long_runs_do_not_end_the_job(spark, pii_model):
     assert license_scan.license_scan(rows).count() == len(runs)
 
 
+#: Notices as projects word them, none of which is a template, and lines that only come near one.
+WORDINGS = [
+    ("MIT", "Licensed under the MIT License"), ("MIT", "This project is licensed under the MIT License."), ("MIT", "// SPDX-License-Identifier: MIT"), ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("Apache-2.0", "# Licensed under the Apache License, Version 2.0 (the"), ("Apache-2.0", "Released under the Apache 2.0 license."), ("Apache-2.0", " * SPDX-License-Identifier: Apache-2.0"), ("GPL-3.0", "This work is published under the terms of the GNU General Public License version 3"),
+    ("GPL-2.0", "distributed under the GNU General Public License, version 2"), ("BSD-3-Clause", "This package is made available under the BSD 3-Clause License."), ("CC-BY-SA-4.0", "The text is available under CC BY-SA 4.0"), ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"), ("ISC", "Published under the ISC license"), ("LGPL-3.0", "This library is released under the GNU Lesser General Public License, version 3"),
+    (None, "She took her driving license to the office"), (None, "the general public did not come"), (None, "a version of the story in 3 parts, code and all"), (None, "They were granted permission to leave"), (None, "apache helicopters over the 2.0 km line"),
+]
+
+
+def test_wordings_of_notices(spark):
+    r = random.Random(4)
+    plain = [" ".join(r.choice("river house letter night road lamp public code general permission version source".split()) for _ in range(30)) for _ in range(300)]
+    rows = [(f"d/{k}.py", f"{r.choice(plain)}\n{line}\n{r.choice(plain)}") for k, (_, line) in enumerate(WORDINGS)] + [(f"p/{k}", x) for k, x in enumerate(plain)]
+    got = {x.path: x.license for x in license_scan.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {f"d/{k}.py": n for k, (n, _) in enumerate(WORDINGS)} == {k: v for k, v in got.items() if k.startswith("d/")}
+    assert not any(v for k, v in got.items() if k.startswith("p/"))
+
+
+def test_license_scores_equal_brute_force(spark):
+    """The cosine of every window and whole text to every template, in plain Python."""
+    r = random.Random(6)
+    templates = license_scan.default_templates()
+    words = [w for _, t in templates[:40] for w in t.split()] + "river house letter night road".split() * 9
+    rows = []
+    for k in range(60):
+        lines = [" ".join(r.choice(words) for _ in range(r.randint(0, 7))) for _ in range(r.randint(1, 6))]
+        if r.random() < 0.5:
+            lines.insert(r.randrange(len(lines)), " ".join(w for w in r.choice(templates[:40])[1].split() if r.random() < 0.9))
+        rows.append((f"f{k}.txt", "\n".join(lines)))
+    n = len(rows)
+    df = Counter(t for _, x in rows for t in set(license_scan.terms_of(x)))
+    idf = lambda t: math.log((n + 1) / (df[t] + 1)) + 1
+    vector = lambda x: {t: (1 + math.log(c)) * idf(t) for t, c in Counter(license_scan.terms_of(x)).items()}
+    norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
+    known = [(name, vector(t)) for name, t in sorted(templates)]
+    got = {x.path: x for x in license_scan.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    hits = 0
+    for path, x in rows:
+        lines = x.split("\n")
+        parts = [x] + ["\n".join(lines[i : i + w]) for i in range(len(lines)) for w in license_scan.WINDOWS if w == 1 or i + w <= len(lines)]
+        best = (0.0, None)
+        for part in parts:
+            v = vector(part)
+            if v:
+                top = max((round(sum(w * q.get(t, 0) for t, w in v.items()) / (norm(v) * norm(q)), 12), -i) for i, (_, q) in enumerate(known))
+                best = max(best, (top[0], known[-top[1]][0]), key=lambda b: b[0])
+        if best[0] >= 0.75 + 1e-9:
+            hits += 1
+            assert abs(got[path].score - best[0]) < 1e-9, (path, x)
+        elif best[0] < 0.75 - 1e-9:
+            assert got[path].license is None
+    assert hits > 15
+
+
 def test_license_lines_of_the_table(spark):
     rows = QUERIES["op6_license_scan"](spark, "/root/testdata/sf0.01").select("doc_id", "license").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
