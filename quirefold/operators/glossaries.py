@@ -127,6 +127,16 @@ class Terms:
     def primed(self, row: dict) -> str:
         return stitched(row["text"], self.sources.leftmost_longest(row["text"]), self.target.__getitem__)
 
+    def converted(self, row: dict) -> dict:
+        """The text with sources replaced, and where each stood (begin, end) and stands (start, stop)."""
+        pieces, spans, at, new = [], [], 0, 0
+        for start, s in self.sources.leftmost_longest(row["text"]):
+            new += start - at
+            spans.append({"begin": start, "end": start + len(s), "start": new, "stop": new + len(self.target[s])})
+            pieces += [row["text"][at:start], self.target[s]]
+            at, new = start + len(s), new + len(self.target[s])
+        return {"text": "".join(pieces) + row["text"][at:], "spans": spans}
+
     def protected(self, row: dict) -> str:
         tagged = lambda s: f'<locked-term data-id="t{self.number[s]}">{html.escape(self.target[s])}</locked-term>'
         return stitched(row["text"], self.sources.leftmost_longest(row["text"]), tagged)
@@ -163,7 +173,9 @@ def _applied(texts: pa.Table, terms: pa.Table, kind: type, does: str, reads: tup
     return texts.select(rest).append_column(out, pa.array(told, out_type))
 
 
-_ARROW = {"string": pa.string(), "array<string>": pa.list_(pa.string()), "struct<text:string,order:array<string>>": pa.struct([("text", pa.string()), ("order", pa.list_(pa.string()))]),
+_SPANS = pa.list_(pa.struct([(x, pa.int32()) for x in ("begin", "end", "start", "stop")]))
+_CONVERTED = "struct<text:string,spans:array<struct<begin:int,end:int,start:int,stop:int>>>"
+_ARROW = {"string": pa.string(), _CONVERTED: pa.struct([("text", pa.string()), ("spans", _SPANS)]), "array<string>": pa.list_(pa.string()), "struct<text:string,order:array<string>>": pa.struct([("text", pa.string()), ("order", pa.list_(pa.string()))]),
           "struct<empty:boolean,missing:array<string>,untranslated:array<string>,hard:boolean>": pa.struct([("empty", pa.bool_()), ("missing", pa.list_(pa.string())), ("untranslated", pa.list_(pa.string())), ("hard", pa.bool_())])}
 
 
@@ -229,3 +241,12 @@ def name(texts: DataFrame, names: DataFrame, by: str = "novel_id", part_bytes: i
     """texts with `named`: the keys of the names that stand in the text, longest spellings first, each taking its places
     from shorter ones."""
     return _with_terms(texts, names, ("key", "spelling"), Names, "named", "named", "array<string>", by, part_bytes)
+
+
+def convert(texts: DataFrame, phrases: DataFrame, by: str = "kind", part_bytes: int = PART_BYTES) -> DataFrame:
+    """texts with `converted`: the text in another script, and spans of what was converted, before and after (code points).
+
+    phrases: `by` (such as s2t and t2s), source, target; single characters are phrases of one. At each place the longest
+    phrase that begins there is taken, from the left; the rest stays. texts name their conversion in the column `by`.
+    """
+    return _with_terms(texts, phrases, ("source", "target"), Terms, "converted", "converted", _CONVERTED, by, part_bytes)

@@ -3,7 +3,6 @@
 import hashlib
 import json
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,27 +12,65 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Characters of texts that are worked on together, and shingles whose hashes a task remembers.
+_CHARS, _KNOWN = 1 << 19, 1 << 20
+
+
 class Shingles:
-    """Bits of shingles' hashes, the first 8 bytes of their SHA-256, remembered within a task."""
+    """Hashes of shingles, the first 8 bytes of their SHA-256, remembered within a task."""
 
-    def __init__(self, size: int = 5, most: int = 1 << 18):
+    def __init__(self, size: int = 5, most: int = _KNOWN):
         self.size, self.most, self.known = size, most, {}
 
-    def bits(self, shingles: list[str]) -> np.ndarray:
+    def marks(self, shingles: list[str]) -> np.ndarray:
         if len(self.known) > self.most:
             self.known.clear()
         missing = [x for x in shingles if x not in self.known]
-        self.known.update((x, int.from_bytes(hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest()[:8], "big")) for x in missing)
-        return np.array([self.known[x] for x in shingles], dtype=np.uint64)
-
-    def simhash(self, text: str) -> int:
-        """The votes of all shingles of `size` characters of the text in lower case with single spaces; a bit is set if it
-        is in over half of them. A shorter text, the empty one too, is one shingle."""
-        plain = " ".join(unicodedata.normalize("NFKC", text).lower().split())
-        counts = Counter(plain[i : i + self.size] for i in range(max(1, len(plain) - self.size + 1)))
-        marks, weights = self.bits(list(counts)), np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-        ones = weights @ np.unpackbits(marks.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        return int.from_bytes(np.packbits(2 * ones > weights.sum()).tobytes(), "big")
+        self.known.update((x, hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest()[:8]) for x in missing)
+        return np.frombuffer(b"".join([self.known[x] for x in shingles]), dtype=np.uint8).reshape(-1, 8)
+
+    def numbered(self, plain: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where each distinct shingle of a text first stands, and for each of its places the number of its shingle.
+
+        A shingle is a number whose digits are those of its characters; where characters are too many for that in 64 bits,
+        pairs of numbers are.
+        """
+        points = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        digit = np.unique(points, return_inverse=True)[1].astype(np.int64)
+        base, n = int(digit.max()) + 1, len(points) - self.size + 1
+        key, width = np.zeros(n, dtype=np.int64), 1
+        for k in range(self.size):
+            if width * base >= 1 << 62:
+                key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+                width = n
+            key, width = key * base + digit[k : k + n], width * base
+        _, first, number = np.unique(key, return_index=True, return_inverse=True)
+        return first, number
+
+    def simhashes(self, texts: list[str]) -> list[int]:
+        """For each text the votes of all its shingles of `size` characters, in lower case with single spaces; a bit is set if
+        it is in over half of them. A shorter text, the empty one too, is one shingle."""
+        plain = [" ".join(unicodedata.normalize("NFKC", x).lower().split()) for x in texts]
+        out = [0] * len(texts)
+        short = [i for i, x in enumerate(plain) if len(x) <= self.size]
+        for i, mark in zip(short, self.marks([plain[i] for i in short]), strict=True):
+            out[i] = int.from_bytes(mark.tobytes(), "big")
+        long, at = [i for i, x in enumerate(plain) if len(x) > self.size], 0
+        while at < len(long):
+            upto, total = at, 0
+            while upto < len(long) and (upto == at or total + len(plain[long[upto]]) <= _CHARS):
+                total += len(plain[long[upto]])
+                upto += 1
+            own = [plain[i] for i in long[at:upto]]
+            joined, ends = "".join(own), np.cumsum([len(x) for x in own])
+            first, number = self.numbered(joined)
+            bits = np.unpackbits(self.marks([joined[a : a + self.size] for a in first.tolist()]), axis=1)
+            for i, begin, end in zip(long[at:upto], (ends - [len(x) for x in own]).tolist(), ends.tolist(), strict=True):
+                places = number[begin : end - self.size + 1]
+                ones = sum(bits[places[k : k + 65536]].sum(axis=0, dtype=np.int64) for k in range(0, len(places), 65536))
+                out[i] = int.from_bytes(np.packbits(2 * ones > len(places)).tobytes(), "big")
+            at = upto
+        return out
 
 
 def hash_content(docs: DataFrame) -> DataFrame:
@@ -42,7 +79,7 @@ def hash_content(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for batch in batches:
-            marks = [f"simhash64-v1:{shingles.simhash(t or ''):016x}" for t in batch["text"].to_pylist()]
+            marks = [f"simhash64-v1:{x:016x}" for x in shingles.simhashes([t or "" for t in batch["text"].to_pylist()])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks)], [*batch.schema.names, "simhash"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

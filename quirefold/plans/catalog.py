@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import gate, states
 from quirefold.functions import text as tx
 from quirefold.operators import chunks, hashing, mutations, retrieval, scan, statistics, versions
-from quirefold.plans import more, reading, records, said, texts  # noqa: F401  registers their queries
+from quirefold.plans import more, reading, records, said, steps, texts  # noqa: F401  registers their queries
 from quirefold.plans.domain import AT, NOVEL, chapters, events, facts, retractions, table, with_
 from quirefold.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from quirefold.sources import pages as pages_source

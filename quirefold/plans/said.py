@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import answers, policies
 from quirefold.functions import text as tx
-from quirefold.operators import transfer
+from quirefold.operators import fanout, scan, transfer
 from quirefold.plans.domain import chapters, facts, table, with_
 from quirefold.plans.registry import query
-from quirefold.sources import queue_log
+from quirefold.sources import objects, pages, queue_log
 
 _LINE = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 _TURNS = rf"t AS (SELECT conv_id, turn, {_LINE} AS line, string_split({_LINE}, ' ')[1] AS word FROM conversations WHERE {_LINE} <> '')"
@@ -134,3 +134,81 @@ def b05_policies_unset(spark, d):
     """Nobody reads: nothing is seen."""
     policies.register(spark, {"reader_chapters": (chapters(spark, d), ["novel", "chapter"])})
     return spark.sql("SELECT doc_id FROM reader_chapters")
+
+
+_CONFIRMED = with_("chapters") + """,
+t AS (SELECT novel_id, 't' || j AS source_term, j FROM (SELECT DISTINCT novel_id FROM chapters), range(12) r(j)),
+o AS (SELECT DISTINCT novel_id, chapter_index, doc_id, 't' || (doc_id % 12) AS source_term, doc_id % 12 AS j FROM chapters UNION SELECT DISTINCT novel_id, chapter_index, doc_id, 't' || (n_chars % 12), n_chars % 12 FROM chapters)
+SELECT novel_id, chapter_index, source_term, 'new ' || j AS target_term, CASE WHEN doc_id % 5 = 0 THEN 'queue' WHEN j % 4 = 0 THEN 'retranslate' ELSE 'respell' END AS action
+FROM o WHERE j % 3 <> 0 AND j <> 10 AND (doc_id % 5 = 0 OR j % 4 <> 1)
+"""
+
+
+@query(_CONFIRMED)
+def h06_fan_out(spark, d):
+    """Twelve terms a novel, each confirmed; every third is spelled so already, one is blank. Chapters hold two terms each."""
+    docs = chapters(spark, d).withColumn("chapter_index", F.col("chapter_index").cast("int"))
+    j = F.col("j")
+    terms = docs.select("novel_id").distinct().select("novel_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("j")).withColumn("source_term", F.concat(F.lit("t"), "j"))
+    new = F.concat(F.lit("new "), j)
+    wanted = terms.select("novel_id", "source_term", F.when(j == 10, "  ").otherwise(F.concat(new, F.lit(" "))).alias("target_term"), F.lit(3).alias("at_chapter"))
+    glossary = terms.where("j % 3 = 0 OR j = 5").select("novel_id", "source_term", new.alias("target_term"), F.lit(1).alias("version"), (j == 5).alias("deleted"))
+    primed = terms.select("novel_id", "source_term", F.when(j % 4 == 1, new).when(j % 4 > 1, "old").alias("spelling"))
+    held = docs.select("novel_id", "chapter_index", F.explode(F.array(F.concat(F.lit("t"), F.col("doc_id") % 12), F.concat(F.lit("t"), F.col("n_chars") % 12))).alias("source_term"))
+    done = docs.select("novel_id", "chapter_index", (F.col("doc_id") % 5 != 0).alias("translated"))
+    return fanout.messages(fanout.confirmed(wanted, glossary), primed, held, done)
+
+
+_SPANS = r"""
+WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS token FROM benchmark),
+n AS (SELECT token FROM b WHERE regexp_full_match(token, '\p{L}{5,}')),
+d AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS parts FROM documents),
+p AS (SELECT doc_id, unnest(parts) AS token, unnest(range(len(parts))) AS i FROM d),
+s AS (SELECT *, sum(length(token)) OVER w - length(token) AS char_start, sum(strlen(token)) OVER w - strlen(token) AS byte_start FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, token AS alias_id, CAST(byte_start AS INT) AS byte_start, CAST(byte_start + strlen(token) AS INT) AS byte_end, CAST(char_start AS INT) AS char_start, CAST(char_start + length(token) AS INT) AS char_end FROM s JOIN n USING (token)
+"""
+
+
+@query(_SPANS)
+def t01_word_spans(spark, d):
+    """Every place of the benchmark's words in all documents, as whole words, in bytes and code points."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("surface")).where(F.col("surface").rlike(r"^\p{L}{5,}$")).distinct()
+    found = scan.scan_mentions(table(spark, d, "documents").select("doc_id", "text", F.lit("en").alias("lang")), words.select(F.col("surface").alias("alias_id"), "surface"))
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+
+
+_ROBOTS = r"""
+WITH u AS (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host, regexp_extract(url, '://[^/]+([^?#]*)', 1) AS path FROM pages),
+f AS (SELECT host, count(*) AS n FROM u GROUP BY 1)
+SELECT page_id, CASE WHEN n % 3 > 0 THEN n % 3 + 0.5 END :: DOUBLE AS delay FROM u JOIN f USING (host) WHERE NOT EXISTS (SELECT 1 FROM u x WHERE x.host = u.host AND x.page_id % 10 = 0 AND starts_with(u.path, x.path))
+"""
+
+
+@query(_ROBOTS)
+def a12_crawl_delays(spark, d):
+    """Each host forbids the paths of every tenth page, and most ask for a delay; the group of another agent is not ours."""
+    urls = table(spark, d, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path"))
+    paths = F.array_join(F.sort_array(F.collect_list(F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("Disallow: "), "path")))), "\n")
+    n = F.count("*")
+    files = urls.groupBy("host").agg(F.concat(F.lit("User-agent: other\nDisallow: /\nCrawl-delay: 99\nUser-agent: *\n"), paths, F.lit("\nCrawl-delay: "), F.when(n % 3 > 0, F.concat(n % 3, F.lit(".5"))).otherwise("soon"), F.lit(" # s\nCrawl-delay: 7"), F.when(n % 3 == 0, "x").otherwise("")).alias("body"))
+    files = files.withColumn("body", F.regexp_replace("body", r"\nCrawl-delay: 7x?$", ""))
+    return pages.allowed(urls, pages.robots_rules(files)).join(pages.crawl_delays(files), "host", "left").select("page_id", "delay")
+
+
+_WALK = """
+WITH p AS (SELECT page_id, url, page_id // 5 AS walk, page_id % 5 AS step, page_id % 3 = 1 AND page_id % 5 < 4 AS continues, max(page_id) OVER () AS top FROM pages),
+c AS (SELECT *, coalesce(sum(CAST(NOT continues AS INT)) OVER (PARTITION BY walk ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS chapter FROM p)
+SELECT walk, CAST(chapter AS INT) AS chapter, arg_min(url, step) AS source_url, count(*) AS n FROM c GROUP BY walk, chapter HAVING bool_or(NOT continues)
+"""
+
+
+@query(_WALK)
+def a11_walks(spark, d):
+    """Walks of five pages each, every third page going on in the next one."""
+    rows = table(spark, d, "pages")
+    n = F.col("page_id")
+    after = rows.select((n - 1).alias("page_id"), F.col("url").alias("next_url"))
+    linked = rows.join(after, "page_id", "left").select("url", F.concat("url", F.lit(" text")).alias("text"), F.when(n % 5 < 4, F.col("next_url")).alias("next_url"), ((n % 3 == 1) & (n % 5 < 4)).alias("continues"))
+    starts = rows.where(n % 5 == 0).select(F.floor(n / 5).alias("walk"), "url")
+    found = objects.walk(linked, starts, 10, 0)[0]
+    return found.select("walk", "chapter", "source_url", F.size(F.split("text", "\n\n")).cast("long").alias("n"))

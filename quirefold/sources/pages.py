@@ -73,13 +73,25 @@ def preview(pages: DataFrame) -> DataFrame:
     )
 
 
-def robots_rules(files: DataFrame) -> DataFrame:
-    """host, disallow: the path prefixes of the group for all agents. files: host, body."""
+def _own_group(files: DataFrame) -> DataFrame:
+    """host, key, value and pos of the lines in the groups for all agents of robots files (host, body)."""
     lines = files.select("host", F.posexplode(F.split("body", "\r?\n")).alias("pos", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", "")))
     lines = lines.withColumn("key", F.lower(F.trim(F.substring_index("line", ":", 1)))).withColumn("value", F.trim(F.regexp_replace("line", "^[^:]*:", "")))
     w = W.partitionBy("host").orderBy("pos")
     agent = F.last(F.when(F.col("key") == "user-agent", F.col("value")), ignorenulls=True).over(w)
-    return lines.withColumn("agent", agent).filter("agent = '*' and key = 'disallow' and value != ''").select("host", F.col("value").alias("disallow"))
+    return lines.withColumn("agent", agent).where("agent = '*' and value != ''").select("host", "key", "value", "pos")
+
+
+def robots_rules(files: DataFrame) -> DataFrame:
+    """host, disallow: the path prefixes of the group for all agents. files: host, body."""
+    return _own_group(files).where("key = 'disallow'").select("host", F.col("value").alias("disallow"))
+
+
+def crawl_delays(files: DataFrame) -> DataFrame:
+    """host, delay: the seconds between requests that the group for all agents asks for, the last number given; hosts that
+    give none are left out."""
+    asked = _own_group(files).where("key = 'crawl-delay'").withColumn("delay", F.col("value").try_cast("double")).where("delay >= 0")
+    return asked.groupBy("host").agg(F.max_by("delay", "pos").alias("delay"))
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
