@@ -132,5 +132,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 16) -> DataFrame:
     gone = occurring.join(first, ["k1", "k2"]).where(F.struct("doc_id", "line_no") > F.col("at"))
     gone = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")).withColumnRenamed("doc_id", "_id")
     out = docs.drop("removed").join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
-    kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains("removed", i))
+    # what stands between the lines that go, each stretch once: linear in the lines, however many go
+    begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("removed", k - 1) + 1)
+    stretches = lambda lines: F.transform(F.sequence(F.lit(0), F.size("removed")), lambda k: F.slice(lines, begin(k) + 1, F.coalesce(F.get("removed", k), F.size(lines)) - begin(k)))
+    kept = F.flatten(F.get(F.transform(F.array(F.split(F.col("text").cast("string"), "\n")), stretches), F.lit(0)))
     return out.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,3 +326,26 @@ def test_quality_training_is_bounded(spark):
         quality.fit = real
     assert seen[0] == seen[1] and seen[0][0] == 14 and seen[2][0] == 2
     assert 1 <= seen[3][0] < 4 and sum(map(len, seen[3][1])) <= 1 << 20
+
+
+def test_coordinate_descent_solves_the_dual():
+    """The weights are those of the dual's maximum, found by projected gradient steps over all rows at once."""
+    r = np.random.Generator(np.random.PCG64(5))
+    labels = (r.random(60) < 0.4).astype(np.int64)
+    rows = [np.unique(np.concatenate([r.integers(0, 25, 6), r.integers(25 + 10 * y, 40 + 10 * y, 4)])).astype(np.int64) for y in labels]
+    w, ratios, bias, slope, _ = quality.fit(rows, labels, rounds=3000)
+    own = [i for i in range(60) if i % 5]
+    counts = [1.0 + np.bincount(np.concatenate([rows[i] for i in own if labels[i] == c]), minlength=1 << 18) for c in (0, 1)]
+    assert np.allclose(ratios, np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum()))
+    x = np.zeros((len(own), 60))
+    for k, i in enumerate(own):
+        x[k, rows[i]] = ratios[rows[i]] / np.sqrt((ratios[rows[i]] ** 2).sum())
+    x = np.hstack([x, np.ones((len(own), 1))])  # the bias is a weight of its own
+    y = np.where(labels[own] == 1, 1.0, -1.0)
+    top = np.array([0.5 * len(own) / (y == c).sum() for c in y])
+    q = (x @ x.T) * np.outer(y, y)
+    alpha, step = np.zeros(len(own)), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(60_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, top)
+    best = x.T @ (alpha * y)
+    assert np.abs(best[:60] - w[:60]).max() < 0.02 and abs(best[60] - bias) < 0.02 and slope > 0
