@@ -1,5 +1,6 @@
 """Helpers shared by the training-data operators."""
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,17 +49,20 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
     """Deletes the tables that are saved within at its end, but for those of the labels named: what is read after it.
 
-    A table is deleted when all that is made of it is written, so no lost task needs it again.
+    A table is deleted when all that is made of it is written, so no lost task needs it again. Spark deletes the shuffle
+    files of finished jobs when the driver collects its garbage, so that is asked for too.
     """
     scope: list[tuple[str, str]] = []
     _scopes.append(scope)
     try:
         yield
     finally:
-        _scopes.remove(scope)
+        _scopes.pop()
         for label, path in scope:
             if label not in keep:
                 discard(spark, path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def discard(spark: SparkSession, path: str) -> None:
