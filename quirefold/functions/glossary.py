@@ -1,7 +1,6 @@
-"""Glossary terms and names in texts: substitution, marking and checks, as column expressions.
+"""Texts around glossary terms, as column expressions: tags, respelling actions, replayed spans, evidence.
 
-Terms are arrays of structs with source, target and kind; names are arrays of structs with key and spelling. Substitution
-is one pass: a text is cut at the matches of one alternation of all terms, longest first, and put together again.
+Terms and names themselves are applied from tables, by operators.glossaries.
 """
 
 from collections.abc import Callable
@@ -9,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EMPTY = "array<struct<start:int,end:int,key:string>>"
+from quirefold.functions.text import bound
+
 #: Characters that are escaped in marked-up terms.
 ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
 _LOCKED = r'(?s)<locked-term data-id="t\d+">(.*?)</locked-term>'
@@ -20,49 +20,19 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def _by_length(values: Column, size: Callable[[Column], Column]) -> Column:
-    """An array with the longest first, those of equal length in their order."""
-    keyed = F.transform(values, lambda x, i: F.struct((-F.length(size(x))).alias("n"), i.alias("i"), x.alias("x")))
-    return F.transform(F.array_sort(keyed), lambda k: k["x"])
-
-
 def quoted(text: Column) -> Column:
     r"""A pattern that matches the text literally; an \E inside it is quoted on its own."""
     return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
-def usable(terms: Column) -> Column:
-    """Terms of which neither side is blank, longest source first."""
-    return _by_length(F.filter(terms, lambda t: (strip(t["source"]) != "") & (strip(t["target"]) != "")), lambda t: t["source"])
-
-
 def stitched(text: Column, pattern: Column, told: Callable[[Column], Column]) -> Column:
     """The text with every match of the pattern replaced by what `told` makes of it."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    return F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(found, lambda m, i: F.concat(told(m), F.get(gaps, i + 1))), ""))
-
-
-def _substituted(text: Column, terms: Column, told: Callable[[Column, Column], Column]) -> Column:
-    own = usable(terms)
-    pattern = F.array_join(F.transform(own, lambda t: quoted(t["source"])), "|")
-    place = lambda m: F.aggregate(own, F.struct(F.lit(0).alias("i"), F.lit(-1).alias("at")), lambda a, t: F.struct((a["i"] + 1).alias("i"), F.when(t["source"] == m, a["i"]).otherwise(a["at"]).alias("at")), lambda a: a["at"])
-    return F.when(F.size(own) > 0, stitched(text, pattern, lambda m: told(F.get(own, place(m))["target"], place(m)))).otherwise(text)
-
 
-def primed(text: Column, terms: Column) -> Column:
-    """The text with every term's source replaced by its target, in one pass, longest sources first."""
-    return _substituted(text, terms, lambda target, _: target)
+    def joined(gaps: Column) -> Column:
+        pieces = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m, i: F.concat(told(m), F.get(gaps, i + 1)))
+        return F.concat(F.get(gaps, F.lit(0)), F.array_join(pieces, ""))
 
-
-def protected(text: Column, terms: Column) -> Column:
-    """Like primed, each target in a numbered tag that is to be copied."""
-
-    def tagged(target: Column, at: Column) -> Column:
-        for raw, name in ENTITIES:
-            target = F.replace(target, F.lit(raw), F.lit(name))
-        return F.concat(F.lit('<locked-term data-id="t'), at.cast("string"), F.lit('">'), target, F.lit("</locked-term>"))
-
-    return _substituted(text, terms, tagged)
+    return bound(F.split(text, pattern, -1), joined)
 
 
 def unprotected(text: Column) -> Column:
@@ -78,92 +48,11 @@ def unprotected(text: Column) -> Column:
     return F.when(~F.contains(out, F.lit("<locked-term")) & ~F.contains(out, F.lit("</locked-term")), out)
 
 
-def constraints(source: Column, translated: Column, terms: Column) -> Column:
-    """What a translation does wrong: empty, missing targets, sources left as they are, and hard, if a character's name is concerned."""
-    held = F.filter(terms, lambda t: (strip(t["source"]) != "") & (strip(t["target"]) != "") & F.contains(source, t["source"]))
-    missing = F.filter(held, lambda t: ~F.contains(translated, t["target"]))
-    left = F.filter(held, lambda t: ~F.contains(t["target"], t["source"]) & F.contains(translated, t["source"]))
-    hard = F.exists(F.concat(missing, left), lambda t: t["kind"] == "character_name")
-    return F.struct((strip(translated) == "").alias("empty"), F.transform(missing, lambda t: t["target"]).alias("missing"), F.transform(left, lambda t: t["source"]).alias("untranslated"), F.coalesce(hard, F.lit(False)).alias("hard"))
-
-
-def _places(text: Column, pattern: Column, key: Column) -> Column:
-    """Where a pattern matches: start, end (code points) and the key."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-
-    def step(a: Column, i: Column) -> Column:
-        start = a["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(found, i))
-        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), end.alias("end"), key.alias("key"))).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda a: a["out"])).otherwise(F.array().cast(_EMPTY))
-
-
 def whole_word(spelling: Column) -> Column:
     """A pattern for a spelling that no word character and no hyphen touches."""
     return F.concat(F.lit(r"(?U)(?<![\w-])"), quoted(spelling), F.lit(r"(?![\w-])"))
 
 
-def name_spans(text: Column, names: Column) -> Column:
-    """Spans of names as whole words, in order: the longest spellings take their places first, others what is left."""
-    ordered = _by_length(F.filter(names, lambda n: n["spelling"] != ""), lambda n: n["spelling"])
-    places = F.flatten(F.transform(ordered, lambda n: _places(text, whole_word(n["spelling"]), n["key"])))
-    free = lambda kept, x: ~F.exists(kept, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-    return F.array_sort(F.aggregate(places, F.array().cast(_EMPTY), lambda kept, x: F.when(free(kept, x), F.array_append(kept, x)).otherwise(kept)))
-
-
-def replaced(text: Column, spans: Column, told: Callable[[Column], Column]) -> Column:
-    """The text with each of the spans, which are in order and apart, replaced by what `told` makes of it."""
-    ends = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
-    pieces = F.transform(spans, lambda s, i: F.concat(F.substring(text, ends(i) + 1, s["start"] - ends(i)), told(s)))
-    return F.concat(F.array_join(pieces, ""), F.substring(text, ends(F.size(spans)) + 1, F.length(text)))
-
-
-def marked(text: Column, names: Column) -> Column:
-    """text with every name as a marker of its key, and order: the keys as they first appear."""
-    spans = name_spans(text, names)
-    return F.struct(replaced(text, spans, lambda s: F.concat(F.lit("⟦"), s["key"], F.lit("⟧"))).alias("text"), F.array_distinct(F.transform(spans, lambda s: s["key"])).alias("order"))
-
-
-def named_in(text: Column, names: Column) -> Column:
-    """Keys of the names that stand in the text as whole words, longest spellings first, each taking its places from shorter ones."""
-    ordered = _by_length(names, lambda n: n["spelling"])
-    first = F.struct(text.alias("text"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, n: Column) -> Column:
-        pattern = whole_word(n["spelling"])
-        hit = F.regexp_like(a["text"], pattern)
-        return F.struct(F.when(hit, F.regexp_replace(a["text"], pattern, F.lit(" "))).otherwise(a["text"]).alias("text"), F.when(hit, F.array_append(a["out"], n["key"])).otherwise(a["out"]).alias("out"))
-
-    return F.aggregate(ordered, first, step, lambda a: a["out"])
-
-
-def respelled(text: Column, pairs: Column, others: Column, spaced: Column) -> Column:
-    """The text with old spellings (pairs of source and target) as whole names replaced by new ones, leftmost and longest,
-    where no longer other name holds them; null if one of the old spellings does not occur, the text itself without pairs.
-
-    spaced: whether the language has spaces, so that no letter, digit or _ may touch a name that ends in one.
-    """
-    real = F.filter(pairs, lambda p: (p["source"] != "") & (p["source"] != p["target"]))
-    olds = F.array_distinct(F.transform(real, lambda p: p["source"]))
-    every = _by_length(F.array_distinct(F.concat(olds, F.filter(others, lambda o: o != ""))), lambda x: x)
-    pattern = F.array_join(F.transform(every, quoted), "|")
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    word = lambda x: x.rlike(r"^[\p{L}\p{N}_]$")
-
-    def whole(m: Column, i: Column) -> Column:
-        before = F.right(F.concat(F.coalesce(F.when(i > 0, F.get(found, i - 1)), F.lit("")), F.get(gaps, i)), F.lit(1))
-        behind = F.left(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(found, i + 1), F.lit(""))), F.lit(1))
-        return ~spaced | ~((word(before) & word(F.left(m, F.lit(1)))) | (word(behind) & word(F.right(m, F.lit(1)))))
-
-    hits = F.transform(found, lambda m, i: F.struct(m.alias("m"), (F.array_contains(olds, m) & whole(m, i)).alias("hit"), F.get(gaps, i + 1).alias("gap")))
-    new = lambda m: F.element_at(F.filter(real, lambda p: p["source"] == m), -1)["target"]
-    out = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(hits, lambda h: F.concat(F.when(h["hit"], new(h["m"])).otherwise(h["m"]), h["gap"])), ""))
-    missing = F.size(F.array_except(olds, F.transform(F.filter(hits, lambda h: h["hit"]), lambda h: h["m"]))) > 0
-    return F.when(F.size(real) == 0, text).when(~missing, out)
-
-
 def respell_action(translated: Column, primed_as: Column, target: Column) -> Column:
     """What a new spelling asks for: queue for a chapter not yet translated, retranslate if it is unknown how the term was
     primed, none if it was primed so, respell otherwise."""

@@ -1,5 +1,7 @@
 """Text functions as column expressions, with offsets in code points."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ SPACES, HYPHENS = "\u00a0\u202f\u2007\u2009", "\u2010\u2011"
 _HAN = r"[^㐀-䶿一-鿿豈-﫿]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once, however often it is used, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cjk_share(text: Column) -> Column:
     """Han characters as a share of letters, 0 without letters."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))

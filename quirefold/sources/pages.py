@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quirefold.functions.text import bound, cjk_share, title_part
 from quirefold.sources import tree
 
 #: Words of links to the next page of a chapter and to the next chapter.
@@ -13,23 +14,19 @@ NEXT_PAGE, NEXT_CHAPTER = ("下一页", "下一頁", "next page"), ("下一章",
 def next_link(nodes: Column) -> Column:
     """url and continues (the chapter goes on there): an `a` with rel=next, else the first link whose words hold those for a
     next page, else for a next chapter, else one with `next` between spaces, - and _ in its id or class; null if none."""
+    words = lambda n: F.lower(tree.stripped(F.translate(n["text"], "\u00a0\u3000", "  ")))
+    holds = lambda n, some: F.exists(F.array(*map(F.lit, some)), lambda w: F.contains(words(n), w))
+    tokens = lambda n: F.split(F.lower(F.concat_ws(" ", F.array(F.coalesce(n["id"], F.lit(""))), n["classes"])), "[ _-]")
+    first = lambda links, continues: bound(tree.first(links), lambda n: F.when(n["href"].isNotNull(), F.struct(n["link"].alias("url"), F.lit(continues).alias("continues"))))
 
     def chosen(links: Column) -> Column:
-        words = lambda n: F.lower(tree.stripped(F.translate(n["text"], "\u00a0\u3000", "  ")))
-        holds = lambda n, some: F.exists(F.array(*map(F.lit, some)), lambda w: F.contains(words(n), w))
-        tokens = lambda n: F.split(F.lower(F.concat_ws(" ", F.array(F.coalesce(n["id"], F.lit(""))), n["classes"])), "[ _-]")
-        told = lambda ns, goes_on: bound_first(ns, goes_on)
-        named = F.filter(links, lambda n: F.coalesce(n["href"], F.lit("")) != "")
+        some = F.filter(links, lambda n: F.coalesce(n["href"], F.lit("")) != "")
         return F.coalesce(
-            F.when(tree.first(F.filter(links, lambda n: n["rel"] == "next"))["href"].isNotNull(), told(F.filter(links, lambda n: n["rel"] == "next"), False)),
-            told(F.filter(named, lambda n: holds(n, NEXT_PAGE)), True), told(F.filter(named, lambda n: holds(n, NEXT_CHAPTER)), False), told(F.filter(named, lambda n: F.array_contains(tokens(n), "next")), False),
+            first(F.filter(links, lambda n: n["rel"] == "next"), False), first(F.filter(some, lambda n: holds(n, NEXT_PAGE)), True),
+            first(F.filter(some, lambda n: holds(n, NEXT_CHAPTER)), False), first(F.filter(some, lambda n: F.array_contains(tokens(n), "next")), False),
         )
 
-    return tree.bound(tree.find(nodes, "a"), chosen)
-
-
-def bound_first(nodes: Column, continues: bool) -> Column:
-    return tree.bound(tree.first(nodes), lambda n: F.when(n.isNotNull(), F.struct(n["link"].alias("url"), F.lit(continues).alias("continues"))))
+    return bound(tree.find(nodes, "a"), chosen)
 
 
 def _title(nodes: Column, within: Column) -> Column:
@@ -50,11 +47,11 @@ def extract(pages: DataFrame, floor: int = 200) -> DataFrame:
 
     def page(lines: Column, b: Column) -> Column:
         link = next_link(t["nodes"])
-        told = tree.bound(link, lambda x: F.struct(_title(t["nodes"], b).alias("title"), lines.alias("paragraphs"), x["url"].alias("next_url"), F.coalesce(x["continues"], F.lit(False)).alias("continues")))
+        told = bound(link, lambda x: F.struct(_title(t["nodes"], b).alias("title"), lines.alias("paragraphs"), x["url"].alias("next_url"), F.coalesce(x["continues"], F.lit(False)).alias("continues")))
         return F.when(F.length(F.array_join(lines, "\n\n")) >= floor, told)
 
     read = read.withColumn("_block", block)
-    found = tree.bound(tree.chapter_lines(t, F.col("_block")), lambda lines: page(lines, F.col("_block")))
+    found = bound(tree.chapter_lines(t, F.col("_block")), lambda lines: page(lines, F.col("_block")))
     return read.withColumn("page", F.when(F.col("_block").isNotNull(), found)).drop("tree", "_block")
 
 
@@ -62,8 +59,6 @@ def preview(pages: DataFrame) -> DataFrame:
     """page_id, host, title, excerpt (320 characters), text_chars, paragraphs (1 at least), next_url, continues (does the
     title count further parts, or is the link to a next page) and suggested_mode of extracted pages that are chapters.
     """
-    from quirefold.functions.text import cjk_share, title_part
-
     pages = pages.where("page is not null")
     text = F.array_join("page.paragraphs", "\n\n")
     part = title_part(F.col("page.title"))

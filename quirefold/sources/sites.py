@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.functions.text import title_part
+from quirefold.functions.text import bound, title_part
 from quirefold.sources import tree
 
 #: By reader, the selectors of the element that holds the chapter, of the title (in the holder or in the
@@ -46,17 +46,17 @@ def _read(t: Column, reader: str) -> Column:
         in_any = lambda p, some: F.exists(some, lambda x: (p["pre"] > x["pre"]) & (p["pre"] < x["end"]))
         own = F.filter(t["paragraphs"], lambda p: (p["pre"] > holder["pre"]) & (p["pre"] < holder["end"]))
         if rule["cut"]:
-            own = tree.bound(places(rule["cut"], holder), lambda some: F.filter(own, lambda p: ~in_any(p, some)))
+            own = bound(places(rule["cut"], holder), lambda some: F.filter(own, lambda p: ~in_any(p, some)))
         elif rule["within"]:
-            own = tree.bound(places(rule["within"], None), lambda some: F.filter(own, lambda p: in_any(p, some)))
+            own = bound(places(rule["within"], None), lambda some: F.filter(own, lambda p: in_any(p, some)))
         texts = F.filter(F.transform(own, lambda p: tree.stripped(p["text"])), lambda x: (x != "") & ~boring(x) if boring else x != "")
         links = tree.find(nodes, rule["next"])
         if rule["chapters"] is not None:
             links = F.filter(links, lambda n: tree.stripped(n["text"]).isin(*rule["pages"], *rule["chapters"]))
-        link = tree.bound(tree.first(links), lambda n: F.struct(n["link"].alias("url"), F.coalesce(tree.stripped(n["text"]).isin(*rule["pages"]) & n["link"].isNotNull() if rule["pages"] else F.lit(False), F.lit(False)).alias("page")))
-        return tree.bound(link, lambda x: F.struct(title.alias("title"), texts.alias("paragraphs"), x["url"].alias("next_url"), F.coalesce(x["page"], F.lit(False)).alias("next_page")))
+        link = bound(tree.first(links), lambda n: F.struct(n["link"].alias("url"), F.coalesce(tree.stripped(n["text"]).isin(*rule["pages"]) & n["link"].isNotNull() if rule["pages"] else F.lit(False), F.lit(False)).alias("page")))
+        return bound(link, lambda x: F.struct(title.alias("title"), texts.alias("paragraphs"), x["url"].alias("next_url"), F.coalesce(x["page"], F.lit(False)).alias("next_page")))
 
-    return tree.bound(tree.first(tree.find(nodes, rule["holder"])), lambda holder: F.when(holder.isNotNull(), told(holder)))
+    return bound(tree.first(tree.find(nodes, rule["holder"])), lambda holder: F.when(holder.isNotNull(), told(holder)))
 
 
 def read_pages(pages: DataFrame, hosts: dict[str, str]) -> DataFrame:

@@ -7,7 +7,7 @@ paragraphs, lines and links: each block takes two look-ups a sum, however deep b
 """
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import accumulate
 from urllib.parse import urljoin
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.functions.text import ENDERS
+from quirefold.functions.text import ENDERS, bound
 
 #: Elements without content, blocks that may hold a chapter, and elements that never hold prose.
 VOID = {"br", "img", "meta", "link", "hr", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -216,11 +216,6 @@ def with_tree(pages: DataFrame, noise: tuple[str, ...] = (), floor: int | None =
     return pages.mapInArrow(run, f"{schema}, tree {_SCHEMA}")
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

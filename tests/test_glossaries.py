@@ -87,7 +87,7 @@ def test_names_of_novels(spark):
 
 @pytest.mark.parametrize("text, pairs, others, lang, want", [
     ("Long Fei met Fei.", [("Fei", "Faye")], ["Long Fei"], "en", "Long Fei met Faye."), ("Long Fei", [("Fei", "Faye")], ["Long Fei"], "en", None), ("Feier and Fei_", [("Fei", "Faye")], [], "en-GB", None),
-    ("龙飞来了", [("龙飞", "Long")], [], "zh-Hans", "Long来了"), ("x", [("a", "a"), ("", "b")], [], "en", "x"), ("A and B", [("A", "B"), ("B", "A")], [], "en", "B and A"), ("Ann met Ann", [("Ann", "Bo"), ("Cy", "Di")], [], "en", None),
+    ("龙飞来了", [("龙飞", "Long")], [], "zh-Hans", "Long来了"), ("x", [("a", "a"), ("", "b")], [], "en", "x"), ("A and B", [("A", "B"), ("B", "A")], [], "en", "B and A"), ("a.b (c) a.b", [("a.b", "d"), ("(c)", "\\E$1")], [], "en", "d \\E$1 d"), ("Ann met Ann", [("Ann", "Bo"), ("Cy", "Di")], [], "en", None),
 ])
 def test_respelled_names(spark, text, pairs, others, lang, want):
     texts = spark.createDataFrame([("n", text, lang), ("m", text, lang), (None, text, lang)], "novel_id string, text string, lang string")

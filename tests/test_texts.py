@@ -67,19 +67,9 @@ def test_replayed(spark):
         assert got[conv, turn] == (out + text[at:], n)
 
 
-@pytest.mark.parametrize("text, pairs, others, spaced, want", [
-    ("Long Fei met Fei.", [("Fei", "Faye")], ["Long Fei"], True, "Long Fei met Faye."), ("Long Fei", [("Fei", "Faye")], ["Long Fei"], True, None), ("Feier and Fei_", [("Fei", "Faye")], [], True, None),
-    ("龙飞来了", [("龙飞", "Long")], [], False, "Long来了"), ("x", [("a", "a"), ("", "b")], [], True, "x"), ("a.b (c) a.b", [("a.b", "d"), ("(c)", "\\E$1")], [], True, "d \\E$1 d"), ("A and B", [("A", "B"), ("B", "A")], [], True, "B and A"),
-])
-def test_respelled(spark, text, pairs, others, spaced, want):
-    df = spark.createDataFrame([(text, pairs, others)], "text string, pairs array<struct<source:string,target:string>>, others array<string>")
-    assert df.select(glossary.respelled(F.col("text"), F.col("pairs"), F.col("others"), F.lit(spaced))).first()[0] == want
-
-
-def test_terms_are_literal(spark):
-    df = spark.createDataFrame([("a.b axb \\E", [("a.b", "1", ""), ("\\E", "2", "")]), ("x", [])], "text string, terms array<struct<source:string,target:string,kind:string>>")
-    assert [r[0] for r in df.select(glossary.primed(F.col("text"), F.col("terms"))).collect()] == ["1 axb 2", "x"]
-    assert df.select(glossary.unprotected(F.lit('a <locked-term data-id="t1">b'))).first()[0] is None
+def test_broken_tags(spark):
+    assert spark.range(1).select(glossary.unprotected(F.lit('a <locked-term data-id="t1">b'))).first()[0] is None
+
 
 
 def brute_chunks(text, lang, budget):
