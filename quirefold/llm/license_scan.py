@@ -108,9 +108,10 @@ def _units(texts: DataFrame, hint: str) -> DataFrame:
 
 def _matches(texts: DataFrame, weights: Weights, threshold: float, file_threshold: float) -> DataFrame:
     """k1, k2, license, score and file (does the whole text match) of the distinct texts that match a template."""
-    hint = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in weights.needed(min(threshold, file_threshold))) + ")(?![a-z0-9])"
+    needed = weights.needed(min(threshold, file_threshold))
+    hint = r"(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, needed)) + ")(?![a-z0-9])"
     key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
-    distinct = saved(texts.where(F.col("text").rlike(hint)).select(*key, "text").dropDuplicates(["k1", "k2"]), "hinted")
+    distinct = saved(texts.where(F.arrays_overlap(_terms(F.col("text")), F.array(*map(F.lit, needed)))).select(*key, "text").dropDuplicates(["k1", "k2"]), "hinted")
     counted = _units(distinct, hint).select("k1", "k2", "unit", F.explode(_terms(F.col("part"))).alias("term")).groupBy("k1", "k2", "unit", "term").agg(F.count("*").alias("tf"))
     told = [(t, weights.idf[t], [v.get(t, 0.0) for v in weights.vectors]) for t in sorted(weights.idf)]
     known = F.broadcast(texts.sparkSession.createDataFrame(told, "term string, idf double, of array<double>"))
