@@ -196,7 +196,6 @@ def _with_terms(texts: DataFrame, terms: DataFrame, fields: tuple[str, ...], kin
     return given.groupBy("_deal_key", "_deal_part").cogroup(own.groupBy("_deal_key", "_deal_part")).applyInArrow(call, schema)
 
 
-
 def prime(texts: DataFrame, terms: DataFrame, by: str = "novel_id", part_bytes: int = PART_BYTES) -> DataFrame:
     """texts with `primed`: every source of a term of the text's novel replaced by its target, in one pass, leftmost and longest.
 

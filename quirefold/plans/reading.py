@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quirefold.operators import views
-from quirefold.plans.domain import chapters, facts, retractions, table, with_
+from quirefold.plans.domain import chapters, facts, retractions, with_
 from quirefold.plans.registry import query
 
 _L05 = with_("chapters") + r""",
@@ -52,7 +52,6 @@ q AS (SELECT 'r' || m AS reader_id, novel_id, m AS upto FROM (SELECT DISTINCT no
 """
 
 
-
 def _wiki(spark, d):
     """Facts with a marker each and one of nobody, readers of every novel at three chapters, and names that change."""
     found = facts(spark, d).withColumn("text", F.concat("text", F.lit(" ⟦"), F.element_at("subjects", 1), F.lit("⟧ met ⟦x⟧")))
