@@ -118,19 +118,18 @@ def _classes(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
     """
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     low = F.translate(F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    spark = docs.sparkSession
-    with scratch(spark, "keyed", "classes", "parts"):
-        with scratch(spark, "keyed", "classes", "single"):
-            keyed = saved(docs.select(doc_id, _row().alias("row"), F.xxhash64(low).alias("k1"), F.xxhash64(low, F.lit(1)).alias("k2")), "keyed")
-            # by row first: how often each comes
-            counted = keyed.groupBy("doc_id", "row", "k1", "k2").agg(F.count("*").alias("n"))
-            classes = counted.groupBy("k1", "k2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row", "n"))).alias("least"))
-            classes = saved(classes.withColumn("class", F.monotonically_increasing_id()), "classes")  # numbered once, by being written
-            named = classes.where("least is not null").select("class", "least.doc_id", "least.row", "least.n")
-            single = docs.select(doc_id, "text", _row().alias("row")).join(named, ["doc_id", "row"])
-            # only rows that come again need to be brought together
-            single = single.where("n = 1").unionByName(single.where("n > 1").dropDuplicates(["doc_id", "row"]))
-            single = saved(single.select(F.col("class").alias("doc_id"), "text"), "single")
+    with scratch(docs.sparkSession, "keyed", "classes", "parts"):
+        keyed = saved(docs.select(doc_id, _row().alias("row"), F.xxhash64(low).alias("k1"), F.xxhash64(low, F.lit(1)).alias("k2")), "keyed")
+        # by row first: how often each comes
+        counted = keyed.groupBy("doc_id", "row", "k1", "k2").agg(F.count("*").alias("n"))
+        classes = counted.groupBy("k1", "k2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row", "n"))).alias("least"))
+        classes = saved(classes.withColumn("class", F.monotonically_increasing_id()), "classes")  # numbered once, by being written
+        named = classes.where("least is not null").select("class", "least.doc_id", "least.row", "least.n")
+        # texts are read twice rather than written: once for the index of shingles, once for the sets of candidates
+        single = docs.select(doc_id, "text", _row().alias("row")).join(named, ["doc_id", "row"])
+        # only rows that come again need to be brought together
+        single = single.where("n = 1").unionByName(single.where("n > 1").dropDuplicates(["doc_id", "row"]))
+        single = single.select(F.col("class").alias("doc_id"), "text")
         parts = saved(connected_components(similar_links(single, shingle, similarity)), "parts")
     joined = classes.join(parts.select(F.col("node").alias("class"), "component"), "class", "left")
     joined = saved(joined.select("k1", "k2", "least", F.coalesce("component", "class").alias("component")), "joined")
