@@ -231,7 +231,7 @@ def test_line_dedup_of_very_many_lines(spark):
     rows = [(1, "\n".join(f"line number {i} of the first one" for i in range(0, n, 2))), (2, "\n".join(f"line number {i} of the first one" for i in range(n))), (3, "the same line again\n" * n + "end")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     began = time.time()
-    got = {r.doc_id: (r.n, r.text) for r in line_dedup.line_dedup(df, 1 << 20).selectExpr("doc_id", "size(removed) AS n", "text").collect()}
+    got = {r.doc_id: (r.n, r.text) for r in line_dedup(df, 1 << 20).selectExpr("doc_id", "size(removed) AS n", "text").collect()}
     assert time.time() - began < 120
     assert got[1][0] == 0 and got[2] == (n // 2, "\n".join(f"line number {i} of the first one" for i in range(1, n, 2)))
     assert got[3] == (n - 1, "the same line again\nend")
