@@ -74,10 +74,16 @@ def assemble(pages: DataFrame, keys: Sequence[str], order: str = "pos") -> DataF
 def resolved(links: DataFrame, most: int = 64) -> DataFrame:
     """id, root and cyclic of links (id, to_id; null for none): where following them ends, or that it never does.
 
-    A chain of `most` links or more counts as a cycle, and has no root.
+    A chain of `most` links or more counts as a cycle, and has no root. Each round joins what is known of the first steps to
+    itself and so doubles them: rounds are the logarithm of `most`, and each holds one row a link.
     """
-    sql = "WITH RECURSIVE w(id, at, depth) MAX RECURSION LEVEL %d AS (SELECT id, id, 0 FROM {links} UNION ALL SELECT w.id, l.to_id, w.depth + 1 FROM w JOIN {links} l ON l.id = w.at WHERE l.to_id IS NOT NULL AND w.depth < %d) SELECT * FROM w"
-    walked = links.sparkSession.sql(sql % (most + 2, most), links=links)
+    walked = links.select("id", F.coalesce("to_id", "id").alias("at"), F.col("to_id").isNotNull().cast("int").alias("depth"), F.col("to_id").isNotNull().alias("on")).distinct()
+    for _ in range(max(most - 1, 1).bit_length()):
+        walked = walked.localCheckpoint()
+        more = walked.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("depth").alias("_depth"), F.col("on").alias("_on"))
+        both = walked.where("on").join(more, F.col("at") == F.col("_id"), "left")
+        both = both.select("id", F.coalesce("_at", "at").alias("at"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.coalesce("_on", F.lit(False)).alias("on"))
+        walked = walked.where("not on").unionByName(both)
     ends = walked.groupBy("id").agg(F.max(F.struct("depth", "at")).alias("e"))
     return ends.select("id", F.when(F.col("e.depth") < most, F.col("e.at")).alias("root"), (F.col("e.depth") >= most).alias("cyclic"))
 
