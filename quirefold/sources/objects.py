@@ -41,17 +41,22 @@ def walk(pages: DataFrame, starts: DataFrame, most: int = 1000, floor: int = 400
     next link (no_next_link), or after `most` pages (limit). Pages that continue make one chapter with those after them; a
     chapter that never ends is not given.
 
-    Only addresses are followed, step by step; texts are joined once, when all places are known.
+    Of pages with one url that of the smallest next_url counts, then by continues and text. Only addresses are followed, twice
+    as many steps each round, so rounds are the logarithm of the longest walk; texts are joined once, when all places are known.
     """
-    spark = pages.sparkSession
-    links = pages.select("url", "next_url").dropDuplicates(["url"])
-    steps = spark.sql(
-        "WITH RECURSIVE w(walk, step, url) MAX RECURSION LEVEL %d AS (SELECT walk, 1, url FROM {starts} UNION ALL "
-        "SELECT w.walk, w.step + 1, l.next_url FROM w JOIN {links} l ON w.url = l.url WHERE l.next_url IS NOT NULL AND w.step < %d) SELECT * FROM w" % (most + 1, most),
-        starts=starts.select("walk", "url"),
-        links=links,
-    )
-    met = steps.join(pages.dropDuplicates(["url"]).withColumnRenamed("url", "_url"), F.col("url") == F.col("_url"), "left")
+    rest = [c for c in pages.columns if c != "url"]
+    pages = pages.groupBy("url").agg(F.min_by(F.struct(*rest), F.struct("next_url", "continues", F.xxhash64("text"))).alias("_p")).select("url", "_p.*")
+    jumps = pages.where("next_url is not null").select(F.col("url").alias("_from"), F.col("next_url").alias("_to"))
+    steps, size = starts.select("walk", F.lit(1).alias("step"), "url"), 1
+    while size < most:
+        jumps, steps = jumps.localCheckpoint(), steps.localCheckpoint()
+        later = steps.where(F.col("step") + size <= most).join(jumps, F.col("url") == F.col("_from")).select("walk", (F.col("step") + size).alias("step"), F.col("_to").alias("url"))
+        later = later.localCheckpoint()
+        if later.isEmpty():
+            break
+        steps, size = steps.unionByName(later), 2 * size
+        jumps = jumps.join(jumps.select(F.col("_from").alias("_to"), F.col("_to").alias("_next")), "_to").select("_from", F.col("_next").alias("_to"))
+    met = steps.join(pages.withColumnRenamed("url", "_url"), F.col("url") == F.col("_url"), "left")
     by_text = W.partitionBy("walk", F.sha2("text", 256)).orderBy("step")
     again = (F.octet_length("text") < floor) & (F.row_number().over(by_text) > 1)
     met = met.withColumn("_end", F.when(F.col("_url").isNull(), "not_found").when(again, "duplicate_content"))
