@@ -112,25 +112,51 @@ def _row(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def _classes(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def _marked(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        marks = np.array([fingerprint(x.as_py() or b"", shingle) for x in batch["text"].cast(pa.binary())], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "row", "k1", "k2")), pa.array(marks.view(np.int64))], ["doc_id", "row", "k1", "k2", "fp"])
+
+
+def _simhash_links(marks: DataFrame) -> DataFrame:
+    """(a, b): links of classes (class, fp) whose components are those of all pairs of fingerprints within 2 bits."""
+    with scratch(marks.sparkSession, "close"):
+        firsts = saved(marks.groupBy("fp").agg(F.min("class").alias("rep")), "firsts")
+        same = marks.join(firsts, "fp").where("class != rep").select(F.col("rep").alias("a"), F.col("class").alias("b"))
+        ends = near_pairs(firsts.select("fp")).withColumnRenamed("b", "_b").join(firsts.select(F.col("fp").alias("a"), F.col("rep").alias("_ra")), "a")
+        across = ends.join(firsts.select(F.col("fp").alias("_b"), F.col("rep").alias("_rb")), "_b").select(F.col("_ra").alias("a"), F.col("_rb").alias("b"))
+        return saved(same.unionByName(across), "close")
+
+
+def _classes(docs: DataFrame, shingle: int, similarity: float, marks: int = 0) -> tuple[DataFrame, DataFrame]:
     """doc_id, k1 and k2 of every row; and the classes of the same words: k1, k2, least (doc_id and row of one that stands
     for the class, the smallest) and first (the smallest of all classes that links reach).
+
+    marks: words of the shingles of SimHash, whose links come before those of similarity; 0 for none.
     """
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     low = F.translate(F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     with scratch(docs.sparkSession, "keyed", "classes", "parts"):
-        keyed = saved(docs.select(doc_id, _row().alias("row"), F.xxhash64(low).alias("k1"), F.xxhash64(low, F.lit(1)).alias("k2")), "keyed")
+        keyed = docs.select(doc_id, _row().alias("row"), F.xxhash64(low).alias("k1"), F.xxhash64(low, F.lit(1)).alias("k2"), *([F.col("text").cast("string").alias("text")] if marks else []))
+        if marks:
+            keyed = keyed.mapInArrow(partial(_marked, shingle=marks), "doc_id long, row long, k1 long, k2 long, fp long")
+        keyed = saved(keyed, "keyed")
         # by row first: how often each comes
-        counted = keyed.groupBy("doc_id", "row", "k1", "k2").agg(F.count("*").alias("n"))
-        classes = counted.groupBy("k1", "k2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row", "n"))).alias("least"))
+        own = ["fp"] if marks else []  # texts of the same words have the same fingerprint
+        counted = keyed.groupBy("doc_id", "row", "k1", "k2", *own).agg(F.count("*").alias("n"))
+        classes = counted.groupBy("k1", "k2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row", "n"))).alias("least"), *(F.min(c).alias(c) for c in own))
         classes = saved(classes.withColumn("class", F.monotonically_increasing_id()), "classes")  # numbered once, by being written
+        close = [_simhash_links(classes.select("class", "fp"))] if marks else []
         named = classes.where("least is not null").select("class", "least.doc_id", "least.row", "least.n")
         # texts are read twice rather than written: once for the index of shingles, once for the sets of candidates
         single = docs.select(doc_id, "text", _row().alias("row")).join(named, ["doc_id", "row"])
         # only rows that come again need to be brought together
         single = single.where("n = 1").unionByName(single.where("n > 1").dropDuplicates(["doc_id", "row"]))
         single = single.select(F.col("class").alias("doc_id"), "text")
-        parts = saved(connected_components(similar_links(single, shingle, similarity)), "parts")
+        links = similar_links(single, shingle, similarity)
+        for more in close:
+            links = links.unionByName(more)
+        parts = saved(connected_components(links), "parts")
     joined = classes.join(parts.select(F.col("node").alias("class"), "component"), "class", "left")
     joined = saved(joined.select("k1", "k2", "least", F.coalesce("component", "class").alias("component")), "joined")
     first = saved(joined.groupBy("component").agg(F.min("least").alias("first")), "first")
@@ -153,10 +179,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one with the smallest doc_id, of several such rows the one
     whose text has the smallest hash, of equal texts the one of the smallest columns. Rows without doc_id all stay.
+
+    Fingerprints of three-word shingles link at 2 or fewer differing bits, as in simhash_components; what they lose of the
+    pairs that reach `similarity` near_duplicates' links add.
     """
     own = docs.where("doc_id is not null")
     with scratch(docs.sparkSession, "stay"):
-        named = _classes(own, shingle, similarity)[1]
+        named = _classes(own, shingle, similarity, 3)[1]
         stay = saved(named.select("first.*").distinct().select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("n").alias("_n")), "stay")
     kept = own.withColumn("_row", _row()).withColumn("_id", F.col("doc_id").cast("long")).join(stay, ["_id", "_row"])
     again = kept.where("_n > 1").groupBy("_id", "_row").agg(F.min(F.struct(*docs.columns)).alias("s")).select("s.*")

@@ -223,6 +223,18 @@ def test_rows_that_share_a_doc_id_are_kept_apart(spark):
     assert drop_near_duplicates(unlike(spark)).count() == 0
 
 
+def test_dropping_takes_the_links_of_simhash(spark):
+    """Two texts of one repeated passage, the second with more behind, have the same fingerprint and a similarity of 0.6; the
+    third is over 0.8 like the fourth, whose fingerprint is another."""
+    passage = " ".join(f"p{i}" for i in range(31))
+    rows = [(1, " ".join([passage] * 50)), (2, " ".join([passage] * 50 + [f"more{i}" for i in range(15)]))]
+    words = [f"w{i}" for i in range(100)]
+    rows += [(3, " ".join(words)), (4, " ".join(words[:50] + ["x"] + words[50:]))]
+    assert brute_simhash(rows[0][1]) == brute_simhash(rows[1][1]) and jaccard(shingles(rows[0][1]), shingles(rows[1][1])) < 0.8
+    assert bin(brute_simhash(rows[2][1]) ^ brute_simhash(rows[3][1])).count("1") > 2 and jaccard(shingles(rows[2][1]), shingles(rows[3][1])) >= 0.8
+    assert sorted(r.doc_id for r in drop_near_duplicates(frame(spark, rows)).collect()) == [1, 3]
+
+
 def test_line_dedup_of_very_many_lines(spark):
     """Four hundred thousand equal lines in one text take seconds, and so do as many different ones of which every other goes."""
     import time
