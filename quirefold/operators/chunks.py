@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions.text import PROFILES
 from quirefold.operators.glossaries import Automaton
+from quirefold.operators.slices import slices
 
 #: Characters of a paragraph up to which each sentence is looked for by itself.
 _SHORT = 4096
@@ -58,7 +59,7 @@ def chunk_text(docs: DataFrame, budget: int = 400) -> DataFrame:
     """docs (text, lang and others) with chunks: ordinal, text, start, end (code points, half-open)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             found = [chunk(t or "", lang, budget) for t, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _KIND)], [*batch.schema.names, "chunks"])
 
