@@ -2,7 +2,8 @@
 
 Texts meet the terms of their novel in one cogroup. A novel with many bytes of text is split over several tasks, each of
 which gets its terms again, so neither a large novel nor a long glossary makes one task large. Within a task the terms of a
-novel become one automaton, built once, and every text is walked once; the work is linear in the texts and their hits.
+novel that may stand in its texts become one automaton, built once, and every text is walked once, some at a time; the work is
+linear in the texts and their hits, and what a task holds of a glossary in Python grows with its texts.
 
 Terms have a source, a target and a kind; names have a key and a spelling. What a text does not hold costs it nothing.
 """
@@ -10,14 +11,19 @@ Terms have a source, a target and a kind; names have a key and a spelling. What
 import html
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.operators.deal import dealt, large_keys, repeated
+from quirefold.operators.slices import slices
 
 #: Bytes of text of a novel that one task takes.
 PART_BYTES = 32 << 20
+#: Terms up to which an automaton is made of all of them.
+SOME = 1000
 #: Languages written without spaces, where a name needs no boundary.
 UNSPACED = {"zh", "ja", "ko"}
 
@@ -114,8 +120,11 @@ class Terms:
     def __init__(self, rows: list[dict]):
         rows = sorted((r for r in rows if (r["source"] or "").strip() and (r["target"] or "").strip()), key=lambda r: (-len(r["source"]), r["source"], r["target"]))
         self.target = {r["source"]: r["target"] for r in rows}
-        self.number = {r["source"]: i for i, r in enumerate(rows)}
+        self.number = {r["source"]: r.get("number", i) for i, r in enumerate(rows)}
         self.rows = rows
+        self.places: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            self.places.setdefault(r["source"], []).append(i)
         self.sources = Automaton(iter(self.target))
         self._targets: Automaton | None = None
 
@@ -144,7 +153,7 @@ class Terms:
     def checked(self, row: dict) -> dict:
         said = row["translated"] or ""
         held, left, there = self.sources.held(row["text"]), self.sources.held(said), self.targets.held(said)
-        own = [r for r in self.rows if r["source"] in held] if held else []
+        own = [self.rows[i] for i in sorted(i for s in held for i in self.places[s])]
         missing = [r for r in own if r["target"] not in there]
         kept = [r for r in own if r["source"] not in r["target"] and r["source"] in left]
         return {"empty": not said.strip(), "missing": [r["target"] for r in missing], "untranslated": [r["source"] for r in kept], "hard": any(r["kind"] == "character_name" for r in missing + kept)}
@@ -153,24 +162,91 @@ class Terms:
 class Spellings:
     """Old spellings (source) with new ones (target), and other names (source, without target), which shield their places."""
 
-    def __init__(self, rows: list[dict]):
+    def __init__(self, rows: list[dict], whole: int | None = None):
+        """whole: how many old spellings there are, if rows lack those that no text holds."""
         self.new = {r["source"]: r["target"] for r in sorted(rows, key=lambda r: str(r["target"])) if r["source"] and r["target"] is not None and r["source"] != r["target"]}
+        self.whole = len(self.new) if whole is None else whole
         self.automaton = Automaton(iter({r["source"] for r in rows if r["source"] and (r["target"] is None or r["source"] in self.new)}))
 
     def respelled(self, row: dict) -> str | None:
         text = row["text"]
-        if not self.new:
+        if not self.whole:
             return text
         hits = [(start, s) for start, s in self.automaton.leftmost_longest(text) if s in self.new and whole_name(text, start, start + len(s), row.get("lang"))]
-        return stitched(text, hits, self.new.__getitem__) if {s for _, s in hits} == set(self.new) else None
+        return stitched(text, hits, self.new.__getitem__) if len({s for _, s in hits}) == self.whole else None
+
+
+def _windows(data: np.ndarray, at: np.ndarray | slice, n: int) -> np.ndarray:
+    """The n bytes, 8 at most, that begin at places of data (with 8 bytes more behind), as numbers mixed by a product."""
+    eight = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))[at]
+    return (eight & np.uint64((1 << 8 * n) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings in a row, with 8 more behind, and where each begins, and the last one ends."""
+    own = pc.fill_null(strings.cast(pa.large_binary()), b"")
+    ends = np.frombuffer(own.buffers()[1], dtype=np.int64)[own.offset : own.offset + len(own) + 1]
+    data = np.frombuffer(own.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    return np.concatenate([data, np.zeros(8, dtype=np.uint8)]), ends - ends[0]
+
+
+def occurring(texts: pa.ChunkedArray, strings: pa.ChunkedArray) -> np.ndarray:
+    """Whether each string may stand in one of the texts: none that does is missed, few that do not are told.
+
+    The windows of 8 bytes of all texts, and those of each smaller length that a string has, are bits of a table by hash. A
+    string may stand there if its first, last and middle windows do. So what is made of strings grows with the texts that they
+    meet, not with all strings of a large glossary.
+    """
+    chunks = [_bytes(x) for x in texts.chunks]
+    shift = np.uint64(64 - min(26, max(12, (8 * sum(len(d) for d, _ in chunks)).bit_length())))
+    own = [_bytes(x) for x in strings.chunks]
+    sizes = [np.diff(ends) for _, ends in own]
+    told = [np.zeros(len(x), dtype=bool) for x in sizes]
+    for n in range(1, 9):
+        some = [np.flatnonzero(x == n if n < 8 else x >= n) for x in sizes]
+        if not any(map(len, some)):
+            continue
+        there = np.zeros(1 << (64 - int(shift)), dtype=bool)
+        for data, _ in chunks:
+            for at in range(0, len(data) - 8, 1 << 18):
+                there[_windows(data, slice(at, min(at + (1 << 18), len(data) - 8)), n) >> shift] = True
+        for (data, ends), size, rows, out in zip(own, sizes, some, told, strict=True):
+            rest = size[rows] - n
+            out[rows] = np.logical_and.reduce([there[_windows(data, ends[rows] + rest * k // 4, n) >> shift] for k in (range(5) if n == 8 else (0,))])
+    return np.concatenate([*told, np.zeros(0, dtype=bool)])
+
+
+def _numbers(terms: pa.Table) -> pa.Array:
+    """The place of each term in the glossary, those with a blank side left out: longest sources first, then by source and target."""
+    blank = lambda c: np.array([not (x.as_py() or "").strip() for x in terms[c]], dtype=bool)
+    out = blank("source") | blank("target")
+    keyed = pa.table({"out": out, "size": pc.negate(pc.fill_null(pc.utf8_length(terms["source"]), 0)), "source": terms["source"], "target": terms["target"]})
+    order = pc.sort_indices(keyed, [(c, "ascending") for c in keyed.column_names]).to_numpy()
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.arange(len(order))
+    return pa.array(number)
+
+
+def _known(texts: pa.Table, terms: pa.Table, kind: type, does: str):
+    """`kind` made of those terms that may stand in the texts; of all, if they are few."""
+    if terms.num_rows <= SOME:
+        return kind(terms.to_pylist())
+    more = {}
+    if kind is Spellings:
+        old = terms.filter(pc.and_(pc.greater(pc.binary_length(terms["source"]), 0), pc.not_equal(terms["source"], terms["target"])))
+        more["whole"] = pc.count_distinct(old["source"]).as_py()
+    if does == "protected":
+        terms = terms.append_column("number", _numbers(terms))
+    there = occurring(texts["text"], terms["spelling" if kind is Names else "source"])
+    return kind(terms.filter(pa.array(there)).to_pylist(), **more)
 
 
 def _applied(texts: pa.Table, terms: pa.Table, kind: type, does: str, reads: tuple[str, ...], out: str, out_type: pa.DataType) -> pa.Table:
-    known = kind(terms.to_pylist())
-    work = getattr(known, does)
+    work = getattr(_known(texts, terms, kind, does), does)
     rest = [c for c in texts.column_names if not c.startswith("_deal_")]
-    told = [None if row["text"] is None else work(row) for row in texts.select([c for c in reads if c in texts.column_names]).to_pylist()]
-    return texts.select(rest).append_column(out, pa.array(told, out_type))
+    parts = slices(texts.select([c for c in reads if c in texts.column_names]).to_batches(), "text")
+    told = [pa.array([None if row["text"] is None else work(row) for row in part.to_pylist()], out_type) for part in parts]
+    return texts.select(rest).append_column(out, pa.chunked_array(told, out_type))
 
 
 _SPANS = pa.list_(pa.struct([(x, pa.int32()) for x in ("begin", "end", "start", "stop")]))
