@@ -6,7 +6,7 @@ ratio of its smoothed counts in the two classes, rows are brought to length one,
 by dual coordinate descent. A logistic curve, fitted on rows left out of that, turns margins into scores.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -18,7 +18,11 @@ from quirefold.llm import hashing
 from quirefold.llm.common import saved
 
 _PLACES = 18
+#: How often the bits of a place above the lowest 16 rise.
+_RISES = (1 << _PLACES - 16) - 1
 U = np.uint64
+#: The features of training come to the driver by so many bytes, as packed.
+PIECE = 2 << 20
 #: What a byte is in a word's shape; runs of one kind count once.
 _SHAPE = np.zeros(256, dtype=np.uint8)
 _SHAPE[:] = np.arange(256)
@@ -52,6 +56,30 @@ def features(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield at, both & ((1 << _PLACES) - 1), both >> _PLACES
 
 
+def packed(row: np.ndarray) -> bytes:
+    """Sorted features in two bytes each: where their upper bits rise, then all lower ones."""
+    if not len(row):
+        return b""
+    return np.searchsorted(row, np.arange(1, 1 + _RISES) << 16).astype("<u4").tobytes() + (row & 0xFFFF).astype("<u2").tobytes()
+
+
+class Packed(Sequence):
+    """Rows of features, each unpacked where it is asked for."""
+
+    def __init__(self, rows: list[bytes]):
+        self.low = [np.frombuffer(x, dtype="<u2", offset=4 * _RISES) if x else np.zeros(0, dtype="<u2") for x in rows]
+        self.rises = [np.frombuffer(x, dtype="<u4", count=_RISES).tolist() if x else [] for x in rows]
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        out = self.low[i].astype(np.int32)
+        for at in self.rises[i]:
+            out[at:] += 1 << 16
+        return out
+
+
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [x.as_py() or b"" for x in batch["text"].cast(pa.binary())]
@@ -59,18 +87,22 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for at, feature, owner in features(texts):
             ends = np.searchsorted(owner, np.arange(len(texts) - at + 1))
             for i in np.unique(owner).tolist():
-                rows[at + i] = feature[ends[i] : ends[i + 1]].astype("<i4").tobytes()
+                rows[at + i] = packed(feature[ends[i] : ends[i + 1]])
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(rows, pa.binary())], ["doc_id", "label", "features"])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, rounds: int = 20, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+def fit(rows: Sequence[np.ndarray], labels: np.ndarray, cost: float = 1.0, rounds: int = 20, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray, float, float, float]:
     """(weights, ratios, bias, slope, shift): the score of a row is the logistic of slope * margin + shift."""
     places = 1 << _PLACES
     if not len(rows) or labels.min() == labels.max():
         rate = float(labels.mean()) if len(rows) else 0.5
         return np.zeros(places), np.ones(places), 0.0, 0.0, float(np.log((rate + 0.01) / (1.01 - rate)))
     held = np.arange(len(rows)) % 5 == 0
-    counts = [smooth + np.bincount(np.concatenate([r for r, y, h in zip(rows, labels, held, strict=True) if y == c and not h] or [np.zeros(0, dtype=np.int64)]), minlength=places) for c in (0, 1)]
+    counts = np.zeros((2, places), dtype=np.int64)
+    for r, y, h in zip(rows, labels, held, strict=True):
+        if not h:
+            np.add.at(counts[y], r, 1)
+    counts = smooth + counts
     ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     lengths = np.array([np.sqrt((ratios[r] ** 2).sum()) or 1.0 for r in rows])
     w, bias, alpha = np.zeros(places), 0.0, np.zeros(len(rows))
@@ -129,22 +161,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 8000, megabytes: int =
 
     labels: doc_id, quality (0 or 1; other values and nulls are left out). The caller leaves out held-out ids. Of rows that
     share a doc_id the one whose text has the smallest hash is taken. The bounds are what keeps the fit in the driver's
-    memory; whatever else is counted or scored covers all documents.
+    memory, where features come by pieces and stay packed; whatever else is counted or scored covers all documents.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("s")).select("doc_id", "label", "s.text")
-    found = saved(texts.mapInArrow(_training_rows, "doc_id long, label int, features binary"), "features")
-    sizes = found.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("features").alias("bytes")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])  # at most `rows`
-    fit_in = int(np.searchsorted(np.cumsum(sizes["bytes"].to_numpy()), megabytes << 20, side="right"))
-    if fit_in < sizes.num_rows:
-        last = sizes.slice(fit_in, 1).to_pylist()[0]
-        found = found.where((F.xxhash64("doc_id") < last["h"]) | ((F.xxhash64("doc_id") == last["h"]) & (F.col("doc_id") < last["doc_id"])))
-    got = found.toArrow().sort_by([("doc_id", "ascending")])
-    order = np.random.Generator(np.random.PCG64(3)).permutation(got.num_rows)
-    features_of = got["features"].to_pylist()
-    return fit([np.frombuffer(features_of[i], dtype="<i4") for i in order], np.array(got["label"].to_pylist(), dtype=np.int64)[order])
+    found = saved(texts.mapInArrow(_training_rows, "doc_id long, label int, features binary"), "features").withColumn("h", F.xxhash64("doc_id"))
+    sizes = found.select("doc_id", "h", F.octet_length("features").alias("bytes")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])  # at most `rows`
+    ends = np.cumsum(sizes["bytes"].to_numpy())
+    unpacked = 2 * np.maximum(sizes["bytes"].to_numpy() - 4 * _RISES, 0)
+    fit_in = int(np.searchsorted(np.cumsum(unpacked), megabytes << 20, side="right"))
+    chosen, hashes, piece = set(sizes["doc_id"].to_pylist()[:fit_in]), sizes["h"].to_numpy()[:fit_in], ends[:fit_in] // PIECE
+    got = {}
+    for k in np.unique(piece).tolist():
+        own = hashes[piece == k]
+        part = found.where(F.col("h").between(int(own[0]), int(own[-1]))).select("doc_id", "label", "features").toArrow()
+        got |= {i: (y, x) for i, y, x in zip(*(c.to_pylist() for c in part.columns), strict=True) if i in chosen}
+    rows_of = [got[i] for i in sorted(got)]
+    order = np.random.Generator(np.random.PCG64(3)).permutation(len(rows_of))
+    return fit(Packed([rows_of[i][1] for i in order]), np.array([y for y, _ in rows_of], dtype=np.int64)[order])
 
 
 def score(docs: DataFrame, model: tuple) -> DataFrame:

@@ -328,6 +328,27 @@ def test_quality_training_is_bounded(spark):
     assert 1 <= seen[3][0] < 4 and sum(map(len, seen[3][1])) <= 1 << 20
 
 
+def test_quality_training_comes_by_pieces(spark):
+    """What reaches the driver at once is bounded, and the rows are those that all at once would give."""
+    r = random.Random(9)
+    docs = [(i, " ".join(str(r.randrange(5000)) for _ in range(r.choice((0, 1, 300)))), None) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    seen, got, fit, piece = [], [], quality.fit, quality.PIECE
+    frames = type(spark.range(0))
+    collect = frames.toArrow
+    try:
+        quality.fit = lambda rows, labels, **kw: seen.append([(x.tolist(), y) for x, y in zip(rows, labels.tolist(), strict=True)]) or fit(rows, labels, **kw)
+        quality.PIECE = 50_000
+        frames.toArrow = lambda self: got.append(collect(self)) or got[-1]
+        quality.train(spark.createDataFrame(docs, "doc_id long, text string, extra string"), labels)
+    finally:
+        quality.fit, quality.PIECE, frames.toArrow = fit, piece, collect
+    assert max(t.nbytes for t in got) < 70_000 and len(got) > 4
+    alone = [sorted(next(quality.features([t.encode()]), (0, np.zeros(0, dtype=np.int64), 0))[1].tolist()) for _, t, _ in docs]
+    order = np.random.Generator(np.random.PCG64(3)).permutation(400)
+    assert seen == [[(alone[i], i % 2) for i in order]]
+
+
 def test_coordinate_descent_solves_the_dual():
     """The weights are those of the dual's maximum, found by projected gradient steps over all rows at once."""
     r = np.random.Generator(np.random.PCG64(5))
