@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 MOST = 1_000_000
 
 
-def large_keys(rows: DataFrame, keys: Sequence[str], weight: Column, part: int, name: str) -> DataFrame:
+def large_keys(rows: DataFrame, keys: Sequence[str], weight: Column, part: int, name: str, least: DataFrame | None = None) -> DataFrame:
     """keys and `name`, into how many parts to deal a key: those whose rows weigh over `part`, or over the MOSTth of all.
 
     At most MOST rows, marked for broadcast; keys that are not in it are one part. Keys are compared as they are, without nulls.
+    least: keys and `_least`, what a part of a key is to weigh at least, if that is more.
     """
     sizes = rows.groupBy(*keys).agg(F.sum(weight).cast("double").alias("_size"))
     each = F.greatest(F.lit(float(part)), sizes.agg(F.sum("_size")).scalar() / MOST)
+    if least is not None:
+        sizes, each = sizes.join(least, list(keys), "left"), F.greatest(each, "_least")
     return F.broadcast(sizes.withColumn(name, F.ceil(F.col("_size") / each).cast("int")).where(F.col(name) > 1).select(*keys, name))
 
 

@@ -1,15 +1,19 @@
 """Glossaries and names as tables, applied to the texts of their novels.
 
-Texts meet the terms of their novel in one cogroup. A novel with many bytes of text is split over several tasks, each of
-which gets its terms again, so neither a large novel nor a long glossary makes one task large. Within a task the terms of a
-novel that may stand in its texts become one automaton, built once, and every text is walked once, some at a time; the work is
-linear in the texts and their hits, and what a task holds of a glossary in Python grows with its texts.
+Texts follow the terms of their novel in one sorted stream of rows. A novel with many bytes of text is split over several
+tasks, each of which gets its terms again, packed in blocks. A part has as many bytes as its glossary at least, so the terms that
+are sent stay a share of the texts, however long a glossary grows with them. Within a task texts are taken by PART_BYTES: the terms
+that may stand in them become one automaton, and every text is walked once. The work is linear in the texts and their hits,
+and a task holds the terms of a novel as Arrow arrays, and as Python's objects those that may stand in PART_BYTES of text.
 
 Terms have a source, a target and a kind; names have a key and a spelling. What a text does not hold costs it nothing.
 """
 
 import html
+import json
+import zlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +24,10 @@ from pyspark.sql import functions as F
 from quirefold.operators.deal import dealt, large_keys, repeated
 from quirefold.operators.slices import slices
 
-#: Bytes of text of a novel that one task takes.
+#: Bytes of text of a novel that one automaton is for, and that one task takes at least, if there are so many.
 PART_BYTES = 32 << 20
+#: Bytes of text of a split novel for each byte of terms, before they are packed, that is sent with them, at least.
+TEXT_PER_TERM = 1
 #: Terms up to which an automaton is made of all of them.
 SOME = 1000
 #: Languages written without spaces, where a name needs no boundary.
@@ -122,17 +128,23 @@ class Terms:
         self.target = {r["source"]: r["target"] for r in rows}
         self.number = {r["source"]: r.get("number", i) for i, r in enumerate(rows)}
         self.rows = rows
-        self.places: dict[str, list[int]] = {}
-        for i, r in enumerate(rows):
-            self.places.setdefault(r["source"], []).append(i)
         self.sources = Automaton(iter(self.target))
         self._targets: Automaton | None = None
+        self._places: dict[str, list[int]] | None = None
 
     @property
     def targets(self) -> Automaton:
         self._targets = self._targets or Automaton(r["target"] for r in self.rows)
         return self._targets
 
+    @property
+    def places(self) -> dict[str, list[int]]:
+        if self._places is None:
+            self._places = {}
+            for i, r in enumerate(self.rows):
+                self._places.setdefault(r["source"], []).append(i)
+        return self._places
+
     def primed(self, row: dict) -> str:
         return stitched(row["text"], self.sources.leftmost_longest(row["text"]), self.target.__getitem__)
 
@@ -199,8 +211,7 @@ def occurring(texts: pa.ChunkedArray, strings: pa.ChunkedArray) -> np.ndarray:
     """
     chunks = [_bytes(x) for x in texts.chunks]
     shift = np.uint64(64 - min(26, max(12, (8 * sum(len(d) for d, _ in chunks)).bit_length())))
-    own = [_bytes(x) for x in strings.chunks]
-    sizes = [np.diff(ends) for _, ends in own]
+    sizes = [pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False) for x in strings.chunks]
     told = [np.zeros(len(x), dtype=bool) for x in sizes]
     for n in range(1, 9):
         some = [np.flatnonzero(x == n if n < 8 else x >= n) for x in sizes]
@@ -210,8 +221,11 @@ def occurring(texts: pa.ChunkedArray, strings: pa.ChunkedArray) -> np.ndarray:
         for data, _ in chunks:
             for at in range(0, len(data) - 8, 1 << 18):
                 there[_windows(data, slice(at, min(at + (1 << 18), len(data) - 8)), n) >> shift] = True
-        for (data, ends), size, rows, out in zip(own, sizes, some, told, strict=True):
-            rest = size[rows] - n
+        for own, size, rows, out in zip(strings.chunks, sizes, some, told, strict=True):
+            if not len(rows):
+                continue
+            data, ends = _bytes(own)
+            rest = size[rows].astype(np.int64) - n
             out[rows] = np.logical_and.reduce([there[_windows(data, ends[rows] + rest * k // 4, n) >> shift] for k in (range(5) if n == 8 else (0,))])
     return np.concatenate([*told, np.zeros(0, dtype=bool)])
 
@@ -227,26 +241,65 @@ def _numbers(terms: pa.Table) -> pa.Array:
     return pa.array(number)
 
 
-def _known(texts: pa.Table, terms: pa.Table, kind: type, does: str):
-    """`kind` made of those terms that may stand in the texts; of all, if they are few."""
-    if terms.num_rows <= SOME:
-        return kind(terms.to_pylist())
+def _counted(terms: pa.Table, kind: type, does: str) -> tuple[pa.Table, dict]:
+    """The terms and what else `kind` needs to know of all of them, if it is made of some."""
     more = {}
     if kind is Spellings:
         old = terms.filter(pc.and_(pc.greater(pc.binary_length(terms["source"]), 0), pc.not_equal(terms["source"], terms["target"])))
         more["whole"] = pc.count_distinct(old["source"]).as_py()
     if does == "protected":
         terms = terms.append_column("number", _numbers(terms))
+    return terms, more
+
+
+def _known(texts: pa.Table, terms: pa.Table, kind: type, does: str, more: dict | None = None):
+    """`kind` made of those terms that may stand in the texts; of all, if they are few. more: of _counted, if that was asked."""
+    if terms.num_rows <= SOME:
+        return kind(terms.to_pylist())
+    if more is None:
+        terms, more = _counted(terms, kind, does)
     there = occurring(texts["text"], terms["spelling" if kind is Names else "source"])
     return kind(terms.filter(pa.array(there)).to_pylist(), **more)
 
 
-def _applied(texts: pa.Table, terms: pa.Table, kind: type, does: str, reads: tuple[str, ...], out: str, out_type: pa.DataType) -> pa.Table:
-    work = getattr(_known(texts, terms, kind, does), does)
-    rest = [c for c in texts.column_names if not c.startswith("_deal_")]
-    parts = slices(texts.select([c for c in reads if c in texts.column_names]).to_batches(), "text")
-    told = [pa.array([None if row["text"] is None else work(row) for row in part.to_pylist()], out_type) for part in parts]
-    return texts.select(rest).append_column(out, pa.chunked_array(told, out_type))
+_GROUP = ["_deal_key", "_deal_part", "_deal_text"]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Sorted batches cut where other values of columns begin, each piece with its values."""
+    for batch in batches:
+        if batch.num_rows:
+            new = np.zeros(batch.num_rows - 1, dtype=bool)
+            for c in columns:
+                new |= pc.not_equal(batch[c][1:], batch[c][:-1]).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield tuple(batch[c][a].as_py() for c in columns), batch.slice(a, b - a)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the terms of one novel from rows in order, where neighbours begin alike and so pack well."""
+    for (key,), piece in _runs(batches, _GROUP[:1]):
+        block = zlib.compress(json.dumps([c.to_pylist() for c in piece.columns[1:]], ensure_ascii=False).encode(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([block], pa.binary())], ["_deal_key", "_deal_terms"])
+
+
+def _unpacked(pieces: Iterator[pa.RecordBatch], none: pa.Table) -> pa.Table:
+    blocks = (json.loads(zlib.decompress(b)) for piece in pieces for b in piece["_deal_terms"].to_pylist())
+    return pa.concat_tables([none, *(pa.Table.from_arrays([pa.array(c, pa.string()) for c in block], schema=none.schema) for block in blocks)])
+
+
+def _taken(pieces: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Small batches of texts, in lists of at least `most` bytes of text but for the last."""
+    some, size = [], 0
+    for part in slices(pieces, "text"):
+        some.append(part)
+        size += pc.sum(pc.binary_length(part["text"])).as_py() or 0
+        if size >= most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 _SPANS = pa.list_(pa.struct([(x, pa.int32()) for x in ("begin", "end", "start", "stop")]))
@@ -259,17 +312,37 @@ def _with_terms(texts: DataFrame, terms: DataFrame, fields: tuple[str, ...], kin
     """texts with what a method of `kind`, made of the terms of their novel, says of each."""
     texts = texts.drop(out)
     keyed = texts.withColumn("_deal_key", F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")))  # terms without a novel belong to none
-    large = large_keys(keyed, ["_deal_key"], F.coalesce(F.octet_length("text"), F.lit(0)), part_bytes, "_deal_parts")
-    given = dealt(keyed, ["_deal_key"], large, "_deal_parts", "_deal_part")
-    own = terms.where(F.col(by).isNotNull()).select(F.concat(F.lit("="), F.col(by).cast("string")).alias("_deal_key"), *(F.col(c).cast("string").alias(c) for c in fields)).distinct()
-    own = repeated(own, ["_deal_key"], large, "_deal_parts", "_deal_part")
+    own = terms.where(F.col(by).isNotNull()).select(F.col(by).cast("string").alias("_deal_key"), *(F.col(c).cast("string").alias(f"_term_{c}") for c in fields)).distinct()
+    # never null, so no join asks for that anew, and the distinct terms are shuffled once for both uses
+    own = own.withColumn("_deal_key", F.coalesce(F.concat(F.lit("="), "_deal_key"), F.lit("")))
+    # bytes of a glossary, with some for each row, and so of the texts that it is worth to be sent for
+    weight = sum((F.coalesce(F.octet_length(f"_term_{c}"), F.lit(0)) + 4 for c in fields), F.lit(0).cast("long"))
+    least = own.groupBy("_deal_key").agg((F.sum(weight) * TEXT_PER_TERM).alias("_least"))
+    large = large_keys(keyed, ["_deal_key"], F.coalesce(F.octet_length("text"), F.lit(0)), part_bytes, "_deal_parts", least)
+    given = dealt(keyed, ["_deal_key"], large, "_deal_parts", "_deal_part").withColumn("_deal_text", F.lit(True))
+    own = own.sortWithinPartitions(*own.columns).mapInArrow(_packed, "_deal_key string, _deal_terms binary")
+    own = repeated(own, ["_deal_key"], large, "_deal_parts", "_deal_part").withColumn("_deal_text", F.lit(False))
+    rows = given.unionByName(own, allowMissingColumns=True).repartition("_deal_key", "_deal_part").sortWithinPartitions(*_GROUP)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields) + f", `{out}` {out_type}"
-    arrow = _ARROW[out_type]
-
-    def call(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _applied(left, right, kind, does, reads, out, arrow)
-
-    return given.groupBy("_deal_key", "_deal_part").cogroup(own.groupBy("_deal_key", "_deal_part")).applyInArrow(call, schema)
+    rest, arrow = texts.columns, _ARROW[out_type]
+    none = pa.schema([(f, pa.string()) for f in fields]).empty_table()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, novel in groupby(_runs(batches, _GROUP), lambda x: x[0][:2]):
+            known, more = none, {}
+            for (*_, is_text), pieces in groupby(novel, lambda x: x[0]):
+                if not is_text:
+                    known, more = _counted(_unpacked((p for _, p in pieces), none), kind, does)
+                    continue
+                for some in _taken((p for _, p in pieces), part_bytes):
+                    work = getattr(_known(pa.Table.from_batches([p.select(["text"]) for p in some]), known, kind, does, more), does)
+                    for part in some:
+                        read = part.select([c for c in reads if c in rest]).to_pylist()
+                        told = pa.array([None if row["text"] is None else work(row) for row in read], arrow)
+                        yield pa.RecordBatch.from_arrays([*(part[c] for c in rest), told], [*rest, out])
+                    del work  # before the next one is made
+
+    return rows.mapInArrow(run, schema)
 
 
 def prime(texts: DataFrame, terms: DataFrame, by: str = "novel_id", part_bytes: int = PART_BYTES) -> DataFrame:

@@ -107,6 +107,26 @@ def test_a_novel_is_split_over_tasks(spark):
     assert [r.parts for r in big] == [-(-sum(len(r.text) for r in texts.collect()) // 20_000)]
 
 
+def test_a_long_glossary_is_not_sent_for_every_few_texts(spark):
+    """What is shuffled stays near the bytes of the texts and one glossary, however small the parts asked for are."""
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        jvm, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghij") for _ in range(12)) for _ in range(10_000)]
+    rows = [("n", i, " ".join(r.choice(words) for _ in range(50))) for i in range(600)]
+    texts = spark.createDataFrame(rows, "novel_id string, id int, text string")
+    table = spark.createDataFrame([("n", w, w.upper()) for w in words], "novel_id string, source string, target string")
+    before = shuffled()
+    got = {x.id: x.primed for x in g.prime(texts, table, part_bytes=4000).collect()}
+    assert got == {i: t.upper() for _, i, t in rows}
+    assert shuffled() - before < 4 * sum(len(t) for *_, t in rows)
+
+
 def test_linear_in_hits():
     terms = g.Terms([{"source": f"t{k}", "target": f"T{k}", "kind": "term"} for k in range(2000)])
     names = g.Names([{"key": str(k), "spelling": f"t{k}"} for k in range(2000)])
