@@ -56,6 +56,19 @@ def test_unknown_pages(spark, floor):
     assert got == {k: v[2] for k, v in cases.items()}
 
 
+@pytest.mark.parametrize("html, n", [
+    (f"<div><svg class=icon/>{prose(3)}</div>", 3), (f"<div><svg><path d=x/><g/></svg>{prose(3)}</div>", 3), (f"<div><svg><path d=x>{prose(3)}</div>", 3), (f"<div>{'</br>'.join(PROSE[:3])}</div>", 3), (f"<div>{'</p>'.join(PROSE[:3])}</div>", 3),
+    (f"<div><span><div class=c>{PROSE[0]}</span><br>{PROSE[1]}<br>{PROSE[2]}</div></div>", 3), (f"<section><b><div class=c>{PROSE[0]}</b><br>{PROSE[1]}<br>{PROSE[2]}</div></section>", 3), (f"<div>{PROSE[0]}<br>{PROSE[1]}</body></html><br>{PROSE[2]}</div>", 3),
+    (f"<div><table><tr><td>{PROSE[0]}</div><br>{PROSE[1]}<br>{PROSE[2]}</td></tr></table></div>", 3), (f"<div><p>{PROSE[0]}<nav>x</nav><p>{PROSE[1]}</p><p>{PROSE[2]}</p></div>", 3), (f"<div><nav><b>x</span></nav>{prose(3)}</div>", 3),
+    (f"<div><svg><foreignObject><p>{PROSE[3]}</p></foreignObject></svg>{prose(2)}</div>", 2), (f"<div><iframe src=x></iframe>{prose(2)}<aside><p>{PROSE[3]}</p></div>", 2),
+    (f"<section><a name=x><div class=c>{PROSE[0]}<br><a name=y></a>{'<br>'.join(PROSE[1:])}</div></section>", 5),
+])
+def test_no_line_of_the_block_is_left_out(spark, html, n):
+    """On pages whose tags do not fit each other, as browsers read them."""
+    got = sites.densest_block(spark.createDataFrame([(html,)], "html string"), 20).first()
+    assert got.lines == PROSE[:n]
+
+
 class Plain(HTMLParser):
     """A page as nested lists, by the same rules for end tags left out of p, for comparison."""
 
